@@ -129,13 +129,14 @@ def training_rows(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
 
 def _machine(x: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, float]:
     """A linear support vector machine with squared hinge loss, both sides weighted alike, by Adam."""
-    w = np.zeros(x.shape[1] + 1)
+    w = np.zeros(x.shape[1] + 1, np.float32)
     first, second = np.zeros_like(w), np.zeros_like(w)
-    weight = np.where(sign > 0, 0.5 / max((sign > 0).sum(), 1), 0.5 / max((sign < 0).sum(), 1))
+    sign = sign.astype(np.float32)
+    weight = np.where(sign > 0, 0.5 / max((sign > 0).sum(), 1), 0.5 / max((sign < 0).sum(), 1)).astype(np.float32)
     for step in range(1, 121):
         margin = sign * (x @ w[:-1] + w[-1])
         pull = -2 * weight * sign * np.maximum(0, 1 - margin)
-        gradient = np.append(x.T @ pull, pull.sum()) + 1e-4 * np.append(w[:-1], 0)
+        gradient = np.append(pull @ x, pull.sum()) + np.float32(1e-4) * np.append(w[:-1], np.float32(0))
         first, second = 0.9 * first + 0.1 * gradient, 0.99 * second + 0.01 * gradient**2
         w -= 0.02 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
     return w[:-1], float(w[-1])
