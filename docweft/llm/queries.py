@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docweft.llm import decontamination, language, near_duplicates, packing, token_count, toxicity
+from docweft.llm import chat_format, decontamination, fingerprints, language, licenses, near_duplicates, packing, token_count, toxicity, url_filter
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -16,14 +16,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(list(url_filter.HOST_RULES), "rule string, verdict string")
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.rotate(table(spark, sf_dir, "conversations"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,12 +58,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filters": op1_url_filters,
     "op2_token_counts": op2_token_counts,
+    "op3_fingerprints": op3_fingerprints,
     "op4_decontamination": op4_decontamination,
+    "op5_chat_formatting": op5_chat_formatting,
+    "op6_license_scan": op6_license_scan,
     "op7_toxicity": op7_toxicity,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The other operators learn, align or tokenise, which SQL cannot express; their tests use brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filters": url_filter.ORACLE_SQL,
+    "op3_fingerprints": fingerprints.ORACLE_SQL,
+    "op5_chat_formatting": chat_format.ORACLE_SQL,
+    "op6_license_scan": licenses.ORACLE_SQL,
+}
