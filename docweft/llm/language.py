@@ -19,7 +19,7 @@ from docweft.llm.shared import crc_part
 from docweft.llm.words import lowered, mix, sliced, word_mask
 
 #: Labelled rows fitted at most, the same number of each language, chosen by a hash of the id.
-MAX_ROWS = 4000
+MAX_ROWS = 3000
 FEATURES = 1 << 13
 #: Lengths, in bytes, of the letter sequences.
 GRAMS = (2, 3, 4)
@@ -144,17 +144,23 @@ def _machine(x: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, float]:
 
 def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> Model | None:
     """The two levels of machines; None where no text has a language."""
-    rows = training_rows(docs, max_rows).select("lang", "text").mapInArrow(_frequencies, "lang string, ids array<int>, counts array<float>").toArrow().to_pydict()
-    if not rows["lang"]:
+    rows = training_rows(docs, max_rows).select("lang", "text").mapInArrow(_frequencies, "lang string, ids array<int>, counts array<float>").toArrow()
+    if not rows.num_rows:
         return None
-    x = np.zeros((len(rows["lang"]), FEATURES), np.float32)
-    for i, (ids, counts) in enumerate(zip(rows["ids"], rows["counts"], strict=True)):
-        if ids:
-            x[i, ids] = np.array(counts, np.float32) / sum(counts)
-    scale = 1 / (x.std(axis=0) + 1e-4) / np.sqrt(FEATURES)
+    language = np.array(rows.column("lang").to_pylist(), object)
+    ids, counts = (rows.column(c).combine_chunks() for c in ("ids", "counts"))
+    sizes = np.diff(ids.offsets.to_numpy())
+    row = np.repeat(np.arange(len(language)), sizes)
+    counts = counts.flatten().to_numpy()
+    total = np.bincount(row, weights=counts, minlength=len(language)).astype(np.float32)
+    x = np.zeros((len(language), FEATURES), np.float32)
+    x[row, ids.flatten().to_numpy()] = counts / total[row]
+    del rows, ids, counts, row
+    mean = x.mean(axis=0)
+    spread = np.sqrt(np.maximum(np.einsum("ij,ij->j", x, x) / len(x) - mean * mean, 0))
+    scale = (1 / (spread + 1e-4) / np.sqrt(FEATURES)).astype(np.float32)
     x *= scale
-    language = np.array(rows["lang"], object)
-    known = sorted(set(rows["lang"]))
+    known = sorted(set(language))
     families = sorted({family(c) for c in known})
     members = [[c for c in known if family(c) == f] for f in families]
     of = np.array([families.index(family(c)) for c in language])
