@@ -17,13 +17,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweft.llm.shared import written
-from docweft.llm.token_count import slices, vocabulary
+from docweft.llm.token_count import vocabulary
+from docweft.llm.words import sliced
 
 WINDOW = 1024
 #: Ends each document.
 END_ID = 0
-#: Characters of text tokenised for one output batch.
-BATCH_CHARS = 2_000_000
+#: Bytes of text tokenised for one output batch.
+BATCH_CHARS = 1_000_000
 
 _STREAM = "part int, doc_id long, at long, doc_tokens long, ids binary"
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -35,14 +36,13 @@ def token_streams(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, part, at = vocabulary(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts, names = batch.column("text").to_pylist(), batch.column("doc_id")
-            for a, b in slices(texts, BATCH_CHARS):
-                ids = [np.append(x, end_id).astype("<u4") for x in bpe.encode(texts[a:b])]
-                sizes = np.fromiter(map(len, ids), np.int64, b - a)
+            for piece in sliced(batch, most=BATCH_CHARS):
+                ids = [np.append(x, end_id).astype("<u4") for x in bpe.encode(piece.column("text").to_pylist())]
+                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
                 offsets = at + np.cumsum(sizes) - sizes
                 at += int(sizes.sum())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(b - a, part, np.int32)), names.slice(a, b - a), pa.array(offsets), pa.array(sizes), pa.array([x.tobytes() for x in ids], pa.binary())],
+                    [pa.array(np.full(len(ids), part, np.int32)), piece.column("doc_id"), pa.array(offsets), pa.array(sizes), pa.array([x.tobytes() for x in ids], pa.binary())],
                     names=["part", "doc_id", "at", "doc_tokens", "ids"],
                 )
 

@@ -17,10 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Code points handled at once; a longer text is a batch of its own.
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 250_000
 #: Slots of the pre-token cache and token ids that it may hold before it starts anew: both bound a worker's memory.
 CACHE_SLOTS = 1 << 20
-CACHE_IDS = 1 << 23
+CACHE_IDS = 1 << 22
 #: Longer pre-tokens are merged each time they occur.
 CACHE_CHARS = 64
 
