@@ -73,8 +73,13 @@ def similar_terms(vocabulary: DataFrame, asked: DataFrame, threshold: float = 0.
     vocabulary = vocabulary.select("term").distinct()
     low, high = F.ceil(F.length("asked") * threshold).cast("int"), F.floor(F.length("asked") / threshold).cast("int")
     near = asked.select("asked", F.explode(F.sequence(low, high)).alias("size")).join(vocabulary.withColumn("size", F.length("term")), "size").select("asked", "term")
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3)))
-    inside = vocabulary.select("term", F.explode(F.array_distinct(grams(F.col("term")))).alias("gram")).join(asked.select("asked", F.substring("asked", 1, 3).alias("gram")), "gram").filter(F.contains("term", "asked")).select("asked", "term")
+    grams = lambda n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("term") - n + 1, F.lit(1))), lambda i: F.substring(F.col("term"), i, F.lit(n))))
+    # terms of one or two letters are asked for rarely, and only then is the vocabulary cut so finely
+    short = sorted(r[0] for r in asked.filter("asked <> ''").select(F.least(F.length("asked"), F.lit(3))).distinct().collect())
+    pieces = [vocabulary.select("term", F.explode(grams(n)).alias("gram")).join(asked.filter(F.least(F.length("asked"), F.lit(3)) == n).select("asked", F.substring("asked", 1, n).alias("gram")), "gram") for n in short]
+    inside = near.limit(0)
+    for piece in pieces:
+        inside = inside.unionByName(piece.filter(F.contains("term", "asked")).select("asked", "term"))
     size = F.length("asked")
     parts = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substring(F.col("asked"), i, n))))
     around = asked.select("asked", F.explode(F.array_distinct(parts)).alias("term")).join(vocabulary, "term").select("asked", "term")
