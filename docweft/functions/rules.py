@@ -56,9 +56,10 @@ DIFFICULTY_WORDS = {
 }
 PROOF_MARKS = r"\\begin\{proof\}|∎|qed"
 CONCEPT_SCIENTISTS = ("Newton", "Maxwell", "Einstein", "Schrödinger", "Heisenberg", "Boltzmann", "Planck", "Faraday", "Gauss", "Coulomb")
-#: Over lower-case text.
-NAMED_LAW = EDGE_LEFT + r"([a-z][a-z]+(?:\s+[a-z][a-z]+)*(?:'s)?)\s+(?:law|theorem|equation|principle|rule|formula|constant)"
-CAPITALISED = r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)"
+#: Over lower-case text. Phrases have at most 61 words, here and below, so that no text exhausts the pattern matcher's stack.
+LAW_WORDS = ("law", "theorem", "equation", "principle", "rule", "formula", "constant")
+NAMED_LAW = EDGE_LEFT + r"([a-z][a-z]+(?:\s+[a-z][a-z]+){0,60}(?:'s)?)\s+(?:" + "|".join(LAW_WORDS) + ")"
+CAPITALISED = r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,60})"
 ABSTRACT_NOUN = r"([a-z]+(?:tion|ment|ness|ity))"
 CHUNK_STOPWORDS = ("the", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had")
 
@@ -226,7 +227,7 @@ DELIMITED_FORMULAS = (
 )
 BARE_FORMULAS = (
     r"[A-Za-z]+\s*=\s*[^,\.\n]{3,}(?:[\+\-\*/\^]|\\frac|\\sqrt|\\int)",
-    r"(?:[A-Z][a-z]?\d*)+\s*(?:->|→|\\rightarrow)\s*(?:[A-Z][a-z]?\d*)+",
+    r"(?:[A-Z][a-z]?\d*){1,60}\s*(?:->|→|\\rightarrow)\s*(?:[A-Z][a-z]?\d*){1,60}",
 )
 
 # Fusion and answers

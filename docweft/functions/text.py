@@ -101,8 +101,9 @@ def difficulty(content: Column) -> Column:
 def concepts(content: Column, domain_name: Column) -> Column:
     """Named laws, keywords of the domain and scientists of a chunk: the first ten in order."""
     low = F.lower(content)
-    named = F.regexp_extract_all(low, F.lit(rules.NAMED_LAW), F.lit(1))
     none = F.array().cast("array<string>")
+    # the pattern is tried only where one of its last words occurs at all
+    named = F.when(contains_any(low, rules.LAW_WORDS), F.regexp_extract_all(low, F.lit(rules.NAMED_LAW), F.lit(1))).otherwise(none)
     keywords = none
     for name, words in rules.DOMAIN_KEYWORDS.items():
         keywords = F.when(domain_name == name, F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w))).otherwise(keywords)
