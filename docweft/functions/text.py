@@ -37,11 +37,10 @@ def first_match(text: Column, patterns: Iterable[tuple[str, str]], otherwise: Co
 
 def arg_max(scores: dict[str, Column], otherwise: Column) -> Column:
     """The name with the highest score; of equals the first; ``otherwise`` if none is above 0."""
-    best = F.greatest(*scores.values())
-    chain = F.when(best == 0, otherwise)
-    for name, score in scores.items():
-        chain = chain.when(score == best, F.lit(name))
-    return chain
+    ranked = F.array(*[F.struct(score.alias("score"), F.lit(-i).alias("place"), F.lit(name).alias("name")) for i, (name, score) in enumerate(scores.items())])
+    # the array of one element binds the best score, so that every score is computed once
+    best = F.transform(F.array(F.array_max(ranked)), lambda b: F.when(b["score"] > 0, b["name"]).otherwise(otherwise))
+    return F.element_at(best, 1)
 
 
 def block_type(content: Column, font_size: Column, bold: Column) -> Column:
@@ -104,9 +103,8 @@ def concepts(content: Column, domain_name: Column) -> Column:
     none = F.array().cast("array<string>")
     # the pattern is tried only where one of its last words occurs at all
     named = F.when(contains_any(low, rules.LAW_WORDS), F.regexp_extract_all(low, F.lit(rules.NAMED_LAW), F.lit(1))).otherwise(none)
-    keywords = none
-    for name, words in rules.DOMAIN_KEYWORDS.items():
-        keywords = F.when(domain_name == name, F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w))).otherwise(keywords)
+    by_domain = F.create_map(*[x for name, words in rules.DOMAIN_KEYWORDS.items() for x in (F.lit(name), F.array(*[F.lit(w) for w in words]))])
+    keywords = F.filter(F.coalesce(F.try_element_at(by_domain, domain_name), none), lambda w: F.contains(low, w))
     people = F.filter(F.array(*[F.lit(p) for p in rules.CONCEPT_SCIENTISTS]), lambda p: F.contains(low, F.lower(p)))
     return F.slice(F.array_sort(F.array_distinct(F.concat(named, keywords, people))), 1, 10)
 
