@@ -74,15 +74,17 @@ def fingerprint(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """
     parts = parts or 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    paired = with_next(texts.withColumn("pieces", pieces(F.col("text"))), "doc_id", ["text", "pieces"], parts)
+    # only texts are shuffled: cutting the following text again costs less than moving its pieces
+    paired = with_next(texts, "doc_id", ["text"], parts)
     paired = paired.withColumn("edited", edited(F.col("text"), F.col("next_text")))
+    paired = paired.withColumns({"pieces": pieces(F.col("text")), "edited_pieces": pieces(F.col("edited")), "next_pieces": pieces(F.col("next_text"))})
     return paired.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         root(F.col("text")).alias("fingerprint"),
         root(F.col("edited")).alias("edited_fingerprint"),
-        likeness(F.col("pieces"), pieces(F.col("edited"))).alias("near_edited"),
+        likeness(F.col("pieces"), F.col("edited_pieces")).alias("near_edited"),
         likeness(F.col("pieces"), F.col("next_pieces")).alias("near_next"),
     )
 
