@@ -50,8 +50,12 @@ def canonical(text: Column) -> Column:
     differ (rarely), which does no harm to the comparison of whole texts.
     """
     plain = F.regexp_replace(F.lower(text), COPYRIGHT, "")
-    spaced = F.concat(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    spelled = F.regexp_replace(spaced, "licenc", "licens")
+    return spelled(F.concat(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "), F.lit(" ")))
+
+
+def spelled(spaced: Column) -> Column:
+    """Words with one space after each, in one spelling."""
+    spelled = F.replace(spaced, F.lit("licenc"), F.lit("licens"))
     spelled = F.regexp_replace(spelled, r"([a-z]{3})is(e|es|ed|ing|ation|ations) ", "$1iz$2 ")
     spelled = F.regexp_replace(spelled, r"([a-z]{3})our(s|ed|able)? ", "$1or$2 ")
     return F.trim(spelled)
@@ -62,9 +66,15 @@ def digest(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    """``digest`` and ``license`` of known texts; of several licences with one text the first in order counts."""
+    """``digest``, first ``word`` and ``license`` of known texts; of several licences with one text the first counts."""
     rows = spark.createDataFrame(list(known), "license string, known string")
-    return rows.groupBy(digest(F.col("known")).alias("digest")).agg(F.min("license").alias("license"))
+    word = F.regexp_extract(canonical(F.col("known")), "^[^ ]*", 0)
+    return rows.groupBy(digest(F.col("known")).alias("digest"), word.alias("word")).agg(F.min("license").alias("license"))
+
+
+def first_word(line: Column) -> Column:
+    """The first word of a line's canonical form, if the line is no copyright line."""
+    return F.trim(spelled(F.concat(F.regexp_extract(F.lower(line), r"[\p{L}\p{N}]+", 0), F.lit(" "))))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -75,11 +85,14 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     ignored. Known digests are broadcast only up to a checked number; Spark shuffles them otherwise.
     """
     known = known_digests(docs.sparkSession) if known is None else known
-    known = hint(known.filter(F.col("digest") != F.sha2(F.lit(""), 256)))
+    known = written(known.filter(F.col("digest") != F.sha2(F.lit(""), 256)), "known-licenses")
+    words, known = hint(known.select("word").distinct()), hint(known.select("digest", "license"))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # equal texts under one id are one key, looked up once
     key = [F.col("doc_id"), F.xxhash64("text").alias("text_hash")]
-    lines = texts.select(*key, F.explode(F.split("text", "\n", -1)).alias("line")).select("doc_id", "text_hash", digest(F.col("line")).alias("digest"))
+    # only lines that begin like a known text are brought to their whole canonical form
+    lines = texts.select(*key, F.explode(F.split("text", "\n", -1)).alias("line")).withColumn("word", first_word(F.col("line"))).join(words, "word", "left_semi")
+    lines = lines.select("doc_id", "text_hash", digest(F.col("line")).alias("digest"))
     noticed = lines.join(known, "digest").groupBy("doc_id", "text_hash").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
     noticed = written(noticed.select(F.col("doc_id").alias("noticed_id"), F.col("text_hash").alias("noticed_hash"), "notices"), "notices")
     whole = texts.select(*key, digest(F.col("text")).alias("digest")).join(known, "digest", "left")
