@@ -31,7 +31,7 @@ def document_frequency(indexed: DataFrame, key: str) -> DataFrame:
 def top(scored: DataFrame, query: str, key: str, k: int) -> DataFrame:
     """The ``k`` best rows of each query, ranked from 0; equal scores by key. Ranked before the shuffle, too."""
     best = Window.partitionBy(query).orderBy(F.col("score").desc(), F.col(key))
-    return scored.withColumn("rank", F.row_number().over(best) - 1).filter(F.col("rank") < k)
+    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
 
 def bm25(indexed: DataFrame, key: str, queries: DataFrame, query: str, k: int = 10) -> DataFrame:

@@ -40,7 +40,7 @@ def top_k(vectors: DataFrame, key: str, queries: DataFrame, query: str, k: int =
     for more in parts[1:]:
         best = best.unionByName(more)
     order = Window.partitionBy("query").orderBy(F.col("score").desc(), "key")
-    ranked = best.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k)
+    ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
     names = {"key": key, "query": query} if key != query else {"key": key, "query": f"query_{query}"}
     return ranked.select(F.col("query").alias(names["query"]), F.col("key").alias(names["key"]), F.round("score", 6).alias("score"), "rank")
 
@@ -102,7 +102,7 @@ def inverted_file(vectors: DataFrame, key: str, lists: int = 16) -> tuple[DataFr
     return rows.select(key, "embedding", nearest_lists(F.col("embedding"), c)[0].alias("list_id") if len(c) else F.lit(0).alias("list_id")), c
 
 
-def approximate_top_k(index: DataFrame, c: np.ndarray, key: str, queries: DataFrame, query: str, k: int = 10, probes: int = 8) -> DataFrame:
+def approximate_top_k(index: DataFrame, c: np.ndarray, key: str, queries: DataFrame, query: str, k: int = 10, probes: int = 12) -> DataFrame:
     """``top_k`` among the vectors of the ``probes`` lists nearest to each query, joined by list."""
     asked = queries.filter(F.col("embedding").isNotNull()).select(F.col(query).alias("query"), F.col("embedding").alias("asked"), F.explode(nearest_lists(F.col("embedding"), c, probes)).alias("list_id"))
     pairs = index.select(F.col(key).alias("key"), "embedding", "list_id").join(asked, "list_id")
@@ -113,7 +113,7 @@ def approximate_top_k(index: DataFrame, c: np.ndarray, key: str, queries: DataFr
 
     scored = pairs.select("query", "key", product("embedding", "asked").alias("score"))
     order = Window.partitionBy("query").orderBy(F.col("score").desc(), "key")
-    ranked = scored.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k)
+    ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
     return ranked.select(F.col("query").alias(f"query_{query}"), F.col("key").alias(key), F.round("score", 6).alias("score"), "rank")
 
 

@@ -29,7 +29,7 @@ def text_hits(embedded: DataFrame, key: str, queries: DataFrame, k: int) -> Data
 def cut(found: DataFrame, order: list, k: int) -> DataFrame:
     """The first ``k`` hits of each query in the given order, ranked anew."""
     by = Window.partitionBy("query_id").orderBy(*order)
-    return found.withColumn("rank", (F.row_number().over(by) - 1).cast("int")).filter(F.col("rank") < k)
+    return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).withColumn("rank", (F.col("rank") - 1).cast("int"))
 
 
 def physics(formulas: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
