@@ -66,6 +66,24 @@ def test_classes_match_brute_force(spark):
     assert {got[i] for i in range(125, 145)} == set(range(125, 145))
 
 
+def test_near_pairs_behind_a_crowd(spark):
+    rng = random.Random(12)
+    texts, last = {}, set()
+    for family in range(3):
+        template = text(rng, 300).split()
+        # crowd: six words of its own each, likeness 0.67; the last two: three words each, likeness 0.74 and 0.82
+        for n, changed in enumerate([6] * 40 + [3, 3]):
+            words = template[:]
+            for place in rng.sample(range(5, 290, 6), changed) if changed == 6 else range(40 + 30 * (n % 2), 290, 90):
+                words[place] = f"own{family}x{n}x{place}"
+            texts[len(texts)] = " ".join(words)
+        last |= {len(texts) - 2, len(texts) - 1}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in nd.classes(docs).collect()}
+    assert got == brute_classes(texts, nd.SIMILARITY)
+    assert all(got[i] == i - i % 2 for i in last)
+
+
 def test_a_chain_is_one_class_and_odd_rows(spark):
     rng = random.Random(4)
     words = text(rng, 400).split()
