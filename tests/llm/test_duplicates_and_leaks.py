@@ -84,6 +84,22 @@ def test_near_pairs_behind_a_crowd(spark):
     assert all(got[i] == i - i % 2 for i in last)
 
 
+def test_short_texts_match_brute_force(spark):
+    rng = random.Random(14)
+    texts = {}
+    for length in range(8, 16):
+        for _ in range(40):
+            base = text(rng, length, 10**6).split()
+            other = rng.choice([base[:-1], base[1:], base[:-2], [*base, "more"], ["changed", *base[1:]]])
+            for words in (base, other):
+                texts[len(texts)] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in nd.classes(docs).collect()}
+    assert got == brute_classes(texts, nd.SIMILARITY)
+    exactly = [i for i in texts if i % 2 and jaccard(texts[i - 1], texts[i]) == 0.8]
+    assert len(exactly) > 20 and all(got[i] == i - 1 for i in exactly)
+
+
 def test_a_chain_is_one_class_and_odd_rows(spark):
     rng = random.Random(4)
     words = text(rng, 400).split()
