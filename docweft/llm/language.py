@@ -1,7 +1,8 @@
 """Language identification by hierarchical discrimination.
 
 A linear classifier over letter sequences first picks the language family; within it, one-versus-one linear
-support vector machines separate the closely related languages, each pair by its own machine.
+support vector machines separate the closely related languages, each pair by its own machine. How usual a text's
+letter sequences are in the language picked tells texts of no learned language, which the machines cannot.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ FEATURES = 1 << 13
 #: Lengths, in bytes, of the letter sequences.
 GRAMS = (2, 3, 4)
 UNDETERMINED = "und"
+#: Deviations that a text may have at least; more where one in twenty labelled texts has over a quarter of them.
+LEAST_CUT = -8.0
 
 #: Families of language codes; any other code is a family of its own.
 FAMILIES = {
@@ -41,6 +44,56 @@ def family(code: str) -> str:
     return _FAMILY.get(code.split("-")[0].split("_")[0].lower(), code)
 
 
+@dataclass
+class Profile:
+    """How usual letter sequences are in each language: logarithms, and their level and spread in its texts."""
+
+    languages: list[str]
+    logs: np.ndarray
+    level: np.ndarray
+    spread: np.ndarray
+    within: np.ndarray
+    #: Texts at this deviation from the level count half.
+    cut: np.ndarray
+
+    def likeness(self, code: np.ndarray, owner: np.ndarray, language: np.ndarray) -> np.ndarray:
+        """How well each text fits the language picked for it (0 to 1): near 1 for its like, near 0 for the unlike."""
+        of = np.searchsorted(np.array(self.languages, object), language)
+        count = np.maximum(np.bincount(owner, minlength=len(language)), 1)
+        usual = np.bincount(owner, weights=self.logs[of[owner], code], minlength=len(language)) / count
+        deviation = _deviation(usual, count, self.level[of], self.spread[of], self.within[of])
+        return 1 / (1 + np.exp(np.clip(self.cut[of] - deviation, -50, 50)))
+
+
+def _deviation(usual: np.ndarray, count: np.ndarray, level: np.ndarray, spread: np.ndarray, within: np.ndarray) -> np.ndarray:
+    """The distance from the level in units of what texts of this length spread; about eight sequences overlap."""
+    return (usual - level) / np.sqrt(spread**2 + 8 * within / count + 1e-6)
+
+
+def _logs(x: np.ndarray) -> np.ndarray:
+    return np.log(0.9 * x.mean(axis=0) + 0.1 / FEATURES)
+
+
+def _profile(x: np.ndarray, total: np.ndarray, language: np.ndarray) -> Profile:
+    """The profile from rows of frequencies; each half of a language's rows is measured with the logarithms of the other."""
+    known = sorted(set(language))
+    logs, numbers = np.zeros((len(known), FEATURES), np.float32), np.zeros((4, len(known)))
+    for i, code in enumerate(known):
+        rows = np.flatnonzero(language == code)
+        logs[i] = _logs(x[rows])
+        halves = (rows[::2], rows[1::2]) if len(rows) > 1 else (rows, rows)
+        usual, square = np.zeros(len(language)), np.zeros(len(language))
+        for a, b in (halves, halves[::-1]):
+            other = _logs(x[b])
+            usual[a], square[a] = x[a] @ other, x[a] @ other**2
+        usual, within = usual[rows], float(np.median(square[rows] - usual[rows] ** 2))
+        level = float(np.median(usual))
+        spread = 1.4826 * float(np.median(np.abs(usual - level)))
+        deviation = _deviation(usual, total[rows], level, spread, within)
+        numbers[:, i] = level, spread, within, min(LEAST_CUT, 4 * float(np.quantile(deviation, 0.05)))
+    return Profile(known, logs, *numbers)
+
+
 @dataclass
 class Model:
     """One column of weights for each machine: families one against the rest, then pairs of languages within each."""
@@ -50,6 +103,7 @@ class Model:
     families: list[str]
     members: list[list[str]]
     pairs: list[tuple[int, int, int]]
+    profile: Profile
 
     def decide(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Languages and confidences from the margins of all machines."""
@@ -156,6 +210,7 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> Model | None:
     x = np.zeros((len(language), FEATURES), np.float32)
     x[row, ids.flatten().to_numpy()] = counts / total[row]
     del rows, ids, counts, row
+    profile = _profile(x, total, language)
     mean = x.mean(axis=0)
     spread = np.sqrt(np.maximum(np.einsum("ij,ij->j", x, x) / len(x) - mean * mean, 0))
     scale = (1 / (spread + 1e-4) / np.sqrt(FEATURES)).astype(np.float32)
@@ -172,11 +227,11 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> Model | None:
             machines.append(_machine(x[chosen], np.where(language[chosen] == codes[a], 1, -1)))
             pairs.append((f, a, b))
     weights = np.stack([w for w, _ in machines], axis=1) * scale[:, None] if machines else np.zeros((FEATURES, 0))
-    return Model(weights.astype(np.float32), np.array([b for _, b in machines]), families, members, pairs)
+    return Model(weights.astype(np.float32), np.array([b for _, b in machines]), families, members, pairs, profile)
 
 
 def language_of(text: Column, model: Model | None) -> Column:
-    """A struct of the predicted language and its confidence; ``und`` for texts without a letter."""
+    """A struct of the predicted language and its confidence, low for texts unlike it; ``und`` for texts without a letter."""
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -188,7 +243,7 @@ def language_of(text: Column, model: Model | None) -> Column:
                 margins = np.stack([np.bincount(owner, weights=model.weights[code, k], minlength=part.num_rows) / count + b for k, b in enumerate(model.bias)], axis=1) if len(model.bias) else np.zeros((part.num_rows, 0))
                 language, score = model.decide(margins)
                 languages.append(language)
-                scores.append(score)
+                scores.append(score * model.profile.likeness(code, owner, language))
             yield pa.StructArray.from_arrays([pa.array(np.concatenate(languages), pa.string()), pa.array(np.concatenate(scores))], names=["lang_pred", "score"])
 
     nothing = F.struct(F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from docweft.llm import decontamination, language, near_duplicates, packing, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Texts with a letter are rejected only where no language is at all likely; clean ones score 0.25 and more.
+#: The lead among languages alone scores 0.25 and more; texts unlike the language picked for them fall below.
 LEAST_LANGUAGE_SCORE = 0.15
 
 
@@ -24,8 +24,11 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a recognisable language."""
-    found = docs.withColumn("_found", language.language_of(F.col("text"), language.fit(docs)))
+    """Rejects documents without a recognisable language; where none can be learned, those without a letter."""
+    model = language.fit(docs)
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    found = docs.withColumn("_found", language.language_of(F.col("text"), model))
     kept = (F.col("_found.lang_pred") != language.UNDETERMINED) & (F.col("_found.score") >= LEAST_LANGUAGE_SCORE)
     return found.filter(kept).drop("_found")
 

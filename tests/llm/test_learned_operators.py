@@ -3,7 +3,7 @@
 import random
 import zlib
 
-from docweft.llm import language, toxicity
+from docweft.llm import language, stages, toxicity
 
 CLEAN = "the quick report says that many people like to walk in a green park near rivers every week".split()
 BAD = ["blarg", "snorf", "grunk"]
@@ -98,3 +98,17 @@ def test_language_without_examples(spark):
 
 def test_families_come_first():
     assert language.family("pt-BR") == "romance" and language.family("xx") == "xx"
+
+
+def test_texts_of_no_learned_language_go(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(SAMPLES[lang]) for _ in range(rng.randint(15, 60))), lang) for i, lang in enumerate(rng.choices(list(SAMPLES), k=600))]
+    unlike = ["hyvää huomenta kaikille tänään on kaunis päivä ja aurinko paistaa kirkkaasti metsän yllä kun linnut laulavat", "dzień dobry wszystkim dzisiaj jest piękny dzień i słońce świeci jasno nad lasem kiedy ptaki śpiewają"]
+    unlike += [" ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randint(3, 9))) for _ in range(30)) for _ in range(20)]
+    docs = spark.createDataFrame(rows + [(1000 + i, t, None) for i, t in enumerate(unlike)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in stages.identify_language(spark, docs, "").collect()) == list(range(600))
+
+
+def test_letters_stay_where_no_language_can_be_learned(spark):
+    docs = spark.createDataFrame([(1, "some text", None), (2, "123", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in stages.identify_language(spark, docs, "").collect()] == [1]
