@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 from docweft.llm import chat_format, fingerprints, licenses, url_filter
 
@@ -117,3 +118,16 @@ def test_licenses(spark):
     got = sorted(((r.doc_id or 0, r.license, r.notices) for r in licenses.scan(docs).collect()), key=str)
     assert got == sorted([(1, "MIT", ""), (2, None, "MIT,all-rights-reserved"), (3, None, ""), (4, None, ""), (0, "CC-BY-NC-4.0", "CC-BY-NC-4.0"), (0, "CC-BY-NC-4.0", "CC-BY-NC-4.0"), (5, None, "")], key=str)
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_wrapped_licenses(spark):
+    known = [(name, whole) for name, whole in licenses.KNOWN + licenses.WHOLE if len(whole) > 200]
+    rows = []
+    for name, whole in known:
+        for width in (60, 72, 80):
+            wrapped = "\n".join(textwrap.fill(line, width) for line in whole.split("\n"))
+            rows += [(len(rows), f"Copyright 2021 Some Body\n\n{wrapped}\n", name)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, name string")
+    got = {r.doc_id: r.license for r in licenses.scan(docs).collect()}
+    assert got == {i: name for i, _, name in rows}
+    assert {name for _, _, name in rows} == {"MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "BSL-1.0", "Unlicense"}
