@@ -27,6 +27,8 @@ GRAMS = (2, 3, 4)
 UNDETERMINED = "und"
 #: Deviations that a text may have at least; more where one in twenty labelled texts has over a quarter of them.
 LEAST_CUT = -8.0
+#: The spread of a language's texts is taken as so much at least, as some have an odd passage in ordinary prose.
+LEAST_SPREAD = 0.1
 
 #: Families of language codes; any other code is a family of its own.
 FAMILIES = {
@@ -88,7 +90,7 @@ def _profile(x: np.ndarray, total: np.ndarray, language: np.ndarray) -> Profile:
             usual[a], square[a] = x[a] @ other, x[a] @ other**2
         usual, within = usual[rows], float(np.median(square[rows] - usual[rows] ** 2))
         level = float(np.median(usual))
-        spread = 1.4826 * float(np.median(np.abs(usual - level)))
+        spread = max(LEAST_SPREAD, 1.4826 * float(np.median(np.abs(usual - level))))
         deviation = _deviation(usual, total[rows], level, spread, within)
         numbers[:, i] = level, spread, within, min(LEAST_CUT, 4 * float(np.quantile(deviation, 0.05)))
     return Profile(known, logs, *numbers)
