@@ -16,10 +16,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     The session's ``spark.checkpoint.dir`` names it; a local temporary folder is taken (and set) only
-    where that setting is absent, as in tests in one process.
+    where that setting is absent and Spark runs in one process, as in tests. What is written there is left for the
+    cluster's own clearing of that folder, as results may be read from it later.
     """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         place = "file://" + tempfile.mkdtemp(prefix="docweft-shared-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place
@@ -43,6 +46,22 @@ def hint(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df
 
 
+def counted_join(rows: DataFrame, table: DataFrame, key: str, count: str = "n") -> DataFrame:
+    """``rows`` joined with a ``table`` that has one row for each ``key`` and tells how many of ``rows`` have it.
+
+    Keys of many rows are handed out by broadcast, so that no task gets all rows of one; the least number that makes
+    a key such a one is raised until its checked size allows the broadcast.
+    """
+    for most in (1_000, 100_000, 10_000_000):
+        often = table.filter(F.col(count) > most)
+        if small(often):
+            if often.isEmpty():
+                break
+            seldom = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(table.filter(F.col(count) <= most), key)
+            return seldom.unionByName(rows.join(F.broadcast(often), key))
+    return rows.join(table, key)
+
+
 def crc_part(doc_id: str = "doc_id", parts: int = 4) -> Column:
     """crc32 of the id as text, modulo ``parts``; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % F.lit(parts)

@@ -34,10 +34,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near-duplicates, and of rows with one id."""
-    kept = near_duplicates.classes(docs).filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id")
-    named = docs.filter(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    """Keeps one row of each class of near-duplicates: the text decides, whatever the ids; equal rows are one class."""
+    return near_duplicates.deduplicated(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

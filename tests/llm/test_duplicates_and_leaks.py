@@ -29,7 +29,24 @@ def jaccard(a, b):
     return len(x & y) / len(x | y)
 
 
-def brute_classes(texts, low):
+def similarity(a, b):
+    """1 - word edits / longer text, by the plain recurrence, one row at a time."""
+    x, y = (np.array(re.findall(r"\w+", (t or "").lower()), object) for t in (a, b))
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    row = np.arange(len(y) + 1)
+    steps = np.arange(len(y) + 1)
+    for i, w in enumerate(x, 1):
+        best = np.minimum(row[1:] + 1, row[:-1] + (y != w))
+        row = np.minimum.accumulate(np.concatenate([[i], best]) - steps) + steps
+    return 1 - row[-1] / max(len(x), len(y))
+
+
+def brute_links(texts, like, low):
+    return {(a, b) for a, b in itertools.combinations(sorted(texts), 2) if like(texts[a], texts[b]) >= low}
+
+
+def brute_classes(texts, links):
     label = {i: i for i in texts}
 
     def find(i):
@@ -37,19 +54,23 @@ def brute_classes(texts, low):
             i = label[i]
         return i
 
-    for a, b in itertools.combinations(sorted(texts), 2):
-        if jaccard(texts[a], texts[b]) >= low:
-            x, y = sorted((find(a), find(b)))
-            label[y] = x
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        label[y] = x
     return {i: find(i) for i in texts}
 
 
+def found_classes(spark, texts):
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    return {r.doc_id: r.class_id for r in nd.classes(docs).collect()}
+
+
 def test_classes_match_brute_force(spark):
     rng = random.Random(11)
     texts, n = {}, 0
     for _ in range(25):
-        base = text(rng, rng.randint(40, 300))
-        for rate in (0, 0, 0.004, 0.01, 0.3):
+        base = text(rng, rng.randint(40, 200))
+        for rate in (0, 0, 0.03, 0.08, 0.5):
             texts[n] = edited(rng, base, rate) if rate else base
             n += 1
     passage = text(rng, 80)
@@ -60,47 +81,81 @@ def test_classes_match_brute_force(spark):
     rng.shuffle(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string, class_id string")
     got = {r.doc_id: r.class_id for r in nd.classes(docs).collect()}
-    want = brute_classes(texts, nd.SIMILARITY)
-    near = {i for i in texts if any(0.77 < jaccard(texts[i], texts[j]) < 0.82 for j in texts if j != i)}
-    assert {i: c for i, c in got.items() if i not in near} == {i: c for i, c in want.items() if i not in near}
+    assert got == brute_classes(texts, brute_links(texts, similarity, nd.SIMILARITY))
     assert {got[i] for i in range(125, 145)} == set(range(125, 145))
 
 
+def test_recall_at_and_around_the_threshold(spark):
+    rng = random.Random(21)
+    for share, least in ((0.19, 0.9), (0.15, 0.95), (0.1, 0.99)):
+        texts = {}
+        for i in range(150):
+            base = text(rng, rng.randint(60, 250)).split()
+            other = base[:]
+            for place in rng.sample(range(len(base)), int(share * len(base))):
+                other[place] = f"new{i}x{place}"
+            texts[2 * i], texts[2 * i + 1] = " ".join(base), " ".join(other)
+        got = found_classes(spark, texts)
+        assert np.mean([got[2 * i] == got[2 * i + 1] for i in range(150)]) >= least
+        assert all(got[2 * i] == 2 * i for i in range(150))
+
+
 def test_near_pairs_behind_a_crowd(spark):
     rng = random.Random(12)
-    texts, last = {}, set()
+    texts, last = {}, []
     for family in range(3):
-        template = text(rng, 300).split()
-        # crowd: six words of its own each, likeness 0.67; the last two: three words each, likeness 0.74 and 0.82
-        for n, changed in enumerate([6] * 40 + [3, 3]):
+        template = text(rng, 200).split()
+        # a crowd of 40 that share two thirds of their words and are unlike; in it two pairs that differ in a few words more
+        for n in range(40):
             words = template[:]
-            for place in rng.sample(range(5, 290, 6), changed) if changed == 6 else range(40 + 30 * (n % 2), 290, 90):
-                words[place] = f"own{family}x{n}x{place}"
+            for block in rng.sample(range(0, 200, 10), 7):
+                words[block : block + 10] = text(rng, 10, 10**6).split()
             texts[len(texts)] = " ".join(words)
-        last |= {len(texts) - 2, len(texts) - 1}
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r.doc_id: r.class_id for r in nd.classes(docs).collect()}
-    assert got == brute_classes(texts, nd.SIMILARITY)
-    assert all(got[i] == i - i % 2 for i in last)
+            if n in (20, 39):
+                for place in rng.sample(range(200), 6):
+                    words[place] = f"own{family}x{n}x{place}"
+                last.append(len(texts))
+                texts[len(texts)] = " ".join(words)
+    got = found_classes(spark, texts)
+    assert got == brute_classes(texts, brute_links(texts, similarity, nd.SIMILARITY))
+    assert all(got[i] == i - 1 for i in last)
 
 
-def test_short_texts_match_brute_force(spark):
+def test_common_shingles_are_never_missed(spark):
+    """Pairs with 80 % of their word 5-grams in common, from 9 words up, exactly at the threshold too."""
     rng = random.Random(14)
     texts = {}
-    for length in range(8, 16):
+    for length in [*range(8, 16), 40, 90]:
         for _ in range(40):
             base = text(rng, length, 10**6).split()
-            other = rng.choice([base[:-1], base[1:], base[:-2], [*base, "more"], ["changed", *base[1:]]])
-            for words in (base, other):
+            for words in (base, rng.choice([base[:-1], base[1:], base[:-2], [*base, "more"], ["changed", *base[1:]]])):
                 texts[len(texts)] = " ".join(words)
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r.doc_id: r.class_id for r in nd.classes(docs).collect()}
-    assert got == brute_classes(texts, nd.SIMILARITY)
-    exactly = [i for i in texts if i % 2 and jaccard(texts[i - 1], texts[i]) == 0.8]
-    assert len(exactly) > 20 and all(got[i] == i - 1 for i in exactly)
+    got = found_classes(spark, texts)
+    near = brute_links(texts, jaccard, 0.8)
+    assert len([1 for a, b in near if jaccard(texts[a], texts[b]) == 0.8]) > 20
+    assert all(got[a] == got[b] for a, b in near)
+    like = brute_links(texts, similarity, nd.SIMILARITY)
+    assert all(got[b] == b or (got[b], b) in like for b in texts)
+
+
+def test_a_large_skewed_class_and_a_long_chain(spark):
+    rng = random.Random(5)
+    base, texts = text(rng, 120).split(), {}
+    for i in range(1500):
+        words = base[:]
+        for place in rng.sample(range(120), 6):
+            words[place] = f"n{i}x{place}"
+        texts[i] = " ".join(words)
+    words = text(rng, 200).split()
+    for i in range(120):
+        words = words[:]
+        words[(i * 17) % 190 : (i * 17) % 190 + 10] = text(rng, 10, 10**6).split()
+        texts[2000 + i] = " ".join(words)
+    got = found_classes(spark, texts)
+    assert {got[i] for i in range(1500)} == {0} and {got[2000 + i] for i in range(120)} == {2000}
 
 
-def test_a_chain_is_one_class_and_odd_rows(spark):
+def test_rows_not_ids_are_compared(spark):
     rng = random.Random(4)
     words = text(rng, 400).split()
     chain = []
@@ -108,32 +163,50 @@ def test_a_chain_is_one_class_and_odd_rows(spark):
         words = words[:]
         words[i * 40 : i * 40 + 20] = text(rng, 20).split()
         chain.append(" ".join(words))
-    rows = [(100 + i, t) for i, t in enumerate(chain)]
-    rows += [(1, ""), (2, None), (3, "..."), (4, "two words"), (5, "Two words!"), (6, "two words more"), (None, chain[0]), (None, None), (7, "same row"), (7, "same row")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    other = text(rng, 50)
+    rows = [(100 + i, t, i) for i, t in enumerate(chain)]
+    rows += [(1, "", 1), (2, None, 2), (3, "...", 3), (4, "two words", 4), (5, "Two words", 5), (6, "two words more", 6), (None, chain[0], 7), (7, "same row", 8), (7, "same row", 8)]
+    rows += [(8, other, 9), (8, text(rng, 60), 10), (None, "no id here", 11), (None, "no id here", 12), (None, other, 13)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node long")
     got = nd.classes(docs).collect()
     assert len(got) == len(rows)
-    by = {r.doc_id: r for r in got}
+    by = {r.doc_id: r for r in got if r.doc_id is not None}
     assert {by[i].class_id for i in range(100, 108)} == {100} and [i for i in range(100, 108) if by[i].kept] == [100]
     assert by[1].class_id == by[2].class_id == 1 and by[4].class_id == by[5].class_id == 4 and by[6].class_id == 6
-    assert by[None].class_id is None and by[None].kept and by[7].kept
-    assert nd.classes(docs.limit(0)).count() == 0
+    assert [r.kept for r in got if r.doc_id == 8] == [True, True] and by[7].kept
+    assert sorted((str(r.class_id), r.kept) for r in got if r.doc_id is None) == [("100", False), ("8", False), ("None", True), ("None", True)]
+    kept = nd.deduplicated(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.node for r in kept.collect() if r.node not in (11, 12)) == [0, 1, 3, 4, 6, 8, 9, 10] and kept.filter("node IN (11, 12)").count() == 1
+    assert nd.classes(docs.limit(0)).count() == 0 and nd.deduplicated(docs.limit(0)).count() == 0
 
 
-def test_alignment_against_plain_edit_distance():
+def test_edits_against_plain_edit_distance():
     rng = random.Random(1)
     for _ in range(60):
-        a = [rng.randint(0, 6) for _ in range(rng.randint(5, 40))]
+        a = [rng.randint(0, 6) for _ in range(rng.randint(1, 40))]
         b = a[:]
         for _ in range(rng.randint(0, 6)):
-            p = rng.randrange(len(b))
+            p = rng.randrange(len(b) or 1)
             b[p : p + rng.randint(0, 1)] = [rng.randint(0, 99)] * rng.randint(0, 1)
-        d = np.add.outer(np.arange(len(a) + 1), np.arange(len(b) + 1))
-        for i in range(1, len(a) + 1):
-            for j in range(1, len(b) + 1):
-                d[i, j] = min(d[i - 1, j - 1] + (a[i - 1] != b[j - 1]), d[i - 1, j] + 1, d[i, j - 1] + 1)
-        edits, kept = nd.kept_grams([np.array(a, np.uint64)], [np.array(b, np.uint64)], 45)
-        assert edits[0] == d[-1, -1] and kept[0] <= max(len(a) - 4, 0)
+        x, y = (np.array(v, np.uint64) for v in (a, b))
+        want = round((1 - similarity(" ".join(map(str, a)), " ".join(map(str, b)))) * max(len(a), len(b)))
+        assert nd.least_edits([x], [y], 45)[0] == want
+        assert not b or nd.alike([x], [y])[0] == (want <= int(0.2 * max(len(a), len(b)) + 1e-9))
+
+
+def test_long_texts_are_aligned_piece_by_piece():
+    rng = random.Random(2)
+    base = [rng.randrange(1 << 40) for _ in range(60_000)]
+    like, unlike = base[:], base[:]
+    for place in rng.sample(range(60_000), 9_000):
+        like[place] = rng.randrange(1 << 40)
+    del like[20_000:22_000]
+    for place in rng.sample(range(60_000), 14_000):
+        unlike[place] = rng.randrange(1 << 40)
+    moved = base[30_000:] + base[:30_000]
+    a, *others = (np.array(v, np.uint64) for v in (base, like, unlike, moved))
+    assert nd.alike([a] * 3, others).tolist() == [True, False, False]
 
 
 def test_order_counts():
