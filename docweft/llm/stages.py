@@ -1,7 +1,9 @@
 """Stages of the corpus pipeline: each applies one operator to the documents that the stage before kept.
 
-All but the last return the columns of the documents they are given. Rows without an id pass where a decision
-needs one.
+All but the last return the columns of the documents they are given. Every stage judges rows by their text alone, so
+null ids, shared ids and repeated rows need no rule of their own, except that near-duplicates (and so repeated rows)
+become one row. Null and empty texts are not toxic, have no language and go with that stage. Empty tables give empty
+results.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that hold a passage of a benchmark item."""
+    """Rejects documents that hold a passage of a benchmark item, row by row: a null or shared id changes nothing."""
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

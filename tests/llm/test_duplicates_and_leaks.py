@@ -243,10 +243,65 @@ def test_leaks_are_found_with_substitutions(spark):
         got = {(r.doc_id, r.item_id) for r in dc.contaminated(docs, bench, block_words=block).collect()}
         assert got == planted
     kept = {r.doc_id for r in dc.clean(docs, bench).collect()}
-    assert kept == {i for i, _, _ in rows} - {d for d, _ in planted if d is not None}
+    assert kept == {i for i, _, _ in rows} - {d for d, _ in planted}
+    shared = spark.createDataFrame([(1, items[0]), (1, "another text with this id"), (None, items[1]), (None, None)], "doc_id long, text string")
+    assert sorted(str(r.text) for r in dc.clean(shared, bench).collect()) == ["None", "another text with this id"]
     assert dc.contaminated(docs.limit(0), bench).count() == 0 and dc.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def brute_leaks(text, item):
+    """Whether some alignment without gaps has a passage long enough with enough equal words (short items: as a whole)."""
+    a, b = (re.findall(r"\w+", x.lower()) for x in (text, item))
+    if len(b) < dc.LEAST_ITEM:
+        return False
+    for shift in range(-len(b), len(a) + 1):
+        equal = [a[i + shift] == w if 0 <= i + shift < len(a) else None for i, w in enumerate(b)]
+        if len(b) < dc.MIN_WORDS:
+            if None not in equal and sum(equal) >= dc.MIN_SHARE * len(b) - 1e-9:
+                return True
+            continue
+        for i in range(len(b)):
+            for j in range(i + dc.MIN_WORDS, len(b) + 1):
+                part = equal[i:j]
+                if part[0] and part[-1] and None not in part and sum(part) >= dc.MIN_SHARE * (j - i) - 1e-9:
+                    return True
+    return False
+
+
+def test_leaks_match_brute_force(spark):
+    rng = random.Random(31)
+    items = {i: text(rng, n, 300) for i, n in enumerate([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 17, 20, 25, 40] * 2)}
+    items[99] = "same same same same same same same same same same same same same same"
+    rows = [(0, "same " * 300), (1, None), (2, ""), (3, items[18])]
+    for i in range(10, 190):
+        item = rng.choice(list(items))
+        passage = items[item].split()
+        cut = rng.randrange(max(1, len(passage) - 13))
+        passage = passage[cut : cut + rng.randint(13, 40)] if len(passage) > 20 else passage
+        for place in rng.sample(range(len(passage)), min(len(passage), int(rng.choice([0.1, 0.2, 0.25]) * len(passage)))):
+            passage[place] = "changed"
+        rows.append((i, f"{text(rng, rng.randint(0, 30), 300)} {' '.join(passage)} {text(rng, rng.randint(0, 30), 300)}"))
+    rows.append(rows[-1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in dc.contaminated(docs, bench).collect())
+    want = sorted((i, k) for i, t in rows for k, x in items.items() if t and brute_leaks(t, x))
+    assert got == want and len(want) > 120
+    assert sorted(r.doc_id for r in dc.clean(docs, bench).collect()) == sorted(i for i, _ in rows if i not in {d for d, _ in want})
+
+
+def test_masks_hit_every_passage_with_a_fifth_replaced():
+    for mask in dc.MASKS[:1]:
+        places = dc._offsets(mask)
+        for n in range(13, 20):
+            begins = np.arange(n - places[-1])[:, None] + places
+            for replaced in itertools.combinations(range(1, n - 1), n // 5):
+                assert not np.isin(begins, replaced).any(axis=1).all()
+    for n in range(dc.LEAST_ITEM, 13):
+        for replaced in itertools.combinations(range(n), n // 5):
+            assert any(all(m[i] == "0" for i in replaced) for m in dc.item_masks(n, n // 5))
+
+
 def test_best_passage_against_brute_force():
     rng = random.Random(6)
     for _ in range(300):
