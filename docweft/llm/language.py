@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweft.llm.shared import crc_part
+from docweft.llm.shared import crc_part, hint, written
 from docweft.llm.words import lowered, mix, sliced, word_mask
 
-#: Labelled rows fitted at most, the same number of each language, chosen by a hash of the id.
+#: Labelled texts fitted at most, the same number of each language, chosen by a hash of id and text.
 MAX_ROWS = 3000
 FEATURES = 1 << 13
 #: Lengths, in bytes, of the letter sequences.
@@ -174,13 +174,21 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def training_rows(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """A bounded sample of texts with a language, outside the held-out part, as many of each language."""
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (crc_part() != 2)).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    languages = max(1, usable.select("lang").distinct().count())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # ids first: the ranking carries no texts, and keeps only the first rows of each language in every partition
-    chosen = usable.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= max_rows // languages)
-    return usable.join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
+    """At most ``max_rows`` different texts with a language, outside the held-out part, as many of each language.
+
+    They are those with the least hashes of id and text, so rows are what is limited, not ids. A bound on the hash,
+    from each language's number of rows, leaves few more than are wanted before they are ranked.
+    """
+    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (crc_part() != 2))
+    usable = usable.select(F.col("lang"), "text", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"))
+    totals = written(usable.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    each = max_rows // max(1, totals.count())
+    # four times as many as wanted, and never under a thousand, so that enough are left for certain
+    share = F.pmod("key", F.lit(1 << 30)) < F.lit(float(1 << 30)) * max(4 * each, 1000) / F.col("n")
+    near = usable.select("lang", "key").join(hint(totals), "lang").filter(share).select("lang", "key").distinct()
+    ranked = near.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("key", F.lit(1 << 30)), "key"))).filter(F.col("_n") <= each)
+    chosen = F.broadcast(ranked.select("lang", "key"))  # at most max_rows short rows
+    return usable.join(chosen, ["lang", "key"]).dropDuplicates(["lang", "key"]).select("lang", "text")
 
 
 def _machine(x: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, float]:
@@ -200,7 +208,7 @@ def _machine(x: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, float]:
 
 def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> Model | None:
     """The two levels of machines; None where no text has a language."""
-    rows = training_rows(docs, max_rows).select("lang", "text").mapInArrow(_frequencies, "lang string, ids array<int>, counts array<float>").toArrow()
+    rows = training_rows(docs, max_rows).mapInArrow(_frequencies, "lang string, ids array<int>, counts array<float>").toArrow()
     if not rows.num_rows:
         return None
     language = np.array(rows.column("lang").to_pylist(), object)
@@ -258,7 +266,7 @@ def identify(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """``doc_id``, whether it is held out, the predicted language and its confidence, for every row's whole text.
 
     Null, empty and letterless texts are ``und`` with score 0, and so is every text if none has a language to
-    learn from. Null ids are held out if their checksum says so; repeated rows are predicted alike; ties go to the
+    learn from. Long texts count whole. Null ids are held out if their checksum says so; repeated rows are predicted alike; ties go to the
     language first in order of code; an empty table gives an empty result; further columns are ignored.
     """
     found = language_of(F.col("text"), fit(docs, max_rows))

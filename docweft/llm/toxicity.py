@@ -7,8 +7,10 @@ little weight, so neutral mentions of a group score like the same text about any
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,25 +31,87 @@ PREFIXES = (None, 4, 6)
 MIN_Z = 4.5
 MIN_TEXTS = 5
 THRESHOLD = 0.3
-
-#: Identity terms that may stand for each other in a sentence.
-IDENTITY_GROUPS = (
-    ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
-    ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
-    ("black", "white", "asian", "latino", "african", "european"),
-    ("gay", "straight", "lesbian", "bisexual", "heterosexual", "homosexual"),
-    ("woman", "man", "girl", "boy"),
-    ("women", "men", "girls", "boys"),
-    ("female", "male", "transgender", "nonbinary"),
-    ("immigrant", "native", "refugee", "foreigner"),
-    ("immigrants", "natives", "refugees", "foreigners"),
-    ("blind", "deaf", "disabled", "autistic"),
-    ("young", "old", "elderly", "teenage"),
-)
+#: Weight of the mean squared change of the score (before the logistic function) under swaps.
+PENALTY = 10.0
+
+#: Identity terms that may stand for each other in a sentence, by language: groups, and persons of either sex. Pronouns count,
+#: as they say who a sentence is about. Callers may give groups of their own.
+IDENTITY_GROUPS = {
+    "en": (
+        ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
+        ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
+        ("black", "white", "asian", "latino", "african", "european"),
+        ("gay", "straight", "lesbian", "bisexual", "heterosexual", "homosexual"),
+        ("he", "she"),
+        ("himself", "herself"),
+        ("woman", "man", "girl", "boy"),
+        ("women", "men", "girls", "boys"),
+        ("female", "male", "transgender", "nonbinary"),
+        ("immigrant", "native", "refugee", "foreigner"),
+        ("immigrants", "natives", "refugees", "foreigners"),
+        ("blind", "deaf", "disabled", "autistic"),
+        ("young", "old", "elderly", "teenage"),
+    ),
+    "de": (
+        ("er", "sie"),
+        ("mann", "frau", "junge", "mädchen"),
+        ("männer", "frauen", "jungen"),
+        ("christ", "jude", "moslem", "hindu"),
+        ("christen", "juden", "moslems", "muslime"),
+        ("ausländer", "einheimische", "flüchtlinge", "einwanderer"),
+    ),
+    "fr": (
+        ("il", "elle"),
+        ("ils", "elles"),
+        ("homme", "femme", "garçon", "fille"),
+        ("hommes", "femmes", "garçons", "filles"),
+        ("chrétien", "juif", "musulman", "bouddhiste"),
+        ("chrétiens", "juifs", "musulmans", "bouddhistes"),
+        ("étrangers", "immigrés", "réfugiés"),
+    ),
+    "es": (
+        ("él", "ella"),
+        ("ellos", "ellas"),
+        ("hombre", "mujer", "niño", "niña"),
+        ("hombres", "mujeres", "niños", "niñas"),
+        ("cristiano", "judío", "musulmán", "budista"),
+        ("cristianos", "judíos", "musulmanes", "budistas"),
+        ("extranjeros", "inmigrantes", "refugiados"),
+    ),
+}
 NEUTRAL = "person"
 
-_NEXT = {term: group[(i + 1) % len(group)] for group in IDENTITY_GROUPS for i, term in enumerate(group)}
-_TERMS = re.compile(r"\b(?:" + "|".join(_NEXT) + r")\b", re.IGNORECASE)
+
+@dataclass
+class Terms:
+    """Identity terms and what stands for each of them: the next of its group; a term of several groups is in the first."""
+
+    following: dict[str, str]
+
+    @staticmethod
+    def of(groups: dict[str, tuple[tuple[str, ...], ...]]) -> Terms:
+        following: dict[str, str] = {}
+        for group in itertools.chain.from_iterable(groups.values()):
+            for i, term in enumerate(group):
+                following.setdefault(term, group[(i + 1) % len(group)])
+        return Terms(following)
+
+    def swapped(self, text: str) -> list[str]:
+        """The text with every term swapped for the next of its group, and for a neutral word; none without terms."""
+        pattern = _pattern(tuple(self.following))
+        if not self.following or not pattern.search(text):
+            return []
+        return [pattern.sub(lambda m: self.following[m[0].lower()], text), pattern.sub(NEUTRAL, text)]
+
+    def features(self) -> np.ndarray:
+        """The features of all terms, swapped ones and the neutral word."""
+        known = sorted({*self.following, *self.following.values(), NEUTRAL})
+        return np.unique(_distinct(words(pa.array(known, pa.string())))[1])
+
+
+@functools.cache
+def _pattern(terms: tuple[str, ...]) -> re.Pattern:
+    return re.compile(r"\b(?:" + "|".join(map(re.escape, terms)) + r")\b", re.IGNORECASE)
 
 
 @dataclass
@@ -79,13 +143,6 @@ def _distinct(held: Words) -> tuple[np.ndarray, np.ndarray]:
     return both // FEATURES, both % FEATURES
 
 
-def swapped(text: str) -> list[str]:
-    """The text with every identity term swapped for the next of its group, and for a neutral word; none without terms."""
-    if not _TERMS.search(text):
-        return []
-    return [_TERMS.sub(lambda m: _NEXT[m[0].lower()], text), _TERMS.sub(NEUTRAL, text)]
-
-
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[DataFrame, dict[int, int]]:
     """A bounded sample of labelled texts outside the held-out part, and how many rows there are of each label.
 
@@ -97,26 +154,35 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
     chosen = [usable.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows // 2) for label in (0, 1)]
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most max_rows short rows
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
-    return texts, totals
+    # of several texts with one id one, so that rows are bounded, too
+    return texts.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")), totals
 
 
-def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _featurise(terms: Terms) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Distinct features of each text (kind 0) and of its swapped forms (kinds 1, 2)."""
-    for batch in batches:
-        for part in sliced(batch):
-            texts, labels = [], []
-            for text, label in zip(part.column("text").to_pylist(), part.column("label").to_pylist(), strict=True):
-                for kind, form in enumerate([text or "", *swapped(text or "")]):
-                    texts.append(form)
-                    labels.append(2 * kind + label)
-            row, ids = _distinct(words(pa.array(texts, pa.string())))
-            bounds = np.searchsorted(row, np.arange(len(texts) + 1))
-            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(labels, np.int32)), lists], names=["form", "ids"])
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, penalty: float = 1.0) -> Model:
-    """The classifier, from labelled rows outside the held-out part; ``penalty`` weighs the counterfactual term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sliced(batch):
+                texts, labels = [], []
+                for text, label in zip(part.column("text").to_pylist(), part.column("label").to_pylist(), strict=True):
+                    for kind, form in enumerate([text or "", *terms.swapped(text or "")]):
+                        texts.append(form)
+                        labels.append(2 * kind + label)
+                row, ids = _distinct(words(pa.array(texts, pa.string())))
+                bounds = np.searchsorted(row, np.arange(len(texts) + 1))
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(labels, np.int32)), lists], names=["form", "ids"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, penalty: float = PENALTY, groups: dict[str, tuple[tuple[str, ...], ...]] = IDENTITY_GROUPS) -> Model:
+    """The classifier, from labelled rows outside the held-out part; ``penalty`` weighs the counterfactual term.
+
+    The features of the identity terms are used whatever their strength, so that the penalty can settle them.
+    """
+    terms = Terms.of(groups)
     texts, totals = training_rows(docs, labels, max_rows)
     total = sum(totals.values())
     prior = totals.get(1, 0) / total if total else 0.0
@@ -124,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, penalty: f
     nothing = Model(np.zeros(0, np.int64), np.zeros(0), base)
     if not 0 < prior < 1:
         return nothing
-    table = texts.select("text", "label").mapInArrow(_featurise, "form int, ids array<int>").toArrow()
+    table = texts.select("text", "label").mapInArrow(_featurise(terms), "form int, ids array<int>").toArrow()
     if not table.num_rows:
         return nothing
     form = table.column("form").to_numpy()
@@ -137,9 +203,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, penalty: f
     if not count.all():
         return nothing
     seen = [np.bincount(ids[(real & (label == c))[row]], minlength=FEATURES) for c in (0, 1)]
-    used = np.flatnonzero(_strength(seen, count) >= MIN_Z)
-    if not len(used):
+    strong = _strength(seen, count) >= MIN_Z
+    if not strong.any():
         return nothing
+    named = terms.features()
+    strong[named[seen[0][named] + seen[1][named] >= MIN_TEXTS]] = True
+    used = np.flatnonzero(strong)
     number = np.full(FEATURES, -1)
     number[used] = np.arange(len(used))
     column = number[ids]
@@ -201,10 +270,29 @@ def _score(texts: pa.Array, table: np.ndarray, bias: float) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, penalty: float = 1.0) -> DataFrame:
+def swap_changes(docs: DataFrame, model: Model, groups: dict[str, tuple[tuple[str, ...], ...]] = IDENTITY_GROUPS) -> DataFrame:
+    """``doc_id`` and the largest change of the score when identity terms are swapped, for texts that have any."""
+    terms = Terms.of(groups)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = model.table()
+        for batch in batches:
+            for part in sliced(batch):
+                ids, change = [], []
+                for doc_id, text in zip(part.column("doc_id"), part.column("text").to_pylist(), strict=True):
+                    if forms := terms.swapped(text or ""):
+                        score = _score(pa.array([text, *forms], pa.string()), table, model.bias)
+                        ids.append(doc_id.as_py())
+                        change.append(float(np.abs(score[1:] - score[0]).max()))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(change, pa.float64())], names=["doc_id", "change"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, change double")
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, penalty: float = PENALTY) -> DataFrame:
     """``doc_id``, whether it is held out, its score and the decision, for every row and the whole of its text.
 
-    Null and empty texts get the score of a text without any known feature. Null ids are held out if their
+    Null and empty texts get the score of a text without any known feature; long texts are scored whole. Null ids are held out if their
     checksum says so; repeated rows score alike; without labels of both kinds every score is the share of toxic
     labels (0 without labels); an empty table gives an empty result; further columns are ignored.
     """

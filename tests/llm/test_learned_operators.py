@@ -64,7 +64,32 @@ def test_swaps_lower_the_weight_of_identity_terms(spark):
         return toxicity._score(toxicity.pa.array([neutral]), model.table(), model.bias)[0]
 
     assert score(30.0) < score(0.0) and score(30.0) < 0.3
-    assert toxicity.swapped("A Muslim and a woman") == ["A christian and a man", "A person and a person"]
+    terms = toxicity.Terms.of(toxicity.IDENTITY_GROUPS)
+    assert terms.swapped("A Muslim and a woman") == ["A christian and a man", "A person and a person"]
+    assert terms.swapped("Elle et lui, er und sie") == ["il et lui, sie und er", "person et lui, person und person"] and terms.swapped("nobody there") == []
+
+
+def test_the_penalty_closes_the_gap_on_held_out_rows(spark):
+    rng = random.Random(17)
+    rows, labels = corpus(800, rng)
+    rows = [(i, t + (" he " if rng.random() < (0.7 if toxic else 0.1) else " she ")) for (i, t), (_, toxic) in zip(rows, labels)]
+    docs, table = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+    gaps = []
+    for penalty in (0.0, toxicity.PENALTY):
+        model = toxicity.fit(docs, table, penalty=penalty)
+        changes = {r.doc_id: r.change for r in toxicity.swap_changes(docs, model).collect()}
+        assert len(changes) == len(rows)
+        gaps.append(sum(changes[i] for i in held) / len(held))
+    assert gaps[1] < 0.3 * gaps[0]
+
+
+def test_samples_are_bounded_by_rows(spark):
+    docs = spark.range(3000).selectExpr("1L AS doc_id", "concat('word number ', id) AS text", "'en' AS lang").unionByName(spark.createDataFrame([(2, "der die das", "de"), (3, "same", "en")] * 50, "doc_id long, text string, lang string"))
+    table = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    assert sorted(r.doc_id for r in toxicity.training_rows(docs, table)[0].collect()) == [1, 2, 3]
+    rows = language.training_rows(docs, 40).collect()
+    assert len(rows) == len({r.text for r in rows}) <= 40 and {r.lang for r in rows} == {"en", "de"}
 
 
 SAMPLES = {
