@@ -58,6 +58,20 @@ def _ramp(lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
 
 
+def _room(pool: np.ndarray, used: int, size: int) -> np.ndarray:
+    """The pool with its first ``used`` entries and room for ``size``."""
+    return pool if size <= len(pool) else np.concatenate([pool[:used], np.zeros(max(size, len(pool)), pool.dtype)])
+
+
+def _equal(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether stretches of two arrays, given by their beginnings and sizes (1 or more), are equal."""
+    if not len(sizes):
+        return np.zeros(0, bool)
+    ramp = _ramp(sizes)
+    same = a[np.repeat(at, sizes) + ramp] == b[np.repeat(bt, sizes) + ramp]
+    return np.logical_and.reduceat(same, np.cumsum(sizes) - sizes)
+
+
 class ByteBPE:
     """A byte-level BPE vocabulary read from a ``tokenizers`` file."""
 
@@ -83,17 +97,27 @@ class ByteBPE:
         self.slot_key = np.zeros(CACHE_SLOTS, np.uint64)
         self.slot_at = np.zeros(CACHE_SLOTS, np.int64)
         self.slot_len = np.zeros(CACHE_SLOTS, np.int64)
+        self.slot_text = np.zeros(CACHE_SLOTS, np.int64)
+        self.slot_chars = np.zeros(CACHE_SLOTS, np.int64)
+        self.texts = np.zeros(1 << 16, np.uint32)
+        self.texts_size = 0
         self.pool = np.zeros(1 << 16, np.int32)
         self.pool_size = 0
 
     def _keep(self, ids: np.ndarray) -> int:
         """Adds ids to the pool and returns where they begin."""
         at, self.pool_size = self.pool_size, self.pool_size + len(ids)
-        if self.pool_size > len(self.pool):
-            self.pool = np.concatenate([self.pool[:at], np.zeros(max(self.pool_size, len(self.pool)), np.int32)])
+        self.pool = _room(self.pool, at, self.pool_size)
         self.pool[at : self.pool_size] = ids
         return at
 
+    def _remember(self, points: np.ndarray) -> int:
+        """Adds code points to those of the cached pre-tokens and returns where they begin."""
+        at, self.texts_size = self.texts_size, self.texts_size + len(points)
+        self.texts = _room(self.texts, at, self.texts_size)
+        self.texts[at : self.texts_size] = points
+        return at
+
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all words, one after another, and the number of ids of each word."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -212,16 +236,28 @@ class ByteBPE:
         end = np.append(begin[1:], len(points))
         key = self._keys(points, begin, end)
         slot = (key >> np.uint64(1)).astype(np.int64) & (CACHE_SLOTS - 1)
-        hit = (self.slot_key[slot] == key) & (end - begin <= CACHE_CHARS)
+        chars = end - begin
+        hit = (self.slot_key[slot] == key) & (chars <= CACHE_CHARS) & (self.slot_chars[slot] == chars)
+        # a key only says where to look: the text itself decides
+        sure = np.flatnonzero(hit)
+        hit[sure] = _equal(self.texts, self.slot_text[slot[sure]], points, begin[sure], chars[sure])
         at, size = self.slot_at[slot], self.slot_len[slot]
         if not hit.all():
-            long = end - begin > CACHE_CHARS
-            miss = np.flatnonzero(~hit & ~long)
+            single = chars > CACHE_CHARS
+            miss = np.flatnonzero(~hit & ~single)
             _, where, back = np.unique(key[miss], return_index=True, return_inverse=True)
+            like = miss[where][back]
+            same = chars[miss] == chars[like]
+            same[same] = _equal(points, begin[miss[same]], points, begin[like[same]], chars[miss[same]])
+            single[miss[~same]] = True
             new = miss[where]
-            at[miss], size[miss] = (x[back] for x in self._learn([whole[a:b] for a, b in zip(begin[new].tolist(), end[new].tolist(), strict=True)]))
-            self.slot_key[slot[new]], self.slot_at[slot[new]], self.slot_len[slot[new]] = key[new], at[new], size[new]
-            for i in np.flatnonzero(long).tolist():  # taken singly: no key stands for them
+            if len(new):
+                learned = self._learn([whole[a:b] for a, b in zip(begin[new].tolist(), end[new].tolist(), strict=True)])
+                at[miss], size[miss] = (x[back] for x in learned)
+                taken = self._remember(points[np.repeat(begin[new], chars[new]) + _ramp(chars[new])]) + np.cumsum(chars[new]) - chars[new]
+                self.slot_key[slot[new]], self.slot_at[slot[new]], self.slot_len[slot[new]] = key[new], *learned
+                self.slot_text[slot[new]], self.slot_chars[slot[new]] = taken, chars[new]
+            for i in np.flatnonzero(single).tolist():  # taken singly: no key stands for them
                 at[i : i + 1], size[i : i + 1] = self._learn([whole[begin[i] : end[i]]])
         unit = np.repeat(np.arange(len(units)), sizes)[begin]
         return owner[unit], at, size, self.pool
@@ -294,7 +330,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     """``doc_id``, UTF-8 bytes, tokens and whether they exceed ``limit``, one row for each row of ``docs``.
 
     Null and empty texts have 0 bytes and 0 tokens; null ids, repeated rows and further columns are no matter;
-    an empty table gives an empty result. Special strings inside a text count as one token each.
+    texts of any length are counted whole (in memory of about forty bytes a character of the longest one); an empty
+    table gives an empty result. Special strings inside a text count as one token each.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     counted = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), token_count(F.col("text"), path).alias("n_tokens"))

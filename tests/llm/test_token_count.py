@@ -41,6 +41,13 @@ def test_small_slices_and_cache_limits(library, monkeypatch):
     assert parts == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+def test_equal_keys_do_not_mix_texts_up(library, monkeypatch):
+    monkeypatch.setattr(tc.ByteBPE, "_keys", lambda self, points, begin, end: (end - begin).astype(tc.np.uint64) % tc.np.uint64(3) * tc.np.uint64(2) + tc.np.uint64(1))
+    bpe = tc.ByteBPE(PATH)
+    for texts in (ODD, ODD[::-1], ["the cat sat on a mat but the dog did not"] * 3):
+        assert [x.tolist() for x in bpe.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_query_rows(spark):
     rows = [(1, "a b c", "x"), (2, None, "x"), (None, "", "y"), (1, "a b c", "x"), (5, "word " * 600, None)]
     got = tc.count_tokens(spark.createDataFrame(rows, "doc_id long, text string, n_tokens string"), PATH).collect()
