@@ -1,16 +1,22 @@
 """License scans by canonical digest lookup.
 
 Texts are brought to one form (case, punctuation, white space, copyright lines, equivalent spellings) and the
-digest of the whole form is looked up among those of known licence texts by a hash join. The lines of a text are
-looked up as well, each as a whole, which finds licence notices inside documents.
+digest of the whole form is looked up among those of known licence texts by a hash join. The lines and the blocks
+(between blank lines) of a text are looked up as well, each as a whole, which finds notices and the paragraphs of
+licences inside documents. Only texts with a line that begins like a known text are brought to that form at all.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweft.llm.shared import hint, written
+from docweft.llm.shared import hint, small, written
+
+#: First words of known texts that are compared as a literal list; more are joined.
+KNOWN_WORDS = 1_000
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -90,6 +96,55 @@ WHOLE = (
     ("Unlicense", _UNLICENSE.replace("https", "http")),
 )
 
+#: Further whole texts as published, by the digest of their canonical form alone: licence, first word, digest. Fixed values.
+DIGESTS = (
+    ("Apache-2.0", "apache", "1303e019ad72b71159c9c6876101f3f9dae6b740ed0796a6cc28e7c1a7993947"),
+    ("Artistic-1.0-Perl", "the", "fa46c0de183505429339202d8a072062d5bc31c34d11eec35c16b58ac689729a"),
+    ("CC0-1.0", "creative", "97098b9d4d582064b16255ff38f4b45a41ecce484eb98a46cdb15423d6de9f85"),
+    ("GFDL-1.2", "gnu", "4f3ee1c1be015aff856b93ce653c3c303a70089b8fa4a5df4bb6de845b5b4a1e"),
+    ("GFDL-1.3", "gnu", "6114e20795948f0a37c6787b82086a421c231ab9030dd8f85af59433046cc9e6"),
+    ("GPL-1.0", "gnu", "dc4ab9dc141a33fdf0133134066fa6cddef1e5a0fb4b6d41c3c0d9fa2e388cd7"),
+    ("GPL-2.0", "gnu", "f8faccf9eef7b0b5c62695c676bc1b7556d8a6fe97832b3f28aad83367b8cf30"),
+    ("GPL-3.0", "gnu", "dbf741b057c23d9e057e116072d105f842362147650cf72186b48c8fa04e5227"),
+    ("LGPL-2.0", "gnu", "70dc5bd34d9c0f85aed03c8240a5a7e0d5d5a6df13a83b74ad79bf95835aa1a5"),
+    ("LGPL-2.1", "gnu", "42f2dfc2632e35f63a4ee4720f9ab729d4e3c537b1ad4398d58287c9bdef3fc3"),
+    ("LGPL-3.0", "gnu", "9111884d93a72b30a3d024876dab3d755949ac2cfab230268a4169a93b86560c"),
+    ("MPL-1.1", "mozilla", "e1b38bb0e1fd3841543468e03339cb990d99a5ffc785509c2a7d7e16c306894b"),
+    ("MPL-2.0", "mozilla", "cbb074dc9fcbd9c7502f3e0de87d8e6ef114d4764ef7b78d6693c9348c993f1b"),
+)
+
+#: Equivalent spellings, each of which is brought to the second form. The pairs of the public matching guidelines.
+SPELLINGS = (
+    ("acknowledgement", "acknowledgment"),
+    ("acknowledgements", "acknowledgments"),
+    ("analogue", "analog"),
+    ("analyse", "analyze"),
+    ("artefact", "artifact"),
+    ("artefacts", "artifacts"),
+    ("calibre", "caliber"),
+    ("cancelled", "canceled"),
+    ("catalogue", "catalog"),
+    ("centre", "center"),
+    ("copyright owner", "copyright holder"),
+    ("copyright owners", "copyright holders"),
+    ("fulfil", "fulfill"),
+    ("fulfilment", "fulfillment"),
+    ("judgement", "judgment"),
+    ("labelling", "labeling"),
+    ("modelled", "modeled"),
+    ("modelling", "modeling"),
+    ("offence", "offense"),
+    ("per cent", "percent"),
+    ("practise", "practice"),
+    ("programme", "program"),
+    ("signalling", "signaling"),
+    ("sub license", "sublicense"),
+    ("whilst", "while"),
+    ("wilful", "willful"),
+    ("non commercial", "noncommercial"),
+    ("http", "https"),
+)
+
 #: Copyright lines; not lines of a wrapped text that go on after "copyright" with a notice, holders, laws and the like.
 NOTICE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright(?!\s+(?:notices?|holders?|owners?|laws?|interests?|licen[cs]es?|statements?)\b)|\(c\)|©)[^\n]*$"
 #: The same as the SQL has it: every line that begins with the word.
@@ -99,64 +154,89 @@ COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright|\(c\)|©)[^\n]*$"
 def canonical(text: Column) -> Column:
     """The canonical form: lower case, no copyright lines, words with one space after each, one spelling.
 
-    Spellings: licence and license, -ise and -ize, -our and -or are one each. The rules may join words that
-    differ (rarely), which does no harm to the comparison of whole texts.
+    Spellings: the pairs of ``SPELLINGS``, licence and license, -ise and -ize, -our and -or are one each. The rules may
+    join words that differ (rarely), which does no harm to the comparison of whole texts.
     """
     plain = F.regexp_replace(F.lower(text), NOTICE, "")
-    return spelled(F.concat(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "), F.lit(" ")))
+    return spelled(F.concat(F.lit(" "), F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "), F.lit(" ")))
 
 
 def spelled(spaced: Column) -> Column:
-    """Words with one space after each, in one spelling."""
-    spelled = F.replace(spaced, F.lit("licenc"), F.lit("licens"))
-    spelled = F.regexp_replace(spelled, r"([a-z]{3})is(e|es|ed|ing|ation|ations) ", "$1iz$2 ")
-    spelled = F.regexp_replace(spelled, r"([a-z]{3})our(s|ed|able)? ", "$1or$2 ")
-    return F.trim(spelled)
+    """Words with a space on both sides, in one spelling."""
+    spaced = F.replace(spaced, F.lit("licenc"), F.lit("licens"))
+    for variant, form in SPELLINGS:
+        spaced = F.replace(spaced, F.lit(f" {variant} "), F.lit(f" {form} "))
+    spaced = F.regexp_replace(spaced, r"([a-z]{3})is(e|es|ed|ing|ation|ations) ", "$1iz$2 ")
+    return F.trim(F.regexp_replace(spaced, r"([a-z]{3})our(s|ed|able)? ", "$1or$2 "))
 
 
 def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN + WHOLE) -> DataFrame:
-    """``digest``, first ``word`` and ``license`` of known texts; of several licences with one text the first counts."""
-    rows = spark.createDataFrame(list(known), "license string, known string")
-    word = F.regexp_extract(canonical(F.col("known")), "^[^ ]*", 0)
-    return rows.groupBy(digest(F.col("known")).alias("digest"), word.alias("word")).agg(F.min("license").alias("license"))
+def first_words(text: Column) -> Column:
+    """The first word of each line of a text, as it is in the canonical form unless a spelling of two words begins there."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"(?m)^[^\p{L}\p{N}\n]*([\p{L}\p{N}]+)"), F.lit(1))
+    return F.transform(F.array_distinct(found), lambda w: spelled(F.concat(F.lit(" "), w, F.lit(" "))))
+
+
+def parts(text: str) -> list[str]:
+    """The paragraphs of a known text that say enough to be known by: those of eight words and more."""
+    return [p for p in re.split(r"\n\s*\n", text) if len(p.split()) >= 8]
 
 
-def first_word(line: Column) -> Column:
-    """The first word of a line's canonical form, if the line is no copyright line."""
-    return F.trim(spelled(F.concat(F.regexp_extract(F.lower(line), r"[\p{L}\p{N}]+", 0), F.lit(" "))))
+def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN + WHOLE, digests: tuple[tuple[str, str, str], ...] = DIGESTS) -> DataFrame:
+    """``digest``, first ``word``, ``license`` and whether it is a ``whole`` text, of known texts and their paragraphs.
+
+    Of several licences with one text the first counts.
+    """
+    texts = [(license, text, True) for license, text in known] + [(license, p, False) for license, text in known for p in parts(text) if p != text]
+    rows = spark.createDataFrame(texts, "license string, known string, whole boolean")
+    word = F.regexp_extract(canonical(F.col("known")), "^[^ ]*", 0)
+    rows = rows.select(digest(F.col("known")).alias("digest"), word.alias("word"), "license", "whole")
+    if digests:
+        rows = rows.unionByName(spark.createDataFrame([(d, w, x, True) for x, w, d in digests], "digest string, word string, license string, whole boolean"))
+    return rows.groupBy("digest", "word").agg(F.min("license").alias("license"), F.max("whole").alias("whole"))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """``doc_id``, the digest of the whole text, its licence (else null) and the licences of its lines, comma-joined.
+    """``doc_id``, the licence that the whole text is and its digest (else null), and the licences of its lines and blocks, comma-joined.
 
-    Null and empty texts have the digest of the empty form and no licence, for no empty text is known. Null ids
-    and repeated rows are looked up like any other; an empty table gives an empty result; further columns are
-    ignored. Known digests are broadcast only up to a checked number; Spark shuffles them otherwise.
+    Null and empty texts are no licence, for no empty text is known. Null ids and repeated rows are looked up like
+    any other, equal texts under one id once; texts of any length are looked up whole; of several licences with one
+    text the first in order counts. An empty table gives an empty result; further columns are ignored. Known
+    digests and words are broadcast only up to a checked number; Spark shuffles them otherwise.
     """
     known = known_digests(docs.sparkSession) if known is None else known
     known = written(known.filter(F.col("digest") != F.sha2(F.lit(""), 256)), "known-licenses")
-    words, known = hint(known.select("word").distinct()), hint(known.select("digest", "license"))
+    words = known.select("word").distinct()
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    if small(words, KNOWN_WORDS):
+        listed = F.array(*[F.lit(r["word"]) for r in words.collect()]).cast("array<string>")
+        likely = texts.filter(F.arrays_overlap(first_words(F.col("text")), listed))
+    else:  # too many for a literal: texts are met with them by a join
+        lines = texts.select("doc_id", "text", F.explode(first_words(F.col("text"))).alias("word"))
+        likely = lines.join(hint(words), "word", "left_semi").select("doc_id", "text").distinct()
     # equal texts under one id are one key, looked up once
-    key = [F.col("doc_id"), F.xxhash64("text").alias("text_hash")]
-    # only lines that begin like a known text are brought to their whole canonical form
-    lines = texts.select(*key, F.explode(F.split("text", "\n", -1)).alias("line")).withColumn("word", first_word(F.col("line"))).join(words, "word", "left_semi")
-    lines = lines.select("doc_id", "text_hash", digest(F.col("line")).alias("digest"))
-    noticed = lines.join(known, "digest").groupBy("doc_id", "text_hash").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
-    noticed = written(noticed.select(F.col("doc_id").alias("noticed_id"), F.col("text_hash").alias("noticed_hash"), "notices"), "notices")
-    whole = texts.select(*key, digest(F.col("text")).alias("digest")).join(known, "digest", "left")
-    found = whole.join(noticed, F.col("doc_id").eqNullSafe(F.col("noticed_id")) & (F.col("text_hash") == F.col("noticed_hash")), "left")
-    return found.select("doc_id", "digest", "license", F.coalesce("notices", F.lit("")).alias("notices"))
+    likely = written(likely.withColumn("text_hash", F.xxhash64("text")), "license-texts")
+    units = F.array_distinct(F.concat(F.split("text", "\n", -1), F.split("text", r"\n\s*\n", -1)))
+    digests = hint(known.select("digest", "license", "whole"))
+    units = likely.select("doc_id", "text_hash", F.explode(units).alias("unit")).select("doc_id", "text_hash", digest(F.col("unit")).alias("digest"))
+    noticed = units.join(digests.drop("whole"), "digest").groupBy("doc_id", "text_hash").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
+    whole = likely.select("doc_id", "text_hash", digest(F.col("text")).alias("digest")).join(digests.filter("whole").drop("whole"), "digest").distinct()
+    key = [F.col("doc_id").eqNullSafe(F.col("found_id")), F.col("text_hash") == F.col("found_hash")]
+    merged = noticed.withColumns({"digest": F.lit(None).cast("string"), "license": F.lit(None).cast("string")}).unionByName(whole.withColumn("notices", F.lit(None).cast("string")))
+    found = merged.groupBy(F.col("doc_id").alias("found_id"), F.col("text_hash").alias("found_hash")).agg(F.max("digest").alias("digest"), F.max("license").alias("license"), F.max("notices").alias("notices"))
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    out = rows.join(hint(written(found, "licenses")), key[0] & key[1], "left")
+    return out.select("doc_id", "digest", "license", F.coalesce("notices", F.lit("")).alias("notices"))
 
 
 def _sql_digest(text: str) -> str:
     plain = f"regexp_replace(lower({text}), '{COPYRIGHT}', '', 'g')"
-    spaced = f"regexp_replace({plain}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '"
-    spelled = f"regexp_replace({spaced}, 'licenc', 'licens', 'g')"
+    spelled = f"replace(' ' || regexp_replace({plain}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' ', 'licenc', 'licens')"
+    for variant, form in SPELLINGS:
+        spelled = f"replace({spelled}, ' {variant} ', ' {form} ')"
     spelled = f"regexp_replace({spelled}, '([a-z]{{3}})is(e|es|ed|ing|ation|ations) ', '\\1iz\\2 ', 'g')"
     spelled = f"regexp_replace({spelled}, '([a-z]{{3}})our(s|ed|able)? ', '\\1or\\2 ', 'g')"
     return f"sha256(trim({spelled}))"
@@ -167,11 +247,13 @@ def _quoted(text: str) -> str:
 
 
 ORACLE_SQL = f"""
-WITH known AS (SELECT {_sql_digest("known")} AS digest, min(license) AS license
-               FROM (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in KNOWN)}) AS v(license, known) GROUP BY 1),
-texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-lines AS (SELECT doc_id, {_sql_digest("line")} AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM texts)),
-noticed AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM lines JOIN known USING (digest) GROUP BY doc_id)
-SELECT t.doc_id, t.digest, k.license AS license, coalesce(n.notices, '') AS notices
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+given AS (SELECT license, {_sql_digest("known")} AS digest FROM (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in KNOWN)}) AS v(license, known)),
+known AS (SELECT digest, min(license) AS license FROM given GROUP BY 1),
+paragraphs AS (SELECT license, {_sql_digest("known")} AS digest FROM (VALUES {", ".join(f"({_quoted(a)}, {_quoted(p)})" for a, b in KNOWN + WHOLE for p in parts(b))}) AS v(license, known)),
+units AS (SELECT digest, min(license) AS license FROM (SELECT * FROM given UNION ALL SELECT * FROM paragraphs) GROUP BY 1),
+lines AS (SELECT DISTINCT doc_id, {_sql_digest("unit")} AS digest FROM (SELECT doc_id, unnest(list_concat(string_split(text, chr(10)), string_split_regex(text, '\\n\\s*\\n'))) AS unit FROM texts)),
+noticed AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM lines JOIN units USING (digest) GROUP BY doc_id)
+SELECT t.doc_id, k.digest AS digest, k.license AS license, coalesce(n.notices, '') AS notices
 FROM (SELECT doc_id, {_sql_digest("text")} AS digest FROM texts) AS t LEFT JOIN known AS k USING (digest) LEFT JOIN noticed AS n ON n.doc_id = t.doc_id
 """
