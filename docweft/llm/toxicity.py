@@ -159,20 +159,26 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
 
 
 def _featurise(terms: Terms) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Distinct features of each text (kind 0) and of its swapped forms (kinds 1, 2)."""
+    """Distinct features of each text (kind 0), and what its swapped forms change (kinds 1, 2): added ones as they are,
+    removed ones as -1 - feature. The label is in the last bit of ``form``, the kind above it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch):
-                texts, labels = [], []
-                for text, label in zip(part.column("text").to_pylist(), part.column("label").to_pylist(), strict=True):
-                    for kind, form in enumerate([text or "", *terms.swapped(text or "")]):
-                        texts.append(form)
-                        labels.append(2 * kind + label)
-                row, ids = _distinct(words(pa.array(texts, pa.string())))
-                bounds = np.searchsorted(row, np.arange(len(texts) + 1))
-                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(labels, np.int32)), lists], names=["form", "ids"])
+                forms, kinds, source = [], [], []
+                for text in part.column("text").to_pylist():
+                    source += [len(forms)] * (1 + len(changed := terms.swapped(text or "")))
+                    kinds += range(1 + len(changed))
+                    forms += [text or "", *changed]
+                row, ids = _distinct(words(pa.array(forms, pa.string())))
+                bounds = np.searchsorted(row, np.arange(len(forms) + 1))
+                own = lambda i: ids[bounds[i] : bounds[i + 1]]
+                lists = []
+                for i, (kind, of) in enumerate(zip(kinds, source, strict=True)):
+                    lists.append(np.concatenate([np.setdiff1d(own(i), own(of)), -1 - np.setdiff1d(own(of), own(i))]) if kind else own(i))
+                kinds = np.array(kinds, np.int32)
+                labels = part.column("label").to_numpy()[np.cumsum(kinds == 0) - 1]
+                yield pa.RecordBatch.from_arrays([pa.array((2 * kinds + labels).astype(np.int32)), pa.array([x.astype(np.int32) for x in lists], pa.list_(pa.int32()))], names=["form", "ids"])
 
     return run
 
@@ -196,29 +202,45 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, penalty: f
     form = table.column("form").to_numpy()
     lists = table.column("ids").combine_chunks()
     sizes = np.diff(np.concatenate([[0], lists.offsets.to_numpy()[1:] - lists.offsets.to_numpy()[0]]))
-    ids, row = lists.values.to_numpy(), np.repeat(np.arange(len(form)), sizes)
+    ids, row = lists.values.to_numpy(), np.repeat(np.arange(len(form), dtype=np.int32), sizes)
     kind, label = form // 2, form % 2
-    real = kind == 0
-    count = np.array([(real & (label == c)).sum() for c in (0, 1)])
+    texts = np.flatnonzero(kind == 0)
+    label = label[texts]
+    count = np.bincount(label, minlength=2)
     if not count.all():
         return nothing
-    seen = [np.bincount(ids[(real & (label == c))[row]], minlength=FEATURES) for c in (0, 1)]
+    place = (np.cumsum(kind == 0) - 1).astype(np.int32)
+    of = np.where(kind == 0, label[place], 2).astype(np.int8)[row]  # the label of each entry of a text, 2 in swapped forms
+    real = of < 2
+    seen = [np.bincount(ids[of == c], minlength=FEATURES) for c in (0, 1)]
+    del of
     strong = _strength(seen, count) >= MIN_Z
     if not strong.any():
         return nothing
     named = terms.features()
     strong[named[seen[0][named] + seen[1][named] >= MIN_TEXTS]] = True
     used = np.flatnonzero(strong)
-    number = np.full(FEATURES, -1)
+    number = np.full(FEATURES, -1, np.int32)
     number[used] = np.arange(len(used))
-    column = number[ids]
-    row, column = row[column >= 0], column[column >= 0]
+    column = number[np.where(ids < 0, -1 - ids, ids)]
+    kept = real & (column >= 0)
+    swap = ~real & (column >= 0)
+    swaps = Swaps(np.unique(row[swap], return_inverse=True)[1], column[swap], np.where(ids[swap] < 0, -1.0, 1.0), max(int((kind > 0).sum()), 1))
     weight = np.where(label == 1, totals[1] / count[1], totals[0] / count[0]) / total
-    source = np.maximum.accumulate(np.where(real, np.arange(len(form)), 0))
-    bias, weights = _descend(row, column, len(used), label, np.where(real, weight, 0), np.flatnonzero(~real), source, base, penalty)
+    bias, weights = _descend(place[row[kept]], column[kept], len(used), label, weight, swaps, base, penalty)
     return Model(used, weights, bias)
 
 
+@dataclass
+class Swaps:
+    """What swapped forms change: entries of form, feature and sign; ``total`` counts the forms that change nothing, too."""
+
+    row: np.ndarray
+    column: np.ndarray
+    sign: np.ndarray
+    total: int
+
+
 def _strength(seen: list[np.ndarray], count: np.ndarray) -> np.ndarray:
     """The difference of each feature's share between the labels, in standard errors."""
     both = seen[0] + seen[1]
@@ -227,20 +249,20 @@ def _strength(seen: list[np.ndarray], count: np.ndarray) -> np.ndarray:
     return np.where(both >= MIN_TEXTS, np.abs(seen[1] / count[1] - seen[0] / count[0]) / error, 0)
 
 
-def _descend(row: np.ndarray, column: np.ndarray, size: int, label: np.ndarray, weight: np.ndarray, swaps: np.ndarray, source: np.ndarray, base: float, penalty: float) -> tuple[float, np.ndarray]:
+def _descend(row: np.ndarray, column: np.ndarray, size: int, label: np.ndarray, weight: np.ndarray, swaps: Swaps, base: float, penalty: float) -> tuple[float, np.ndarray]:
     """Minimises weighted log loss + a ridge + the mean squared change of the score under swaps, by Adam."""
     w = np.zeros(size + 1)
     w[-1] = base
     first, second = np.zeros_like(w), np.zeros_like(w)
     ridge = np.append(np.full(size, 1e-5), 0)
+    forms = int(swaps.row.max()) + 1 if len(swaps.row) else 0
     for step in range(1, 401):
         z = np.bincount(row, weights=w[column], minlength=len(label)) + w[-1]
         pull = weight * (1 / (1 + np.exp(-z)) - label)
-        if len(swaps):
-            change = 2 * penalty * (z[swaps] - z[source[swaps]]) / len(swaps)
-            pull[swaps] += change
-            np.subtract.at(pull, source[swaps], change)
         gradient = np.append(np.bincount(column, weights=pull[row], minlength=size), pull.sum()) + ridge * w
+        if forms:
+            change = np.bincount(swaps.row, weights=swaps.sign * w[swaps.column], minlength=forms)
+            gradient[:-1] += np.bincount(swaps.column, weights=2 * penalty / swaps.total * swaps.sign * change[swaps.row], minlength=size)
         first, second = 0.9 * first + 0.1 * gradient, 0.99 * second + 0.01 * gradient**2
         rate = 0.1 * (1 - step / 420)
         w -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
