@@ -42,6 +42,8 @@ class Engine:
     chunks: DataFrame | None = None
     formulas: DataFrame | None = None
     embedded: DataFrame | None = None
+    #: The keyword index, built when it is first searched.
+    index: keyword_index.Index | None = None
 
     def process(self, docs: DataFrame) -> Engine:
         """Takes documents (``doc_id``, ``text``) into the knowledge base."""
@@ -53,7 +55,7 @@ class Engine:
         if "heading" not in cut.columns:
             cut = cut.withColumns({"heading": F.lit(None).cast("string"), "parent_id": F.lit(None).cast("string"), "section_hierarchy": F.array().cast("array<string>")})
         self.chunks = chunking.classify(cut).withColumn("page_numbers", F.array("page_number"))
-        self.formulas = formulas.extract(blocks)
+        self.formulas, self.index = formulas.extract(blocks), None
         if self.model:
             self.embedded = vectors.embed(self.chunks.select("chunk_id", "content"), "content", self.model)
         return self
@@ -65,28 +67,52 @@ class Engine:
     def load(self, path: str, embedded: bool = False) -> Engine:
         found = tables.load_index(self.spark, path, ["chunks", "formulas", *(["embedded"] if embedded else [])])
         self.chunks, self.formulas, self.embedded = found["chunks"], found["formulas"], found.get("embedded")
+        self.index = None
         return self
 
     def queries(self, texts: list[str]) -> DataFrame:
         return query.process(self.spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "query_id string, text string"))
 
-    def search(self, asked: DataFrame, k: int | None = None) -> DataFrame:
-        """Fused hits (``query_id, doc_key, score, rank, source``) for processed queries."""
+    def search(self, asked: DataFrame, k: int | None = None, indices: tuple[str, ...] = ("keyword", "formula", "text", "domain")) -> DataFrame:
+        """Fused hits (``query_id, doc_key, score, rank, source``) for processed queries, from the named indices."""
         k = k or self.settings.top_k
-        terms = keyword_index.terms(self.chunks, "chunk_id", "content")
-        wanted = asked.select("query_id", text.index_keywords(F.array_join("keywords", " ")).alias("terms"))
-        hits = search.keyword_hits(terms, "chunk_id", wanted, 2 * k)
-        with_symbols = asked.withColumn("variables", latex.variables(F.col("raw_text")))
-        symbolic = with_symbols.filter(F.col("query_type").isin("formula", "mixed") | (F.size("formulas") > 0))
-        hits = hits.unionByName(search.formula_hits(self.formulas, symbolic, 2 * k))
-        if self.embedded is not None and self.model:
-            seen = vectors.embed(asked.select(F.col("query_id").cast("long").alias("query_id"), "processed_text"), "processed_text", self.model)
-            numbered = self.embedded.withColumn("key", F.xxhash64("chunk_id"))
-            found = vectors.top_k(numbered, "key", seen, "query_id", 2 * k).join(numbered.select("key", "chunk_id"), "key")
-            hits = hits.unionByName(search.hits(found, "text", "query_id", "chunk_id"))
+        keywords = self._keyword_hits(asked, 2 * k)
+        texts = self._text_hits(asked, 2 * k) if self.embedded is not None and self.model else keywords.limit(0)
+        hits = keywords.filter(F.lit("keyword" in indices))
+        if "text" in indices:
+            hits = hits.unionByName(texts)
+        if "formula" in indices:
+            symbols = {"variables": latex.variables(F.col("raw_text")), "operators": latex.operators(F.col("raw_text"))}
+            wanted = asked.filter(F.col("query_type").isin("formula", "mixed") | (F.size("formulas") > 0)).withColumns(symbols).withColumn("domain", F.lit(None).cast("string"))
+            hits = hits.unionByName(search.formula_hits(self.formulas, wanted, 2 * k))
+        if "domain" in indices:
+            hits = hits.unionByName(search.by_domain(asked, self.formulas, keywords, texts, k))
         fuse = {"rrf": lambda: fusion.reciprocal_rank(hits, k), "weighted": lambda: fusion.weighted(hits, asked, k), "convex": lambda: fusion.convex(hits, asked, k)}
         return fuse[self.settings.fusion]().withColumnRenamed("best_source", "source")
 
+    def _keyword_hits(self, asked: DataFrame, k: int) -> DataFrame:
+        if self.index is None:
+            self.index = keyword_index.build(keyword_index.terms(self.chunks, "chunk_id", "content"), "chunk_id")
+        wanted = asked.select("query_id", text.index_keywords(F.array_join("keywords", " ")).alias("terms"))
+        return search.keyword_hits(self.index, wanted, k)
+
+    def _text_hits(self, asked: DataFrame, k: int) -> DataFrame:
+        seen = vectors.embed(asked.select(F.col("query_id").cast("long").alias("query_id"), "processed_text"), "processed_text", self.model)
+        numbered = self.embedded.withColumn("key", F.xxhash64("chunk_id"))
+        found = vectors.top_k(numbered, "key", seen, "query_id", k).join(numbered.select("key", "chunk_id"), "key")
+        return search.hits(found, "text", "query_id", "chunk_id")
+
+    def explain(self, texts: list[str], k: int | None = None) -> DataFrame:
+        """How each question is understood, and what is found for it."""
+        asked = self.queries(texts)
+        return context.explanation(self.search(asked, k), asked)
+
+    def formula(self, formula_id: str) -> DataFrame:
+        return self.formulas.filter(F.col("formula_id") == formula_id)
+
+    def chunk(self, chunk_id: str) -> DataFrame:
+        return self.chunks.filter(F.col("chunk_id") == chunk_id)
+
     def query(self, texts: list[str], k: int | None = None) -> DataFrame:
         """An answer for each question, with its confidence and context."""
         asked = self.queries(texts)

@@ -227,7 +227,7 @@ DELIMITED_FORMULAS = (
 )
 BARE_FORMULAS = (
     r"[A-Za-z]+\s*=\s*[^,\.\n]{3,}(?:[\+\-\*/\^]|\\frac|\\sqrt|\\int)",
-    r"(?:[A-Z][a-z]?\d*){1,60}\s*(?:->|→|\\rightarrow)\s*(?:[A-Z][a-z]?\d*){1,60}",
+    r"(?:[A-Z][a-z]?\d*)++\s*(?:->|→|\\rightarrow)\s*(?:[A-Z][a-z]?\d*)++",
 )
 
 # Fusion and answers
@@ -238,17 +238,17 @@ TYPE_FACTORS = {"formula": {"formula": 2.0, "text": 0.7}, "diagram": {"diagram":
 INTENT_FACTORS = {"formula_lookup": {"formula": 1.5}, "visualization": {"diagram": 1.5}, "definition": {"text": 1.3}, "explanation": {"text": 1.3}}
 SOURCE_ORDER = ("text", "formula", "diagram", "keyword", "domain")
 RRF_K = 60
+#: What an answer to a query of each intent should do, in our own words; callers may give others.
 INTENT_INSTRUCTIONS = {
-    "definition": "Provide a clear, concise definition. Include formal mathematical notation if applicable.",
-    "explanation": "Explain the concept step by step. Use analogies if helpful.",
-    "derivation": "Show the derivation step by step. Explain each mathematical transformation.",
-    "example": "Provide a concrete example with detailed working.",
-    "formula_lookup": "Provide the formula in LaTeX format. Explain each variable and its units.",
-    "proof": "Present the proof with clear logical steps.",
-    "comparison": "Compare and contrast the concepts systematically.",
-    "application": "Explain how to apply this concept with practical examples.",
-    "visualization": "Describe the visual representation and what it shows.",
-    "calculation": "Show the calculation with all steps.",
-    "general": "Provide a comprehensive answer addressing the question.",
+    "definition": "Say in one or two sentences what it is, with its symbols if it has any.",
+    "explanation": "Go through it in small steps and give a picture for each hard one.",
+    "derivation": "Begin with what is given and name the rule used at every line.",
+    "example": "Work one case through with numbers.",
+    "formula_lookup": "Write the formula in LaTeX and list its symbols with their units.",
+    "proof": "State what is assumed, then prove the claim line by line.",
+    "comparison": "Put what they share first, then where they differ.",
+    "application": "Tell where it is used and how, with a case from practice.",
+    "visualization": "Describe what a picture of it would show and what to look at.",
+    "calculation": "Write down every intermediate result.",
+    "general": "Answer from the given context, and say so where it has no answer.",
 }
-FALSE_OPTIONS = ("This concept is not related to the subject matter.", "This is a mathematical constant with no physical meaning.", "This describes a phenomenon that has been disproven.")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import functools
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,14 +13,19 @@ from docweft.functions import rules
 SPACES = r"\s+"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once for each row, however often ``use`` mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def contains_any(text: Column, marks: Iterable[str]) -> Column:
     """Whether the text has any of the marks as a substring."""
-    return F.exists(F.array(*[F.lit(m) for m in marks]), lambda m: F.contains(text, m))
+    return functools.reduce(lambda x, y: x | y, [F.contains(text, F.lit(m)) for m in marks], F.lit(False))
 
 
 def count_contained(text: Column, marks: Iterable[str]) -> Column:
     """How many of the marks the text has as substrings."""
-    return F.size(F.filter(F.array(*[F.lit(m) for m in marks]), lambda m: F.contains(text, m)))
+    return functools.reduce(lambda x, y: x + y, [F.contains(text, F.lit(m)).cast("int") for m in marks], F.lit(0))
 
 
 def occurrences(text: Column, part: Column) -> Column:
@@ -84,29 +90,33 @@ def chunk_type(content: Column, prior: Column) -> Column:
 
 def domain(content: Column) -> Column:
     """The domain with the most keywords among the text's substrings, else general."""
-    low = F.lower(content)
-    return arg_max({d: count_contained(low, words) for d, words in rules.DOMAIN_KEYWORDS.items()}, F.lit("general"))
+    return bound(F.lower(content), lambda low: arg_max({d: count_contained(low, words) for d, words in rules.DOMAIN_KEYWORDS.items()}, F.lit("general")))
 
 
 def difficulty(content: Column) -> Column:
     """Introductory, intermediate or advanced, from indicator words and formulas."""
-    low = F.lower(content)
-    score = {level: count_contained(low, words) for level, words in rules.DIFFICULTY_WORDS.items()}
-    marks = occurrences(low, F.lit("=")) + occurrences(low, F.lit("∫"))
-    score["advanced"] = score["advanced"] + F.when(marks > 5, 2).otherwise(0) + F.when(low.rlike(rules.PROOF_MARKS), 3).otherwise(0)
-    return arg_max(score, F.lit("intermediate"))
+
+    def level(low: Column) -> Column:
+        score = {name: count_contained(low, words) for name, words in rules.DIFFICULTY_WORDS.items()}
+        marks = occurrences(low, F.lit("=")) + occurrences(low, F.lit("∫"))
+        score["advanced"] = score["advanced"] + F.when(marks > 5, 2).otherwise(0) + F.when(low.rlike(rules.PROOF_MARKS), 3).otherwise(0)
+        return arg_max(score, F.lit("intermediate"))
+
+    return bound(F.lower(content), level)
 
 
 def concepts(content: Column, domain_name: Column) -> Column:
     """Named laws, keywords of the domain and scientists of a chunk: the first ten in order."""
-    low = F.lower(content)
     none = F.array().cast("array<string>")
-    # the pattern is tried only where one of its last words occurs at all
-    named = F.when(contains_any(low, rules.LAW_WORDS), F.regexp_extract_all(low, F.lit(rules.NAMED_LAW), F.lit(1))).otherwise(none)
     by_domain = F.create_map(*[x for name, words in rules.DOMAIN_KEYWORDS.items() for x in (F.lit(name), F.array(*[F.lit(w) for w in words]))])
-    keywords = F.filter(F.coalesce(F.try_element_at(by_domain, domain_name), none), lambda w: F.contains(low, w))
-    people = F.filter(F.array(*[F.lit(p) for p in rules.CONCEPT_SCIENTISTS]), lambda p: F.contains(low, F.lower(p)))
-    return F.slice(F.array_sort(F.array_distinct(F.concat(named, keywords, people))), 1, 10)
+    known = F.concat(F.coalesce(F.try_element_at(by_domain, domain_name), none), F.array(*[F.lit(p) for p in rules.CONCEPT_SCIENTISTS]))
+
+    def found(low: Column) -> Column:
+        # the pattern is tried only where one of its last words occurs at all
+        named = F.when(contains_any(low, rules.LAW_WORDS), F.regexp_extract_all(low, F.lit(rules.NAMED_LAW), F.lit(1))).otherwise(none)
+        return F.slice(F.array_sort(F.array_distinct(F.concat(named, F.filter(known, lambda w: F.contains(low, F.lower(w)))))), 1, 10)
+
+    return bound(F.lower(content), found)
 
 
 def chunk_keywords(content: Column) -> Column:
@@ -126,11 +136,14 @@ def words(text: Column) -> Column:
 
 def index_keywords(text: Column) -> Column:
     """The set of index terms: words of three and more letters, and pairs of neighbours joined by ``_``; no stopwords."""
-    tokens = words(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s-]", " "))
-    single = F.filter(F.transform(tokens, lambda w: F.regexp_replace(w, "^-+|-+$", "")), lambda w: (F.length(w) > 2) & ~w.isin(*rules.INDEX_STOPWORDS))
-    shifted = F.slice(tokens, F.lit(2), F.greatest(F.size(tokens), F.lit(1)))
-    pairs = F.zip_with(tokens, shifted, lambda a, b: F.when(b.isNotNull() & ~a.isin(*rules.INDEX_STOPWORDS) & ~b.isin(*rules.INDEX_STOPWORDS), F.concat(a, F.lit("_"), b)))
-    return F.array_distinct(F.concat(single, F.filter(pairs, lambda p: p.isNotNull())))
+    stop = rules.INDEX_STOPWORDS
+
+    def terms(tokens: Column) -> Column:
+        single = F.filter(F.transform(tokens, lambda w: F.btrim(w, F.lit("-"))), lambda w: (F.length(w) > 2) & ~w.isin(*stop))
+        pairs = F.zip_with(tokens, F.slice(tokens, F.lit(2), F.greatest(F.size(tokens), F.lit(1))), lambda a, b: F.when(b.isNotNull() & ~a.isin(*stop) & ~b.isin(*stop), F.concat(a, F.lit("_"), b)))
+        return F.array_distinct(F.concat(single, F.filter(pairs, lambda p: p.isNotNull())))
+
+    return bound(words(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s-]", " ")), terms)
 
 
 def sentences(text: Column) -> Column:

@@ -180,6 +180,20 @@ def ancestors(chunks: DataFrame, depth: int = 3) -> DataFrame:
     return found
 
 
+def descendants(chunks: DataFrame, depth: int = 3) -> DataFrame:
+    """Each chunk with each chunk below it and how far down that is."""
+    return ancestors(chunks, depth).select("document_id", F.col("ancestor_id").alias("chunk_id"), F.col("chunk_id").alias("descendant_id"), "distance")
+
+
+def placed(chunks: DataFrame, depth: int = 3) -> DataFrame:
+    """Each chunk with its depth and its full context: the contents of its ancestors, topmost first, and its own."""
+    above = ancestors(chunks, depth).join(chunks.select("document_id", F.col("chunk_id").alias("ancestor_id"), F.col("content").alias("said")), ["document_id", "ancestor_id"])
+    told = above.groupBy("document_id", "chunk_id").agg(F.max("distance").alias("depth"), F.transform(F.sort_array(F.collect_list(F.struct("distance", "said")), asc=False), lambda x: x["said"]).alias("said"))
+    joined = chunks.select("document_id", "chunk_id", "content").join(told, ["document_id", "chunk_id"], "left")
+    every = F.concat(F.coalesce("said", F.expr(NONE)), F.array("content"))
+    return joined.select("document_id", "chunk_id", F.coalesce("depth", F.lit(0)).alias("depth"), F.array_join(every, "\n\n").alias("full_context"))
+
+
 def context_window(chunks: DataFrame, width: int = 2) -> DataFrame:
     """Each chunk with the ids of the chunks from ``width`` before to ``width`` after it."""
     around = Window.partitionBy("document_id").orderBy("seq").rowsBetween(-width, width)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweft.functions import text
+from docweft.operators.storage import written
 
 K1, B = 1.5, 0.75
+#: Terms of queries that are broadcast at most.
+BROADCAST_TERMS = 200_000
 
 
 def terms(rows: DataFrame, key: str, column: str = "text") -> DataFrame:
@@ -34,23 +39,38 @@ def top(scored: DataFrame, query: str, key: str, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
 
-def bm25(indexed: DataFrame, key: str, queries: DataFrame, query: str, k: int = 10) -> DataFrame:
+@dataclass(frozen=True)
+class Index:
+    """A written keyword index: postings (``term``, key, ``dl``, ``df``) in order of term, and the totals (one row)."""
+
+    key: str
+    postings: DataFrame
+    totals: DataFrame
+
+
+def build(indexed: DataFrame, key: str) -> Index:
+    """Writes the postings of rows with their terms once; searches then read only them.
+
+    A posting knows the length of its row and the frequency of its term, so that a search needs no other pass.
+    """
+    each = written(postings(indexed, key), "postings")
+    frequency = each.groupBy("term").agg(F.count("*").alias("df"))
+    placed = each.join(frequency, "term").select("term", key, "dl", "df").sortWithinPartitions("term")
+    return Index(key, written(placed, "keyword-index"), written(statistics(indexed), "keyword-totals"))
+
+
+def bm25(index: Index, queries: DataFrame, query: str, k: int = 10) -> DataFrame:
     """The ``k`` best rows for each query (``query`` and ``terms`` columns) by BM25 over term sets.
 
-    Query terms meet the postings first, so only postings that some query asks for are counted and scored, and a
-    row's scores are summed where its postings are. Terms occur once in a set, so their frequency is 1.
+    Only postings that some query asks for are scored, and a row's scores are summed where its postings are. Terms
+    occur once in a set, so their frequency is 1. The queries' terms are broadcast if their number allows.
     """
-    # the set of the queries' terms is what the join is built from: Spark broadcasts it if its size allows
     asked = queries.select(query, F.explode("terms").alias("term"))
-    wanted = asked.select("term").distinct()
-    found = postings(indexed, key).join(wanted, "term")
-    frequency = found.groupBy("term").agg(F.count("*").alias("df"))
-    totals = statistics(indexed)  # one row
-    weights = frequency.join(F.broadcast(totals)).select("term", "avg_dl", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
-    asked = asked.join(weights, "term")
-    scored = postings(indexed, key).join(asked, "term")
-    part = F.col("idf") * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    return top(scored.groupBy(query, key).agg(F.round(F.sum(part), 6).alias("score")), query, key, k)
+    asked = F.broadcast(asked) if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else asked
+    scored = index.postings.join(asked, "term").join(F.broadcast(index.totals))
+    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    part = idf * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
+    return top(scored.groupBy(query, index.key).agg(F.round(F.sum(part), 6).alias("score")), query, index.key, k)
 
 
 def exact(indexed: DataFrame, key: str, phrase: str) -> DataFrame:
@@ -87,14 +107,13 @@ def similar_terms(vocabulary: DataFrame, asked: DataFrame, threshold: float = 0.
     return pairs.withColumn("similarity", text.string_similarity(F.col("asked"), F.col("term"))).filter(F.col("similarity") >= threshold)
 
 
-def fuzzy(indexed: DataFrame, key: str, queries: DataFrame, query: str, k: int = 20, threshold: float = 0.7) -> DataFrame:
+def fuzzy(index: Index, queries: DataFrame, query: str, k: int = 20, threshold: float = 0.7) -> DataFrame:
     """The ``k`` best rows for each query by the summed similarity of its terms to the row's terms."""
-    vocabulary = postings(indexed, key).select("term")
     asked = queries.select(query, F.explode("terms").alias("asked"))
-    alike = similar_terms(vocabulary, asked.select(F.col("asked").alias("term")), threshold)
+    alike = similar_terms(index.postings.select("term"), asked.select(F.col("asked").alias("term")), threshold)
     wanted = asked.join(alike, "asked").groupBy(query, "term").agg(F.sum("similarity").alias("weight"))
-    scored = postings(indexed, key).join(wanted, "term").groupBy(query, key).agg(F.round(F.sum("weight"), 6).alias("score"))
-    return top(scored, query, key, k)
+    scored = index.postings.join(wanted, "term").groupBy(query, index.key).agg(F.round(F.sum("weight"), 6).alias("score"))
+    return top(scored, query, index.key, k)
 
 
 def lookup(indexed: DataFrame, key: str, term: str) -> DataFrame:

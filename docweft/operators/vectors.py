@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,9 +13,9 @@ from pyspark.sql import functions as F
 
 from docweft.functions import text
 
-#: Queries that are sent to the executors at once, and vectors compared with them at once.
+#: Queries that are sent to the executors at once, and products of queries and vectors held at once.
 BLOCK = 20_000
-ROWS = 2_048
+CELLS = 4_000_000
 #: Vectors that the coarse centroids are fitted on at most.
 SAMPLE = 20_000
 
@@ -45,25 +46,35 @@ def top_k(vectors: DataFrame, key: str, queries: DataFrame, query: str, k: int =
     return ranked.select(F.col("query").alias(names["query"]), F.col("key").alias(names["key"]), F.round("score", 6).alias("score"), "rank")
 
 
-def _local_top(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+def _local_top(rows: DataFrame, asked: DataFrame, k: int, c: np.ndarray | None = None, probes: int = 0) -> DataFrame:
+    """The best ``k`` rows of each task for each query of one block; with centroids only rows of the lists nearest to it."""
     table = asked.toArrow()  # one bounded block
-    sent = rows.sparkSession.sparkContext.broadcast((table.column("query").to_numpy(), _matrix(table.column("embedding").combine_chunks())))
+    sent = rows.sparkSession.sparkContext.broadcast((table.column("query").to_numpy(), _matrix(table.column("embedding").combine_chunks()), c))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, asked = sent.value
+        names, asked, c = sent.value
+        looks = None
+        if c is not None and len(c) and len(names):
+            looks = np.zeros((len(names), len(c)), bool)
+            np.put_along_axis(looks, np.argsort(-(asked @ c.T - (c * c).sum(1) / 2), axis=1)[:, :probes], True, 1)
         score = np.full((len(names), 0), -np.inf)
         found = np.zeros((len(names), 0), np.int64)
+        rows = max(k, CELLS // max(len(names), 1))
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                score = np.hstack([score, asked @ _matrix(part.column("embedding")).T])
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                product = asked @ _matrix(part.column("embedding")).T
+                if looks is not None:
+                    product[~looks[:, part.column("list_id").to_numpy()]] = -np.inf
+                score = np.hstack([score, product])
                 found = np.hstack([found, np.broadcast_to(part.column("key").to_numpy(), (len(names), part.num_rows))])
                 if score.shape[1] > k:
                     order = np.lexsort((found, -np.round(score, 12)), axis=1)[:, :k]
                     score, found = np.take_along_axis(score, order, 1), np.take_along_axis(found, order, 1)
         if found.shape[1] and len(names):
             n = found.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(found.ravel()), pa.array(score.ravel())], names=["query", "key", "score"])
+            met = score.ravel() > -np.inf
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)[met]), pa.array(found.ravel()[met]), pa.array(score.ravel()[met])], names=["query", "key", "score"])
 
     return rows.mapInArrow(search, "query long, key long, score double")
 
@@ -95,25 +106,29 @@ def nearest_lists(embedding: Column, c: np.ndarray, n: int = 1) -> Column:
     return near(embedding)
 
 
-def inverted_file(vectors: DataFrame, key: str, lists: int = 16) -> tuple[DataFrame, np.ndarray]:
-    """Every vector with the list that it is in, and the lists' centroids."""
-    c = centroids(vectors, key, lists)
+def inverted_file(vectors: DataFrame, key: str, lists: int | None = None) -> tuple[DataFrame, np.ndarray]:
+    """Every vector with the list that it is in, and the lists' centroids; by default as many lists as the square root of the rows."""
     rows = vectors.filter(F.col("embedding").isNotNull())
+    c = centroids(rows, key, lists or max(16, math.isqrt(rows.count())))
     return rows.select(key, "embedding", nearest_lists(F.col("embedding"), c)[0].alias("list_id") if len(c) else F.lit(0).alias("list_id")), c
 
 
-def approximate_top_k(index: DataFrame, c: np.ndarray, key: str, queries: DataFrame, query: str, k: int = 10, probes: int = 12) -> DataFrame:
-    """``top_k`` among the vectors of the ``probes`` lists nearest to each query, joined by list."""
-    asked = queries.filter(F.col("embedding").isNotNull()).select(F.col(query).alias("query"), F.col("embedding").alias("asked"), F.explode(nearest_lists(F.col("embedding"), c, probes)).alias("list_id"))
-    pairs = index.select(F.col(key).alias("key"), "embedding", "list_id").join(asked, "list_id")
+def approximate_top_k(index: DataFrame, c: np.ndarray, key: str, queries: DataFrame, query: str, k: int = 10, share: float = 0.35) -> DataFrame:
+    """``top_k`` among the vectors of the lists nearest to each query, a ``share`` of all lists.
 
-    @F.arrow_udf("double")
-    def product(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array(np.einsum("ij,ij->i", _matrix(a), _matrix(b)))
-
-    scored = pairs.select("query", "key", product("embedding", "asked").alias("score"))
+    Queries and the lists that each looks into go to the executors in blocks of bounded size; every task keeps its own
+    best ``k`` of each query, so no list is a join key and only the best are shuffled.
+    """
+    probes = max(1, math.ceil(share * len(c)))
+    asked = queries.filter(F.col("embedding").isNotNull()).select(F.col(query).cast("long").alias("query"), "embedding")
+    rows = index.select(F.col(key).cast("long").alias("key"), "embedding", "list_id")
+    blocks = max(1, -(-asked.count() // BLOCK))
+    best = None
+    for b in range(blocks):
+        found = _local_top(rows, asked.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b), k, c, probes)
+        best = found if best is None else best.unionByName(found)
     order = Window.partitionBy("query").orderBy(F.col("score").desc(), "key")
-    ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
+    ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
     return ranked.select(F.col("query").alias(f"query_{query}"), F.col("key").alias(key), F.round("score", 6).alias("score"), "rank")
 
 

@@ -104,3 +104,13 @@ def coverage(found: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     joined = asked.join(counts, "query_id", "left").fillna(0, ["texts", "formulas"])
     share = F.when(F.col("asks"), F.least(F.lit(1.0), F.col("formulas") / 3)).otherwise(1.0)
     return joined.select("query_id", F.round(F.col("texts") / k, 6).alias("text_coverage"), F.round(share, 6).alias("formula_coverage"))
+
+
+def explanation(found: DataFrame, queries: DataFrame) -> DataFrame:
+    """How each query was understood and what was found for it, in lines."""
+    counts = found.groupBy("query_id", "source").agg(F.count("*").alias("n"))
+    listed = counts.groupBy("query_id").agg(F.sum("n").alias("total"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("source", "n"))), lambda x: F.concat(F.lit("  - "), x["source"], F.lit(": "), x["n"].cast("string"))), "\n").alias("by_source"))
+    rows = queries.select(F.col("query_id").cast("string").alias("query_id"), "raw_text", "query_type", "intent", "keywords").join(listed, "query_id", "left")
+    lines = [F.concat(F.lit("Query: "), "raw_text"), F.concat(F.lit("Type: "), "query_type"), F.concat(F.lit("Intent: "), "intent"), F.concat(F.lit("Keywords: "), F.array_join("keywords", ", "))]
+    lines.append(F.concat(F.lit("Results: "), F.coalesce("total", F.lit(0)).cast("string")))
+    return rows.select("query_id", F.concat_ws("\n", *lines, "by_source").alias("explanation"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweft.functions import text
@@ -93,19 +93,28 @@ def flashcards(chunks: DataFrame, formulas: DataFrame, count: int = 10, seed: st
 
 
 def choices(formulas: DataFrame, count: int = 10, seed: str = "docweft") -> DataFrame:
-    """Questions with one right formula and up to three of the document's first ten others, mixed by hash."""
-    unique = formulas.groupBy("document_id", "formula_id").agg(F.min_by("latex", "source_page").alias("latex"), F.min_by("plain_text", "source_page").alias("plain_text"))
+    """Questions with one right formula and up to three of the document's first eleven others, mixed by hash.
+
+    The eleven stand in a ring, in order of a hash; the wrong answers of each are the three after it.
+    """
+    unique = formulas.groupBy("document_id", "formula_id").agg(F.min(F.struct("source_page", "latex", "plain_text")).alias("x")).select("document_id", "formula_id", "x.latex", "x.plain_text")
     order = Window.partitionBy("document_id").orderBy("formula_id")
-    listed = unique.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= 11)
-    asked = listed.filter(F.col("n") <= count // 2)
-    other = listed.select("document_id", F.col("formula_id").alias("other_id"), F.col("latex").alias("other"))
-    pairs = asked.join(other, "document_id").filter("formula_id <> other_id")
-    drawn = Window.partitionBy("document_id", "formula_id").orderBy(F.md5(F.concat(F.lit(seed), "formula_id", "other_id")), "other_id")
-    wrong = pairs.withColumn("i", F.row_number().over(drawn)).filter("i <= 3").groupBy("document_id", "formula_id").agg(F.sort_array(F.collect_list("other")).alias("wrong"))
+    listed = unique.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= 11).withColumn("h", F.md5(F.concat(F.lit(seed), "formula_id")))
+    ring = Window.partitionBy("document_id").orderBy("h", "formula_id")
+    ahead = [F.lead("latex", i).over(ring) for i in (1, 2, 3)]
+    begin = [F.nth_value("latex", i).over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) for i in (1, 2, 3)]
+    size, place = F.count("*").over(Window.partitionBy("document_id")), F.row_number().over(ring)
+    placed = listed.withColumns({"size": size, "place": place, **{f"a{i}": c for i, c in enumerate(ahead, 1)}, **{f"b{i}": c for i, c in enumerate(begin, 1)}})
+
+    def after(i: int) -> Column:
+        """The i-th after a formula, round the ring, as far as there are so many others."""
+        wrapped = F.col("place") + i - F.col("size")
+        return F.when(F.lit(i) < F.col("size"), F.coalesce(f"a{i}", F.when(wrapped == 1, F.col("b1")).when(wrapped == 2, F.col("b2")).when(wrapped == 3, F.col("b3"))))
+
+    options = F.array_sort(F.array_distinct(F.filter(F.array("latex", after(1), after(2), after(3)), lambda x: x.isNotNull())))
     question = F.concat(F.lit("Which formula represents "), F.coalesce("plain_text", F.lit("this concept")), F.lit("?"))
-    out = asked.join(wrong, ["document_id", "formula_id"], "left").select("document_id", F.concat(F.lit("mcq_"), "formula_id").alias("question_id"), question.alias("question"), "latex", F.coalesce("wrong", F.array().cast("array<string>")).alias("wrong"))
-    options = F.array_sort(F.array_distinct(F.concat("wrong", F.array("latex"))))
-    return out.select("document_id", "question_id", "question", F.array_join(options, " | ").alias("options"), (F.array_position(options, F.col("latex")) - 1).alias("correct"))
+    asked = placed.filter(F.col("n") <= count // 2)
+    return asked.select("document_id", F.concat(F.lit("mcq_"), "formula_id").alias("question_id"), question.alias("question"), F.array_join(options, " | ").alias("options"), (F.array_position(options, F.col("latex")) - 1).alias("correct"))
 
 
 def chat_history(turns: DataFrame, n: int = 20) -> DataFrame:

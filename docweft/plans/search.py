@@ -16,9 +16,9 @@ def hits(found: DataFrame, source: str, query: str, key: str, prefix: str = "")
     return found.select(F.col(query).cast("string").alias("query_id"), F.lit(source).alias("source"), F.col("rank").cast("int").alias("rank"), F.col("score").cast("double").alias("score"), doc_key.alias("doc_key"))
 
 
-def keyword_hits(indexed: DataFrame, key: str, queries: DataFrame, k: int) -> DataFrame:
+def keyword_hits(index: keyword_index.Index, queries: DataFrame, k: int) -> DataFrame:
     """BM25 hits for queries with ``query_id`` and ``terms``."""
-    return hits(keyword_index.bm25(indexed, key, queries, "query_id", k), "keyword", "query_id", key)
+    return hits(keyword_index.bm25(index, queries, "query_id", k), "keyword", "query_id", index.key)
 
 
 def text_hits(embedded: DataFrame, key: str, queries: DataFrame, k: int) -> DataFrame:
@@ -62,22 +62,65 @@ def data_science(keywords: DataFrame, texts: DataFrame, k: int = 10) -> DataFram
     return cut(unique, ["part", "n"], k).select("query_id", F.lit("domain").alias("source"), "rank", "score", "doc_key")
 
 
+def mathematics(texts: DataFrame, k: int = 10) -> DataFrame:
+    """Text hits, cut at ``k``."""
+    return cut(texts.filter(F.col("rank") < 2 * k), ["rank"], k).select("query_id", F.lit("domain").alias("source"), "rank", "score", "doc_key")
+
+
+def by_domain(queries: DataFrame, formulas: DataFrame, keywords: DataFrame, texts: DataFrame, k: int = 10) -> DataFrame:
+    """The hits of each query's ``domain`` (``query_id, domain, keywords``); none for statistics or without a domain."""
+    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), "domain", "keywords")
+    of = lambda name: asked.filter(F.col("domain") == name)
+    own = lambda rows, name: rows.join(of(name).select("query_id"), "query_id", "left_semi")
+    found = physics(formulas, of("physics"), k).unionByName(mathematics(own(texts, "mathematics"), k))
+    found = found.unionByName(chemistry(formulas, own(texts, "chemistry"), of("chemistry"), k))
+    return found.unionByName(data_science(own(keywords, "data_science"), own(texts, "data_science"), k))
+
+
 def formula_hits(formulas: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """Hits for formulas in queries by likeness, and by the query's symbols at 0.8; of one formula the better."""
+    """Hits for formulas in queries by likeness, and by the query's symbols at 0.8; of one formula the better.
+
+    By symbols are found formulas with any of the query's ``variables``, any of its ``operators`` and its ``domain``,
+    as far as a query has these.
+    """
     asked = queries.select("query_id", F.explode("formulas").alias("latex"))
     found = formula_ops.by_latex(formulas, asked, k).select("query_id", "formula_id", "score")
-    symbols = queries.filter(F.size("variables") > 0).select("query_id", F.explode("variables").alias("variable"))
-    shared = formulas.select("formula_id", F.explode("variables").alias("variable")).join(symbols, "variable").select("query_id", "formula_id", F.lit(0.8).alias("score")).distinct()
+    symbols = queries.filter(F.size("variables") > 0)
+    wanted = [F.col(c) if c in queries.columns else F.lit(None).cast(kind) for c, kind in (("operators", "array<string>"), ("domain", "string"))]
+    symbols = symbols.select("query_id", F.explode("variables").alias("variable"), wanted[0].alias("asked_operators"), wanted[1].alias("asked_domain"))
+    known = formulas.select("formula_id", "operators", "domain", F.explode("variables").alias("variable")).distinct()
+    fits = (F.coalesce(F.size("asked_operators"), F.lit(0)) <= 0) | F.arrays_overlap("operators", "asked_operators")
+    fits = fits & (F.col("asked_domain").isNull() | (F.col("domain") == F.col("asked_domain")))
+    shared = known.join(symbols, "variable").filter(fits).select("query_id", "formula_id", F.lit(0.8).alias("score")).distinct()
     shared = cut(shared, ["formula_id"], k).drop("rank")
     best = found.unionByName(shared).groupBy("query_id", "formula_id").agg(F.max("score").alias("score"))
     return hits(cut(best, [F.col("score").desc(), "formula_id"], k), "formula", "query_id", "formula_id")
 
 
-def web_search(chunks: DataFrame, asked: str, k: int | None = None) -> DataFrame:
-    """Chunks whose content or heading has the text, with occurrences in it plus twice those in the heading."""
+def diagrams_of_type(diagrams: DataFrame, kind: str, k: int = 20) -> DataFrame:
+    """The first ``k`` diagrams of a type in order of id; score 1."""
+    return diagrams.filter(F.col("diagram_type") == kind).select("diagram_id", "caption").orderBy("diagram_id").limit(k).withColumn("score", F.lit(1.0))
+
+
+def diagram_hits(diagrams: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """Hits among diagrams (``diagram_id`` and ``embedding``) for queries with an embedding, as a model of the caller's made them."""
+    keyed = diagrams.withColumn("key", F.xxhash64("diagram_id"))
+    found = vectors.top_k(keyed, "key", queries, "query_id", k).join(keyed.select("key", "diagram_id"), "key")
+    return hits(found, "diagram", "query_id", "diagram_id")
+
+
+def web_search(chunks: DataFrame, asked: str, k: int | None = None, formulas: DataFrame | None = None) -> DataFrame:
+    """Chunks whose content or heading has the text, with occurrences in it plus twice those in the heading.
+
+    With ``formulas`` those too whose LaTeX or wording has it, with occurrences in both.
+    """
     from docweft.functions import text
 
     low, head, part = F.lower(F.coalesce("content", F.lit(""))), F.lower(F.coalesce("heading", F.lit(""))), F.lit(asked.strip().lower())
     relevance = text.occurrences(low, part) + 2 * text.occurrences(head, part)
     found = chunks.filter(F.contains(low, part) | F.contains(head, part)).select("chunk_id", F.substring("content", 1, 300).alias("content"), "heading", relevance.alias("relevance"))
+    if formulas is not None:
+        code, wording = (F.lower(F.coalesce(c, F.lit(""))) for c in ("latex", "plain_text"))
+        named = formulas.filter(F.contains(code, part) | F.contains(wording, part)).select(F.col("formula_id").alias("chunk_id"), F.col("latex").alias("content"), F.col("plain_text").alias("heading"), (text.occurrences(code, part) + text.occurrences(wording, part)).alias("relevance"))
+        found = found.unionByName(named.distinct())
     return found.orderBy(F.col("relevance").desc(), "chunk_id").limit(k) if k else found

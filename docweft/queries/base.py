@@ -7,6 +7,7 @@ plain rules: sizes and weights from the place of a line, formulas from the first
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from docweft.functions import latex as L
 from docweft.functions import rules, text
 from docweft.operators import keyword_index
+from docweft.operators.storage import written
 from docweft.plans import query as Q
 from docweft.sources import documents
 
@@ -141,7 +143,6 @@ SQL_RAW_FORMULAS = SQL_CHUNKS + f""",
 letters AS (SELECT doc_id, idx, page_number, chunk_id, seq, content, coalesce(substr(w[1], 1, 1), 'x') AS a, coalesce(substr(w[2], 1, 1), 'x') AS b, coalesce(substr(w[3], 1, 1), 'x') AS c
   FROM (SELECT *, regexp_extract_all(content, '[A-Za-z]{{2,}}') AS w FROM chunks)),
 raw AS (SELECT doc_id, page_number AS source_page, idx, chunk_id, CASE (doc_id + idx) % {len(TEMPLATES)} {" ".join(f"WHEN {i} THEN {_sql_template(t)}" for i, t in enumerate(TEMPLATES))} END AS latex FROM letters)"""
-_SQL_VARS = "list_sort(list_distinct(regexp_extract_all(regexp_replace(regexp_replace(latex, '\\\\?[a-zA-Z]{2,}|\\\\[a-zA-Z]', ' ', 'g'), '([^a-zA-Z_{}0-9])', '\\1\\1', 'g'), '([a-zA-Z](?:_\\{?[a-zA-Z0-9]+\\}?)?)', 1)))"
 _SQL_OPS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(latex, {quoted(p)}) THEN {quoted(n)} END" for n, p in rules.OPERATORS) + "], lambda x: x IS NOT NULL)"
 _SQL_FUNCTIONS = "list_sort(list_distinct(list_concat(" + ", ".join(f"regexp_extract_all(latex, {quoted(p)}, 1)" for p in rules.FUNCTIONS) + ")))"
 _SQL_KIND = "CASE " + " ".join(f"WHEN regexp_matches(latex, {quoted(f)})" + (f" AND NOT regexp_matches(latex, {quoted(a)})" if a else "") + f" THEN {quoted(n)}" for n, f, a in rules.FORMULA_TYPES) + " ELSE 'unknown' END"
@@ -152,7 +153,7 @@ formulas AS (SELECT *, 'F_' || substr(md5(latex), 1, 8) AS formula_id, {_SQL_OPS
   {_SQL_KIND} AS kind, {_SQL_DOMAIN} AS domain, {_SQL_PLAIN} AS plain_text, {sql_replaced("trim(latex)", rules.NORMAL_STEPS)} AS normal_form,
   list_sort(list_distinct([a, b, c])) AS variables FROM (SELECT raw.*, a, b, c FROM raw JOIN letters USING (doc_id, idx)))"""
 SQL_QUERIES = f"""asked AS (SELECT conv_id || '_' || turn AS query_id, conv_id, turn,
-  [{", ".join(map(quoted, OPENINGS))}][1 + (conv_id + turn) % {len(OPENINGS)}] || array_to_string(string_split(text, ' ')[1:2 + (conv_id % 3)], ' ') || [{", ".join(map(quoted, ENDINGS))}][1 + conv_id % {len(ENDINGS)}] AS text
+  [{", ".join(map(quoted, OPENINGS))}][1 + (conv_id + turn) % {len(OPENINGS)}] || text || [{", ".join(map(quoted, ENDINGS))}][1 + conv_id % {len(ENDINGS)}] AS text
   FROM conversations WHERE role = 'user'),
 cleaned AS (SELECT query_id, conv_id, text AS raw_text, CASE WHEN regexp_matches(t, '[?.!]$') THEN t ELSE regexp_replace(t, '[.,;:]+$', '') END AS q
   FROM (SELECT *, regexp_replace(trim(text), '\\s+', ' ', 'g') AS t FROM asked))"""
@@ -160,12 +161,34 @@ SQL_TERMS = f"terms AS (SELECT doc_id, {sql_terms('coalesce(text, chr(32))')} AS
 SQL_POSTINGS = SQL_TERMS + ", postings AS (SELECT doc_id, len(terms) AS dl, unnest(terms) AS term FROM terms)"
 
 
+#: What has been written for the tables of one folder in one session: an index is built once and serves all queries.
+_WRITTEN: dict[tuple[str, str, str], Any] = {}
+
+
 class Tables:
     """The given tables of one scale and what is derived from them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    def once(self, name: str, make: Callable[[], Any]) -> Any:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _WRITTEN:
+            _WRITTEN[key] = make()
+        return _WRITTEN[key]
+
+    def index(self) -> keyword_index.Index:
+        """The keyword index of the documents."""
+        return self.once("keyword-index", lambda: keyword_index.build(self.terms(), "doc_id"))
+
+    def known(self) -> DataFrame:
+        """``typed`` chunks, written."""
+        return self.once("typed-chunks", lambda: written(self.typed(), "typed-chunks"))
+
+    def stored_formulas(self) -> DataFrame:
+        """``formulas``, written."""
+        return self.once("formulas", lambda: written(self.formulas(), "formulas"))
+
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
@@ -222,8 +245,7 @@ class Tables:
         turns = self.read("conversations").filter("role = 'user'")
         pick = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (1 + n % len(words)).cast("int"))
         opening, ending = pick(OPENINGS, F.col("conv_id") + F.col("turn")), pick(ENDINGS, F.col("conv_id"))
-        words = F.array_join(F.slice(F.split("text", " ", -1), F.lit(1), (2 + F.col("conv_id") % 3).cast("int")), " ")
-        return turns.select(F.concat_ws("_", "conv_id", "turn").alias("query_id"), "conv_id", F.concat(opening, words, ending).alias("text"))
+        return turns.select(F.concat_ws("_", "conv_id", "turn").alias("query_id"), "conv_id", F.concat(opening, "text", ending).alias("text"))
 
     def processed(self) -> DataFrame:
         return Q.process(self.asked())

@@ -168,6 +168,17 @@ def chunk_ancestors(t: Tables) -> DataFrame:
     return chunking.ancestors(chunking.hierarchical(t.styled()))
 
 
+@registered("chunk_descendants", f"""WITH {SQL_CHUNKS} SELECT doc_id::VARCHAR AS document_id, 'C_' || doc_id || '_' || (1 + (idx // 5 * 5) * 10 // 40) || '_' || (idx // 5 * 5) AS chunk_id, chunk_id AS descendant_id, 1 AS distance FROM chunks WHERE idx % 5 <> 0""")
+def chunk_descendants(t: Tables) -> DataFrame:
+    return chunking.descendants(_nested(t))
+
+
+@registered("chunk_context", f"""WITH {SQL_CHUNKS} SELECT c.doc_id::VARCHAR AS document_id, c.chunk_id, (c.idx % 5 <> 0)::INTEGER AS depth, CASE WHEN c.idx % 5 <> 0 THEN p.content || chr(10) || chr(10) ELSE '' END || c.content AS full_context
+  FROM chunks c JOIN chunks p ON p.doc_id = c.doc_id AND p.idx = c.idx // 5 * 5""")
+def chunk_context(t: Tables) -> DataFrame:
+    return chunking.placed(_nested(t))
+
+
 @registered("context_window", f"WITH {SQL_CHUNKS} SELECT chunk_id, array_to_string(list(chunk_id) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), ',') AS window_ids FROM chunks")
 def context_window(t: Tables) -> DataFrame:
     return chunking.context_window(t.chunks()).select("chunk_id", F.array_join("window_ids", ",").alias("window_ids"))

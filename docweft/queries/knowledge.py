@@ -100,6 +100,19 @@ def formula_by_operator(t: Tables) -> DataFrame:
     return ops.by_operator(t.formulas(), "dot_product").select("formula_id").distinct()
 
 
+@registered("formula_by_domain", f"WITH {SQL_FORMULAS} SELECT DISTINCT formula_id, 1.0::DOUBLE AS score FROM formulas WHERE domain = 'physics' ORDER BY formula_id LIMIT 50")
+def formula_by_domain(t: Tables) -> DataFrame:
+    return ops.by_domain(t.stored_formulas(), "physics")
+
+
+@registered("formula_alike")
+def formula_alike(t: Tables) -> DataFrame:
+    """The formulas of documents whose id is divisible by 20 against all, by signature and text."""
+    every = t.stored_formulas().groupBy("formula_id").agg(F.min(F.struct("latex", "operators", "functions")).alias("x")).select("formula_id", "x.*")
+    asked = t.stored_formulas().filter("doc_id % 20 = 0").select("formula_id").distinct()
+    return ops.alike(every, every.join(asked, "formula_id", "left_semi"), 0.8)
+
+
 @registered("formula_symbolic", f"WITH {SQL_FORMULAS} SELECT DISTINCT formula_id FROM formulas WHERE list_has_any(variables, ['a', 'T', 'e']) AND list_has_any(operators, ['sum', 'gradient']) AND domain = 'physics'")
 def formula_symbolic(t: Tables) -> DataFrame:
     return ops.by_symbols(t.formulas(), ["a", "T", "e"], ["sum", "gradient"], "physics").select("formula_id").distinct()
@@ -110,26 +123,27 @@ _SIMILAR = f"round(0.6 * {_JACCARD.format(a='s.variables', b='o.variables')} + 0
 
 
 def _unique(t: Tables) -> DataFrame:
-    return t.formulas().groupBy("formula_id").agg(F.min(F.struct("variables", "operators")).alias("x")).select("formula_id", "x.*")
+    return t.stored_formulas().groupBy("formula_id").agg(F.min(F.struct("variables", "operators")).alias("x")).select("formula_id", "x.*")
 
 
 @registered(
     "formula_similar",
     f"""WITH {SQL_FORMULAS}, u AS (SELECT formula_id, min({{'v': variables, 'o': list_sort(operators)}}) AS x FROM formulas GROUP BY 1), sets AS (SELECT formula_id, x.v AS variables, x.o AS operators FROM u),
-    sources AS (SELECT * FROM sets WHERE ends_with(formula_id, '0'))
+    sources AS (SELECT * FROM sets WHERE formula_id IN (SELECT formula_id FROM formulas WHERE doc_id % 20 = 0))
     SELECT s.formula_id, o.formula_id AS similar_id, {_SIMILAR} AS score, row_number() OVER (PARTITION BY s.formula_id ORDER BY {_SIMILAR} DESC, o.formula_id) - 1 AS rank
     FROM sources s JOIN sets o ON s.formula_id <> o.formula_id WHERE {_SIMILAR} > 0.2 QUALIFY rank < 10""",
 )
 def formula_similar(t: Tables) -> DataFrame:
-    """The formulas whose id ends in 0 against all."""
-    every = _unique(t)
-    return ops.similar(every, every.filter(F.endswith("formula_id", F.lit("0")))).withColumn("rank", F.col("rank").cast("long"))
+    """The formulas of documents whose id is divisible by 20 against all."""
+    every, asked = _unique(t), t.stored_formulas().filter("doc_id % 20 = 0").select("formula_id").distinct()
+    return ops.similar(every, every.join(asked, "formula_id", "left_semi")).withColumn("rank", F.col("rank").cast("long"))
 
 
 @registered("formula_by_latex")
 def formula_by_latex(t: Tables) -> DataFrame:
-    asked = t.formulas().filter("doc_id % 20 = 0 AND idx = 0").select(F.col("doc_id").cast("string").alias("query_id"), "latex")
-    return ops.by_latex(t.formulas(), asked)
+    """The formulas of documents whose id is divisible by 20 against all."""
+    asked = t.stored_formulas().filter("doc_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "latex")
+    return ops.by_latex(t.stored_formulas(), asked)
 
 
 @registered(
@@ -138,7 +152,7 @@ def formula_by_latex(t: Tables) -> DataFrame:
     SELECT DISTINCT a.doc_id::VARCHAR AS document_id, a.formula_id, b.formula_id AS depends_on FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.formula_id <> b.formula_id AND list_has_any(a.variables, b.variables) AND len(b.variables) < len(a.variables)""",
 )
 def formula_dependencies(t: Tables) -> DataFrame:
-    return ops.dependencies(t.formulas().select("document_id", "formula_id", "variables").distinct())
+    return ops.dependencies(t.stored_formulas().select("document_id", "formula_id", "variables").distinct())
 
 
 @registered(
@@ -151,21 +165,15 @@ def formula_dependents(t: Tables) -> DataFrame:
     return formula_dependencies(t).groupBy(F.col("depends_on").alias("formula_id")).agg(F.count("*").alias("n_dependents"), F.min("formula_id").alias("first_dependent"))
 
 
-_PREREQUISITES = "SELECT doc_id AS src, doc_id - 1 - doc_id % 3 AS dst FROM documents WHERE doc_id > 0 UNION SELECT doc_id - doc_id % 50, doc_id - doc_id % 50 + 7 FROM documents"
+_DEPENDS = f"""{SQL_FORMULAS}, f AS (SELECT DISTINCT doc_id, formula_id, variables FROM formulas),
+    d AS (SELECT DISTINCT a.doc_id || ':' || a.formula_id AS src, b.doc_id || ':' || b.formula_id AS dst FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.formula_id <> b.formula_id AND list_has_any(a.variables, b.variables) AND len(b.variables) < len(a.variables))"""
 
 
-@registered(
-    "dependency_closure",
-    f"""WITH RECURSIVE e AS (SELECT * FROM ({_PREREQUISITES}) WHERE src // 50 = dst // 50 AND dst >= 0), walk(src, dst) AS (SELECT src, dst FROM e UNION SELECT w.src, e.dst FROM walk w JOIN e ON w.dst = e.src)
-    SELECT src, dst FROM walk""",
-)
+@registered("dependency_closure", f"WITH RECURSIVE {_DEPENDS}, walk(src, dst) AS (SELECT src, dst FROM d UNION SELECT w.src, d.dst FROM walk w JOIN d ON w.dst = d.src) SELECT src, dst FROM walk")
 def dependency_closure(t: Tables) -> DataFrame:
-    """Documents depend on earlier ones of their fifty, which also form a cycle."""
-    d = t.read("documents").select("doc_id")
-    back = d.filter("doc_id > 0").selectExpr("doc_id AS src", "doc_id - 1 - doc_id % 3 AS dst")
-    loop = d.selectExpr("doc_id - doc_id % 50 AS src", "doc_id - doc_id % 50 + 7 AS dst")
-    edges = back.union(loop).filter("src div 50 = dst div 50 AND dst >= 0")
-    return ops.closure(edges)
+    """All that the formulas of a document depend on, directly or not."""
+    named = lambda c: F.concat_ws(":", "document_id", c)
+    return ops.closure(formula_dependencies(t).select(named("formula_id").alias("src"), named("depends_on").alias("dst")))
 
 
 @registered(
@@ -188,7 +196,7 @@ def formula_chunk_link(t: Tables) -> DataFrame:
     SELECT document_id, x AS src, y AS dst, 'proof' AS kind FROM p UNION SELECT document_id, y, x, 'proof' FROM p""",
 )
 def related_proofs(t: Tables) -> DataFrame:
-    return relations.proofs(t.typed())
+    return relations.proofs(t.known())
 
 
 @registered(
@@ -197,7 +205,7 @@ def related_proofs(t: Tables) -> DataFrame:
     ON a.doc_id = b.doc_id AND a.chunk_type IN ('theorem', 'definition') AND b.chunk_type = 'example' AND list_has_any(a.concepts, b.concepts)""",
 )
 def related_examples(t: Tables) -> DataFrame:
-    return relations.examples(t.typed())
+    return relations.examples(t.known())
 
 
 _RELATED = "round(CASE WHEN a.domain = b.domain THEN 0.3 ELSE 0 END + 0.2 * len(list_intersect(a.concepts, b.concepts)) + CASE WHEN abs(a.page_number - b.page_number) <= 2 THEN 0.2 ELSE 0 END + CASE WHEN a.section = b.section THEN 0.15 ELSE 0 END, 6)"
@@ -208,7 +216,7 @@ _RELATED = "round(CASE WHEN a.domain = b.domain THEN 0.3 ELSE 0 END + 0.2 * len(
     f"""WITH {SQL_CONCEPTS} SELECT a.doc_id::VARCHAR AS document_id, a.chunk_id AS src, b.chunk_id AS dst, least({_RELATED}, 1.0)::DOUBLE AS score FROM known a JOIN known b ON a.doc_id = b.doc_id AND a.chunk_id <> b.chunk_id WHERE {_RELATED} >= 0.5""",
 )
 def related_scored(t: Tables) -> DataFrame:
-    return relations.related(t.typed())
+    return relations.related(t.known())
 
 
 @registered("graph_edges", f"""WITH {SQL_TYPED}, p AS (SELECT a.doc_id::VARCHAR AS document_id, a.chunk_id AS x, b.chunk_id AS y FROM typed a JOIN typed b ON a.doc_id = b.doc_id AND a.chunk_type IN ('theorem', 'definition') AND b.chunk_type = 'proof' AND abs(a.page_number - b.page_number) <= 1)
@@ -217,7 +225,7 @@ def related_scored(t: Tables) -> DataFrame:
 def graph_edges(t: Tables) -> DataFrame:
     from docweft.queries.corpus import _nested
 
-    return reports.graph_edges(_nested(t), relations.proofs(t.typed()))
+    return reports.graph_edges(_nested(t), relations.proofs(t.known()))
 
 
 # Reports
@@ -231,19 +239,19 @@ def graph_edges(t: Tables) -> DataFrame:
     UNION ALL SELECT 'avg_chunk_length', '', round(avg(length(content)), 6) FROM t UNION ALL SELECT 'total_formulas', '', count(DISTINCT formula_id)::DOUBLE FROM formulas""",
 )
 def kb_statistics(t: Tables) -> DataFrame:
-    return reports.statistics(t.typed(), t.formulas())
+    return reports.statistics(t.known(), t.stored_formulas())
 
 
 @registered("table_of_contents", f"""WITH {SQL_TYPED} SELECT doc_id::VARCHAR AS document_id, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS line_no,
   repeat('  ', CASE chunk_type WHEN 'chapter' THEN 0 WHEN 'section' THEN 1 ELSE 2 END) || '- **' || heading || '** (Page ' || page_number || ')' AS line FROM typed WHERE chunk_type IN ('chapter', 'section', 'subsection') AND heading <> ''""")
 def table_of_contents(t: Tables) -> DataFrame:
-    return reports.table_of_contents(t.typed()).withColumn("line_no", F.col("line_no").cast("long"))
+    return reports.table_of_contents(t.known()).withColumn("line_no", F.col("line_no").cast("long"))
 
 
 @registered("concept_index", f"""WITH {SQL_CONCEPTS}, e AS (SELECT page_number, unnest(concepts) AS concept FROM known), g AS (SELECT concept, count(*) AS n_chunks, list_sort(list(DISTINCT page_number)) AS p FROM e GROUP BY 1)
     SELECT concept, n_chunks, '- **' || concept || '**: Pages ' || array_to_string(p[1:5], ', ') || CASE WHEN len(p) > 5 THEN ' (and ' || (len(p) - 5) || ' more)' ELSE '' END AS line FROM g""")
 def concept_index(t: Tables) -> DataFrame:
-    return reports.concept_index(t.typed())
+    return reports.concept_index(t.known())
 
 
 @registered("formula_handbook", f"""WITH {SQL_FORMULAS} SELECT doc_id::VARCHAR AS document_id, domain, row_number() OVER (PARTITION BY doc_id, domain ORDER BY formula_id, source_page) AS entry_no,
@@ -256,7 +264,7 @@ def formula_handbook(t: Tables) -> DataFrame:
 @registered("searchable_index", f"""WITH {SQL_FORMULAS}, k AS (WITH {SQL_CONCEPTS} SELECT * FROM known) SELECT chunk_id AS id, 'chunk' AS type, substr(content, 1, 200) AS preview, page_number AS page, domain, array_to_string(concepts, ',') AS terms FROM k
   UNION ALL SELECT formula_id, 'formula', latex, source_page, domain, array_to_string(variables, ',') FROM formulas""")
 def searchable_index(t: Tables) -> DataFrame:
-    return reports.searchable_index(t.typed(), t.formulas())
+    return reports.searchable_index(t.known(), t.stored_formulas())
 
 
 @registered("quick_reference", f"""WITH {SQL_FORMULAS} SELECT DISTINCT formula_id, domain, '- $' || latex || '$' || CASE WHEN plain_text <> '' THEN chr(10) || '  *' || plain_text || '*' ELSE '' END AS line FROM formulas ORDER BY domain, formula_id LIMIT 50""")
@@ -266,7 +274,7 @@ def quick_reference(t: Tables) -> DataFrame:
 
 @registered("chapter_summaries", f"WITH {SQL_TYPED} SELECT doc_id::VARCHAR AS document_id, coalesce(heading, 'Unknown Chapter') AS heading, CASE WHEN length(content) > 300 THEN substr(content, 1, 300) || '...' ELSE content END AS summary FROM typed WHERE chunk_type = 'chapter'")
 def chapter_summaries(t: Tables) -> DataFrame:
-    return reports.chapter_summaries(t.typed())
+    return reports.chapter_summaries(t.known())
 
 
 @registered("flashcards", f"""WITH {SQL_FORMULAS}, k AS (WITH {SQL_TYPED} SELECT * FROM typed),
@@ -277,12 +285,16 @@ def chapter_summaries(t: Tables) -> DataFrame:
   SELECT doc_id::VARCHAR AS document_id, card_id, type, front, back, domain, ['easy', 'medium', 'hard'][1 + ('0x' || substr(md5('docweft' || card_id), 1, 4))::INTEGER % 3] AS difficulty,
     row_number() OVER (PARTITION BY doc_id ORDER BY md5('docweft' || card_id), card_id) AS position FROM cards QUALIFY position <= 10""")
 def flashcards(t: Tables) -> DataFrame:
-    return reports.flashcards(t.typed(), t.formulas()).withColumn("position", F.col("position").cast("long"))
+    return reports.flashcards(t.known(), t.stored_formulas()).withColumn("position", F.col("position").cast("long"))
 
 
-@registered("multiple_choice")
+@registered("multiple_choice", f"""WITH {SQL_FORMULAS}, u AS (SELECT doc_id, formula_id, min({{'p': source_page, 'l': latex, 't': plain_text}}) AS x FROM formulas GROUP BY ALL),
+  l AS (SELECT doc_id, formula_id, x.l AS latex, x.t AS plain_text, row_number() OVER (PARTITION BY doc_id ORDER BY formula_id) AS n FROM u QUALIFY n <= 11),
+  r AS (SELECT *, row_number() OVER w - 1 AS place, count(*) OVER (PARTITION BY doc_id) AS size FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY md5('docweft' || formula_id), formula_id)),
+  o AS (SELECT a.doc_id, a.formula_id, a.latex, a.plain_text, list_sort(list_distinct(list(b.latex))) AS options FROM r a JOIN r b ON a.doc_id = b.doc_id AND (b.place - a.place + a.size) % a.size <= 3 WHERE a.n <= 5 GROUP BY ALL)
+  SELECT doc_id::VARCHAR AS document_id, 'mcq_' || formula_id AS question_id, 'Which formula represents ' || plain_text || '?' AS question, array_to_string(options, ' | ') AS options, (list_position(options, latex) - 1)::BIGINT AS correct FROM o""")
 def multiple_choice(t: Tables) -> DataFrame:
-    return reports.choices(t.formulas())
+    return reports.choices(t.stored_formulas())
 
 
 @registered("chat_history", "SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations QUALIFY back <= 20")
@@ -292,13 +304,13 @@ def chat_history(t: Tables) -> DataFrame:
 
 @registered(
     "chat_answer",
-    f"""WITH {SQL_CHUNKS}, m AS (SELECT conv_id AS message_id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: length(w) > 3)) AS word FROM conversations WHERE turn = 0 AND role = 'user' AND conv_id % 20 = 0),
+    f"""WITH {SQL_CHUNKS}, m AS (SELECT conv_id || '_' || turn AS message_id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: length(w) > 3)) AS word FROM conversations WHERE role = 'user' AND conv_id % 20 = 0),
     w AS (SELECT message_id, word, count(*) AS n FROM m GROUP BY ALL), s AS (SELECT message_id, chunk_id, sum(n)::BIGINT AS score FROM w JOIN chunks ON contains(lower(content), word) GROUP BY ALL)
     SELECT message_id, chunk_id, score, 'Based on the document:' || chr(10) || chr(10) || substr(content, 1, 400) AS response FROM s JOIN chunks USING (chunk_id) QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY score DESC, chunk_id) = 1""",
 )
 def chat_answer(t: Tables) -> DataFrame:
-    """The first messages of conversations whose id is divisible by 20, against all chunks."""
-    asked = t.read("conversations").filter("turn = 0 AND role = 'user' AND conv_id % 20 = 0").select(F.col("conv_id").alias("message_id"), F.col("text").alias("message"))
+    """The users' messages of conversations whose id is divisible by 20, against all chunks."""
+    asked = t.read("conversations").filter("role = 'user' AND conv_id % 20 = 0").select(F.concat_ws("_", "conv_id", "turn").alias("message_id"), F.col("text").alias("message"))
     return reports.chat_answers(t.chunks(), asked)
 
 
@@ -308,3 +320,31 @@ def web_search(t: Tables) -> DataFrame:
     return search.web_search(t.chunks(), "tion the")
 
 
+@registered("web_search_formulas", f"""WITH {SQL_FORMULAS} SELECT DISTINCT formula_id AS chunk_id, latex AS content, plain_text AS heading, ((length(latex) - length(replace(lower(latex), 'sum', ''))) // 3 + (length(plain_text) - length(replace(lower(plain_text), 'sum', ''))) // 3)::INTEGER AS relevance
+  FROM formulas WHERE contains(lower(latex), 'sum') OR contains(lower(plain_text), 'sum')
+  UNION ALL SELECT chunk_id, substr(content, 1, 300), heading, ((length(content) - length(replace(lower(content), 'sum', ''))) // 3 + 2 * (length(coalesce(heading, '')) - length(replace(lower(coalesce(heading, '')), 'sum', ''))) // 3)::INTEGER
+  FROM chunks WHERE contains(lower(content), 'sum') OR contains(lower(coalesce(heading, '')), 'sum')""")
+def web_search_formulas(t: Tables) -> DataFrame:
+    return search.web_search(t.chunks(), "sum", formulas=t.stored_formulas())
+
+
+_DIAGRAMS = f"""{SQL_CHUNKS}, diagrams AS (SELECT 'D_' || doc_id || '_' || idx AS diagram_id, ['chart', 'graph', 'circuit', 'flowchart'][1 + (doc_id + idx) % 4] AS diagram_type, substr(content, 1, 80) AS caption FROM chunks WHERE idx % 3 = 0)"""
+
+
+@registered("diagram_by_type", f"WITH {_DIAGRAMS} SELECT diagram_id, caption, 1.0::DOUBLE AS score FROM diagrams WHERE diagram_type = 'circuit' ORDER BY diagram_id LIMIT 20")
+def diagram_by_type(t: Tables) -> DataFrame:
+    """Every third passage is taken for a diagram with a caption."""
+    kinds = F.array(*map(F.lit, ("chart", "graph", "circuit", "flowchart")))
+    kind = F.element_at(kinds, (1 + (F.col("doc_id") + F.col("idx")) % 4).cast("int"))
+    diagrams = t.chunks().filter("idx % 3 = 0").select(F.concat_ws("_", F.lit("D"), "doc_id", "idx").alias("diagram_id"), kind.alias("diagram_type"), F.substring("content", 1, 80).alias("caption"))
+    return search.diagrams_of_type(diagrams, "circuit")
+
+
+@registered("diagram_search", """SELECT q.vec_id::VARCHAR AS query_id, 'diagram' AS source, (row_number() OVER (PARTITION BY q.vec_id ORDER BY round(d, 6) DESC, e.vec_id) - 1)::INTEGER AS rank, round(d, 6) AS score, 'D_' || e.vec_id AS doc_key
+  FROM (SELECT q.vec_id AS a, e.vec_id AS b, list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS d FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0) p JOIN embeddings q ON q.vec_id = a JOIN embeddings e ON e.vec_id = b QUALIFY rank < 10""")
+def diagram_search(t: Tables) -> DataFrame:
+    """The vectors are taken for those of diagrams."""
+    diagrams = t.vectors().select(F.concat_ws("_", F.lit("D"), "vec_id").alias("diagram_id"), "embedding")
+    return search.diagram_hits(diagrams, t.vector_queries())
+
+

@@ -24,7 +24,7 @@ def _items(t: Tables) -> DataFrame:
 
 
 def _bm25(t: Tables, k: int) -> DataFrame:
-    return keyword_index.bm25(t.terms(), "doc_id", _items(t), "query_id", k)
+    return keyword_index.bm25(t.index(), _items(t), "query_id", k)
 
 
 @registered("bm25_topk", _BM25.replace("{k}", "10"))
@@ -44,9 +44,9 @@ def keyword_postings_stats(t: Tables) -> DataFrame:
     return sizes.join(F.broadcast(terms.select(F.explode("terms").alias("term")).distinct().agg(F.count("*").alias("vocabulary"))))
 
 
-@registered("keyword_exact", f"WITH {SQL_TERMS} SELECT doc_id, 1.0::DOUBLE AS score FROM terms WHERE len(list_filter(terms, lambda x: contains(x, 'ention'))) > 0 AND len(list_filter(terms, lambda x: contains(x, 'thion'))) > 0")
+@registered("keyword_exact", f"WITH {SQL_TERMS} SELECT doc_id, 1.0::DOUBLE AS score FROM terms WHERE len(list_filter(terms, lambda x: contains(x, 'ention'))) > 0 AND len(list_filter(terms, lambda x: contains(x, 'tionth'))) > 0")
 def keyword_exact(t: Tables) -> DataFrame:
-    return keyword_index.exact(t.terms(), "doc_id", "Ention thion")
+    return keyword_index.exact(t.terms(), "doc_id", "Ention tionth")
 
 
 @registered("keyword_lookup", f"WITH {SQL_TERMS} SELECT doc_id FROM terms WHERE list_contains(terms, 'tion_onth') OR list_contains(terms, 'anan')")
@@ -70,7 +70,7 @@ _SIMILAR = """CASE WHEN a = b THEN 1.0 WHEN contains(a, b) OR contains(b, a) THE
 def keyword_fuzzy(t: Tables) -> DataFrame:
     """The words of benchmark items whose id is divisible by 20, against the whole vocabulary."""
     asked = keyword_index.terms(t.read("benchmark").filter("item_id % 20 = 0"), "item_id").withColumn("terms", F.filter("terms", lambda x: ~F.contains(x, F.lit("_"))))
-    return keyword_index.fuzzy(t.terms(), "doc_id", asked, "item_id").withColumn("rank", F.col("rank").cast("long"))
+    return keyword_index.fuzzy(t.index(), asked, "item_id").withColumn("rank", F.col("rank").cast("long"))
 
 
 # Vectors
@@ -175,7 +175,7 @@ def query_expand(t: Tables) -> DataFrame:
 _HITS = f"""k AS ({_BM25.replace("{k}", "20")}), v AS (SELECT b.item_id, e.vec_id AS doc_id, round({_DOT}, 6) AS score, row_number() OVER (PARTITION BY b.item_id ORDER BY {_DOT} DESC, e.vec_id) - 1 AS rank
     FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id CROSS JOIN embeddings e QUALIFY rank < 20),
   hits AS (SELECT item_id::VARCHAR AS query_id, 'text' AS source, 0 AS place, rank, score, doc_id::VARCHAR AS doc_key FROM v UNION ALL SELECT item_id::VARCHAR, 'keyword', 3, rank, score, doc_id::VARCHAR FROM k)"""
-_ASKED = f"qs AS (SELECT item_id::VARCHAR AS query_id, {_TYPE.replace('raw_text', 'q')} AS query_type, {_INTENT} AS intent FROM (SELECT item_id, {quoted('')} || [{', '.join(map(quoted, ('What is ', 'graph of ', '', 'formula for ')))}][1 + item_id % 4] || array_to_string(string_split(text, ' ')[1:2], ' ') AS q FROM benchmark))"
+_ASKED = f"qs AS (SELECT item_id::VARCHAR AS query_id, {_TYPE.replace('raw_text', 'q')} AS query_type, {_INTENT} AS intent FROM (SELECT item_id, {quoted('')} || [{', '.join(map(quoted, ('What is ', 'graph of ', '', 'formula for ')))}][1 + item_id % 4] || text AS q FROM benchmark))"
 _FACTOR = {
     "text": "0.4 * CASE WHEN query_type IN ('formula', 'diagram') THEN 0.7 WHEN query_type = 'keyword' THEN 0.8 ELSE 1 END * CASE WHEN intent IN ('definition', 'explanation') THEN 1.3 ELSE 1 END",
     "formula": "0.3 * CASE WHEN query_type = 'formula' THEN 2.0 ELSE 1 END * CASE WHEN intent = 'formula_lookup' THEN 1.5 ELSE 1 END",
@@ -191,12 +191,12 @@ _TOP = "arg_max(source, {'s': score, 'p': -place, 'r': -rank})"
 def _hits(t: Tables) -> DataFrame:
     known = t.read("benchmark").select(F.col("item_id").alias("query_id"))
     asked = t.vectors().select(F.col("vec_id").alias("query_id"), "embedding").join(known, "query_id")
-    return search.keyword_hits(t.terms(), "doc_id", _items(t), 20).unionByName(search.text_hits(t.vectors(), "vec_id", asked, 20))
+    return search.keyword_hits(t.index(), _items(t), 20).unionByName(search.text_hits(t.vectors(), "vec_id", asked, 20))
 
 
 def _asked(t: Tables) -> DataFrame:
     opening = F.element_at(F.array(F.lit("What is "), F.lit("graph of "), F.lit(""), F.lit("formula for ")), (1 + F.col("item_id") % 4).cast("int"))
-    q = F.concat(opening, F.array_join(F.slice(F.split("text", " ", -1), 1, 2), " "))
+    q = F.concat(opening, "text")
     return t.read("benchmark").select(F.col("item_id").cast("string").alias("query_id"), q.alias("raw_text"), Q.query_type(q).alias("query_type"), Q.intent(q).alias("intent"), Q.formulas(q).alias("formulas"), Q.keywords(q).alias("keywords"))
 
 
@@ -255,7 +255,7 @@ def _mixed(t: Tables) -> tuple[DataFrame, DataFrame]:
     SELECT query_id, 'domain' AS source, (row_number() OVER (PARTITION BY query_id ORDER BY doc_key) - 1)::INTEGER AS rank, 1.0::DOUBLE AS score, doc_key FROM f QUALIFY rank < 10""",
 )
 def domain_search_physics(t: Tables) -> DataFrame:
-    return search.physics(t.formulas(), t.processed())
+    return search.physics(t.stored_formulas(), t.processed())
 
 
 @registered(
@@ -266,7 +266,7 @@ def domain_search_physics(t: Tables) -> DataFrame:
     SELECT query_id, 'domain' AS source, (row_number() OVER (PARTITION BY query_id ORDER BY part, n) - 1)::INTEGER AS rank, score, doc_key FROM r QUALIFY rank < 10""",
 )
 def domain_search_chemistry(t: Tables) -> DataFrame:
-    return search.chemistry(t.formulas(), _mixed(t)[1], _asked(t))
+    return search.chemistry(t.stored_formulas(), _mixed(t)[1], _asked(t))
 
 
 @registered(
@@ -279,12 +279,43 @@ def domain_search_data_science(t: Tables) -> DataFrame:
     return search.data_science(*_mixed(t))
 
 
+@registered(
+    "domain_search_mathematics",
+    f"WITH {_HITS} SELECT query_id, 'domain' AS source, rank::INTEGER AS rank, score, doc_key FROM hits WHERE source = 'text' AND rank < 10",
+)
+def domain_search_mathematics(t: Tables) -> DataFrame:
+    return search.mathematics(_mixed(t)[1])
+
+
+_NAMES = ("physics", "mathematics", "chemistry", "data_science", "statistics")
+
+
+@registered(
+    "domain_search_all",
+    f"""WITH {_HITS}, d AS (SELECT item_id, item_id::VARCHAR AS query_id, [{", ".join(map(quoted, _NAMES))}][1 + item_id % 5] AS domain, text FROM benchmark), fs AS (WITH {SQL_FORMULAS} SELECT * FROM formulas),
+    p1 AS (SELECT DISTINCT formula_id, plain_text FROM fs WHERE domain = 'physics' ORDER BY formula_id, plain_text LIMIT 20), c1 AS (SELECT DISTINCT formula_id FROM fs WHERE domain = 'chemistry' ORDER BY 1 LIMIT 10),
+    p AS (SELECT DISTINCT query_id, formula_id AS doc_key FROM (SELECT query_id, unnest(string_split(lower(text), ' ')) AS keyword FROM d WHERE domain = 'physics') JOIN p1 ON contains(lower(plain_text), keyword)),
+    r AS (SELECT query_id, 1.0::DOUBLE AS score, doc_key, 0 AS part, row_number() OVER (PARTITION BY query_id ORDER BY doc_key) AS n FROM p
+      UNION ALL SELECT query_id, score, doc_key, 0, rank FROM hits SEMI JOIN (SELECT query_id FROM d WHERE domain = 'mathematics') USING (query_id) WHERE source = 'text'
+      UNION ALL SELECT query_id, 1.0, formula_id, 0, row_number() OVER (PARTITION BY query_id ORDER BY formula_id) FROM d CROSS JOIN c1 WHERE domain = 'chemistry'
+      UNION ALL SELECT query_id, round(score * 0.9, 6), doc_key, 1, rank FROM hits SEMI JOIN (SELECT query_id FROM d WHERE domain IN ('chemistry', 'data_science')) USING (query_id) WHERE source = 'text' AND rank < 10
+      UNION ALL SELECT query_id, score, doc_key, 0, rank FROM hits SEMI JOIN (SELECT query_id FROM d WHERE domain = 'data_science') USING (query_id) WHERE source = 'keyword'),
+    u AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY query_id, doc_key ORDER BY part, n) = 1)
+    SELECT query_id, 'domain' AS source, (row_number() OVER (PARTITION BY query_id ORDER BY part, n) - 1)::INTEGER AS rank, score, doc_key FROM u QUALIFY rank < 10""",
+)
+def domain_search_all(t: Tables) -> DataFrame:
+    """The items of the benchmark take the domains in turn; their words are their keywords."""
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), (1 + F.col("item_id") % 5).cast("int"))
+    asked = t.read("benchmark").select(F.col("item_id").alias("query_id"), name.alias("domain"), F.split(F.lower("text"), " ", -1).alias("keywords"))
+    return search.by_domain(asked, t.stored_formulas(), *_mixed(t))
+
+
 @registered("formula_search")
 def formula_search(t: Tables) -> DataFrame:
     from docweft.functions import latex
 
     asked = t.processed().filter(F.size("formulas") > 0)
-    return search.formula_hits(t.formulas(), asked.withColumn("variables", latex.variables(F.col("raw_text"))))
+    return search.formula_hits(t.stored_formulas(), asked.withColumns({"variables": latex.variables(F.col("raw_text")), "operators": latex.operators(F.col("raw_text"))}))
 
 
 # Context and answers: hits are the first chunks of the found documents
@@ -341,6 +372,20 @@ def confidence_breakdown(t: Tables) -> DataFrame:
     return context.coverage(_told(t), _asked(t))
 
 
-@registered("prompts")
+_INSTRUCTION = "CASE intent " + " ".join(f"WHEN {quoted(a)} THEN {quoted(b)}" for a, b in rules.INTENT_INSTRUCTIONS.items()) + " END"
+_CONTEXT = f"""{_FOUND}, {SQL_CHUNKS}, n AS (SELECT query_id, rank, content, heading, page_number, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i FROM heads LEFT JOIN chunks ON chunk_id = chunk_key),
+    told AS (SELECT query_id, string_agg('[Source ' || i || ' - Page ' || coalesce(page_number::VARCHAR, '?') || ', ' || coalesce(heading, 'Unknown section') || ']' || chr(10) || coalesce(content, '') || chr(10), chr(10) ORDER BY i) AS context FROM n WHERE i <= 5 GROUP BY 1)"""
+
+
+@registered("prompts", f"""WITH {_CONTEXT}, {_ASKED.replace("AS intent FROM", "AS intent, q FROM")} SELECT query_id, {_INSTRUCTION} || chr(10) || chr(10) || 'Question: ' || q || chr(10) || chr(10) || 'Context:' || chr(10) || coalesce(context, '') AS prompt FROM qs LEFT JOIN told USING (query_id)""")
 def prompts(t: Tables) -> DataFrame:
     return reports.prompt(context.context_string(_told(t)), _asked(t))
+
+
+@registered(
+    "retrieval_explanation",
+    f"""WITH {_FOUND}, {_ASKED.replace("AS intent FROM", "AS intent, q FROM")}, c AS (SELECT query_id, best_source AS source, count(*) AS n FROM heads GROUP BY ALL), l AS (SELECT query_id, sum(n)::BIGINT AS total, string_agg('  - ' || source || ': ' || n, chr(10) ORDER BY source) AS by_source FROM c GROUP BY 1)
+    SELECT query_id, 'Query: ' || q || chr(10) || 'Type: ' || query_type || chr(10) || 'Intent: ' || intent || chr(10) || 'Keywords: ' || array_to_string({_KEYWORDS}, ', ') || chr(10) || 'Results: ' || coalesce(total, 0) || coalesce(chr(10) || by_source, '') AS explanation FROM qs LEFT JOIN l USING (query_id)""",
+)
+def retrieval_explanation(t: Tables) -> DataFrame:
+    return context.explanation(_found(t), _asked(t))

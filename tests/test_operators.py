@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docweft.engine import Engine, Settings
+from docweft.functions import latex as L
 from docweft.operators import chunking, formulas, keyword_index, relations, tabular, vectors
 from docweft.plans import context, fusion, reports
 from docweft.sources import documents, tables
@@ -74,7 +75,7 @@ def test_bm25_counts_rows_without_terms(spark):
     docs = spark.createDataFrame([(1, "apple banana"), (2, "apple cherry pear"), (3, ""), (4, None)], "doc_id long, text string")
     indexed = keyword_index.terms(docs, "doc_id")
     asked = spark.createDataFrame([(7, ["apple", "cherry", "none"])], "query_id long, terms array<string>")
-    got = keyword_index.bm25(indexed, "doc_id", asked, "query_id").collect()
+    got = keyword_index.bm25(keyword_index.build(indexed, "doc_id"), asked, "query_id").collect()
     sizes = {1: 3, 2: 5}
     avg = (3 + 5) / 4
 
@@ -120,7 +121,7 @@ def test_vector_search_and_recall(spark):
     y = x.astype(np.float32).astype(float)
     assert all(found == set(np.lexsort((np.arange(600), -(y @ y[q])))[:10].tolist()) for q, found in exact.items()) and len(exact) == 30
     index, c = vectors.inverted_file(df, "id")
-    near = vectors.approximate_top_k(index, c, "id", df.filter("id % 20 = 0"), "id", 10, probes=10).collect()
+    near = vectors.approximate_top_k(index, c, "id", df.filter("id % 20 = 0"), "id", 10).collect()
     hits = sum(r.id in exact[r.query_id] for r in near)
     assert index.count() == 600 and hits >= 0.9 * 300
 
@@ -138,6 +139,43 @@ def test_formula_relations(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a")], "src string, dst string")
     reach = {(r.src, r.dst) for r in formulas.closure(edges).collect()}
     assert reach == {(x, y) for x in "abcd" for y in "abc"}
+    chain = spark.range(150).selectExpr("id AS src", "id + 1 AS dst")
+    assert formulas.closure(chain).count() == 150 * 151 // 2
+
+
+def test_likest_formulas_against_all_pairs(spark):
+    import difflib
+
+    rng = random.Random(9)
+    forms = sorted({"".join(rng.choice("abx^2+= ") for _ in range(rng.randint(3, 15))).strip() for _ in range(80)})
+    forms = [f for f in forms if f]
+    df = spark.createDataFrame([(f"F{i:03}", f) for i, f in enumerate(forms)], "formula_id string, latex string")
+    asked = [("q1", "a+b=x^2"), ("q2", "zzz"), ("q3", forms[5])]
+    got = {}
+    for r in formulas.by_latex(df.repartition(3), spark.createDataFrame(asked, "query_id string, latex string"), 5).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.formula_id, r.score))
+    normal = {r.formula_id: r.n for r in df.select("formula_id", L.normalize(df.latex).alias("n")).collect()}
+    for name, text in asked:
+        text = spark.createDataFrame([(text,)], "x string").select(L.normalize(F.col("x")).alias("x")).first().x
+        score = {i: round(difflib.SequenceMatcher(None, text, n).ratio(), 6) for i, n in normal.items()}
+        want = sorted((i for i in score if score[i] > 0.1), key=lambda i: (-score[i], i))[:5]
+        assert [i for _, i, _ in sorted(got.get(name, []))] == want
+
+
+def test_alike_formulas_against_all_pairs(spark):
+    import difflib
+
+    rows = [("F1", "a+b", ["sum"], []), ("F2", "a+c", ["sum"], []), ("F3", "sin x", [], ["sin"]), ("F4", "x", [], []), ("F5", "y", [], []), ("F6", "a+b+d", ["sum", "product"], ["sin"])]
+    df = spark.createDataFrame(rows, "formula_id string, latex string, operators array<string>, functions array<string>")
+    got = {(r.formula_id, r.similar_id): r.score for r in formulas.alike(df, df, 0.45).collect()}
+    want = {}
+    for i, x, o, f in rows:
+        for j, y, p, g in rows:
+            a, b = set(o + f), set(p + g)
+            score = 0.6 * (len(a & b) / len(a | b) if a | b else 1.0) + 0.4 * difflib.SequenceMatcher(None, x, y).ratio()
+            if i != j and score >= 0.45 and (a & b or not a | b):
+                want[i, j] = pytest.approx(score, abs=1e-6)
+    assert got == want
 
 
 def test_chunk_relations(spark):
