@@ -181,6 +181,10 @@ class Tables:
         """The keyword index of the documents."""
         return self.once("keyword-index", lambda: keyword_index.build(self.terms(), "doc_id"))
 
+    def chunk_index(self) -> keyword_index.Index:
+        """The keyword index of the chunks."""
+        return self.once("chunk-index", lambda: keyword_index.build(keyword_index.terms(self.chunks(), "chunk_id", "content"), "chunk_id"))
+
     def known(self) -> DataFrame:
         """``typed`` chunks, written."""
         return self.once("typed-chunks", lambda: written(self.typed(), "typed-chunks"))

@@ -91,7 +91,13 @@ def safe_filename(t: Tables) -> DataFrame:
     return t.read("pages").select("page_id", documents.safe_filename(F.col("url")).alias("name"))
 
 
-@registered("page_blocks")
+@registered(
+    "page_blocks",
+    f"""WITH raw AS (SELECT page_id, unnest(l) AS raw, generate_subscripts(l, 1) - 1 AS block_idx FROM (SELECT page_id, list_filter(string_split(regexp_replace(html, '<(h1|p|li)([\\s>])', chr(1) || '<\\1\\2', 'g'), chr(1)), lambda x: regexp_matches(x, '^<(?:h1|p|li)[\\s>]')) AS l FROM pages)),
+    styled AS (SELECT page_id, CAST(block_idx AS INTEGER) AS block_idx, tag, content, CASE tag WHEN 'h1' THEN 20.0 ELSE 12.0 END AS font_size, tag = 'h1' AS is_bold FROM (
+      SELECT page_id, block_idx, regexp_extract(raw, '^<(h1|p|li)', 1) AS tag, trim(regexp_replace(regexp_replace(regexp_replace(raw, '(?s)</(?:h1|p|li)>.*$', ''), '<[^>]*>?', ' ', 'g'), '\\s+', ' ', 'g')) AS content FROM raw) WHERE content <> '')
+    SELECT page_id, block_idx, tag, content, CASE WHEN tag = 'li' THEN 'list_item' ELSE {_BLOCK_TYPE} END AS block_type FROM styled""",
+)
 def page_blocks(t: Tables) -> DataFrame:
     return documents.page_blocks(t.read("pages"))
 
@@ -139,8 +145,9 @@ def chunk_semantic(t: Tables) -> DataFrame:
     """Every sentence takes one of the given vectors, by its place, as its embedding."""
     sentences = t.read("documents").select(F.col("doc_id").cast("string").alias("document_id"), F.posexplode(text.sentences(F.col("text"))).alias("sentence_idx", "content"))
     vectors = t.vectors().select(F.col("vec_id").alias("v"), "embedding")
-    numbered = sentences.withColumn("v", F.pmod(F.xxhash64("document_id", F.floor(F.col("sentence_idx") / 4)), F.lit(200)))
-    rows = numbered.join(F.broadcast(vectors.filter("v < 200")), "v").withColumn("page_number", (1 + F.floor(F.col("sentence_idx") / 40)).cast("int"))
+    # ids count from 0; a sentence whose number no vector has is unlike none
+    numbered = sentences.withColumn("v", F.pmod(F.xxhash64("document_id", F.floor(F.col("sentence_idx") / 4)), F.lit(vectors.count())))
+    rows = numbered.join(vectors, "v", "left").withColumn("page_number", (1 + F.floor(F.col("sentence_idx") / 40)).cast("int"))
     return chunking.semantic(rows).select("document_id", "chunk_id", "content", F.array_join("page_numbers", ",").alias("pages"), "seq")
 
 

@@ -45,7 +45,17 @@ def latex_functions(t: Tables) -> DataFrame:
     return t.formulas().select("chunk_id", F.array_join("functions", ",").alias("functions"), L.signature(F.col("operators"), F.col("functions")).alias("signature"))
 
 
-@registered("latex_constants")
+def _plain(pattern: str) -> str:
+    """A pattern without lookaround, which finds the same in a text if only finding counts."""
+    for look, plain in (("(?<![a-zA-Z])", "(?:^|[^a-zA-Z])"), ("(?![a-zA-Z])", "(?:[^a-zA-Z]|$)"), ("(?<!\\\\)", "(?:^|[^\\\\])")):
+        pattern = pattern.replace(look, plain)
+    return pattern
+
+
+_CONSTANTS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(latex, {quoted(_plain(p))}) THEN {quoted(n)} END" for n, p in rules.CONSTANTS) + "], lambda x: x IS NOT NULL)"
+
+
+@registered("latex_constants", f"WITH {SQL_FORMULAS} SELECT chunk_id, array_to_string({_CONSTANTS}, ',') AS constants FROM formulas")
 def latex_constants(t: Tables) -> DataFrame:
     return t.raw_formulas().select("chunk_id", F.array_join(L.constants(F.col("latex")), ",").alias("constants"))
 

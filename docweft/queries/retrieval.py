@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docweft.functions import rules, text
 from docweft.operators import chunking, keyword_index, vectors
+from docweft.operators.storage import written
 from docweft.plans import context, fusion, reports, search
 from docweft.plans import query as Q
 from docweft.queries.base import SQL_CHUNKS, SQL_FORMULAS, SQL_POSTINGS, SQL_QUERIES, SQL_TERMS, Tables, quoted, registered, sql_any, sql_arg_max, sql_capitals, sql_first, sql_terms
@@ -150,7 +151,13 @@ def query_keywords(t: Tables) -> DataFrame:
     return t.processed().select("query_id", F.array_join("keywords", ",").alias("keywords"))
 
 
-@registered("query_entities")
+_DOUBLED = "regexp_replace(q, '([^\\p{L}\\p{N}_])', '\\1\\1', 'g')"
+_AFTER = "\\s+(?:law|equation|theorem|principle|constant|rule)"
+_ENTITIES = [rules.EDGE_LEFT + "([A-Z][a-z]+(?:''s)?)" + _AFTER, rules.EDGE_LEFT + rules.CAPITALISED + "\\s+(?:formula|equation|theorem)", rules.EDGE_LEFT + "(" + "|".join(rules.ENTITY_SCIENTISTS) + ")" + rules.EDGE_RIGHT]
+_ENTITIES = "list_concat(" + ", ".join(f"regexp_extract_all({_DOUBLED}, {quoted(p)}, 1)" for p in _ENTITIES) + ")"
+
+
+@registered("query_entities", f"WITH {SQL_QUERIES} SELECT query_id, array_to_string(list_sort(list_distinct(list_transform({_ENTITIES}, lambda x: replace(replace(x, '  ', ' '), {quoted(chr(39) * 2)}, {quoted(chr(39))})))), ',') AS entities FROM cleaned")
 def query_entities(t: Tables) -> DataFrame:
     return t.processed().select("query_id", F.array_join("entities", ",").alias("entities"))
 
@@ -188,10 +195,11 @@ _FUSED = """SELECT query_id, doc_key, score, row_number() OVER (PARTITION BY que
 _TOP = "arg_max(source, {'s': score, 'p': -place, 'r': -rank})"
 
 
-def _hits(t: Tables) -> DataFrame:
+def _hits(t: Tables, keywords: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
     known = t.read("benchmark").select(F.col("item_id").alias("query_id"))
     asked = t.vectors().select(F.col("vec_id").alias("query_id"), "embedding").join(known, "query_id")
-    return search.keyword_hits(t.index(), _items(t), 20).unionByName(search.text_hits(t.vectors(), "vec_id", asked, 20))
+    named = search.keyword_hits(t.index(), _items(t), 20) if keywords is None else search.hits(keywords, "keyword", "query_id", key)
+    return named.unionByName(search.text_hits(t.vectors(), "vec_id", asked, 20))
 
 
 def _asked(t: Tables) -> DataFrame:
@@ -318,18 +326,21 @@ def formula_search(t: Tables) -> DataFrame:
     return search.formula_hits(t.stored_formulas(), asked.withColumns({"variables": latex.variables(F.col("raw_text")), "operators": latex.operators(F.col("raw_text"))}))
 
 
-# Context and answers: hits are the first chunks of the found documents
+# Context and answers: keyword hits among all chunks, vector hits as the first chunks of the documents of their numbers
 
-_FOUND = f"""{_HITS}, fused AS ({_FUSED.format(part="1.0 / (61 + rank)", best=_TOP, rows="hits")}), heads AS (SELECT *, 'C_' || doc_key || '_1_0' AS chunk_key FROM fused)"""
+_BM25_CHUNKS = _BM25.replace(SQL_POSTINGS, f"{SQL_CHUNKS}, terms AS (SELECT chunk_id AS doc_id, {sql_terms('content')} AS terms FROM chunks), postings AS (SELECT doc_id, len(terms) AS dl, unnest(terms) AS term FROM terms)")
+_CHUNK_HITS = _HITS.replace(_BM25.replace("{k}", "20"), _BM25_CHUNKS.replace("{k}", "20")).replace("rank, score, doc_id::VARCHAR AS doc_key FROM v", "rank, score, 'C_' || doc_id || '_1_0' AS doc_key FROM v")
+_FOUND = f"""{_CHUNK_HITS}, fused AS ({_FUSED.format(part="1.0 / (61 + rank)", best=_TOP, rows="hits")}), heads AS (SELECT *, doc_key AS chunk_key FROM fused)"""
 
 
 def _found(t: Tables) -> DataFrame:
-    fused = fusion.reciprocal_rank(_hits(t), 10).withColumnRenamed("best_source", "source")
-    return fused.withColumn("doc_key", F.concat(F.lit("C_"), "doc_key", F.lit("_1_0")))
+    every = _hits(t, keyword_index.bm25(t.chunk_index(), _items(t), "query_id", 20), "chunk_id")
+    named = F.when(F.col("source") == "text", F.concat(F.lit("C_"), "doc_key", F.lit("_1_0"))).otherwise(F.col("doc_key"))
+    return fusion.reciprocal_rank(every.withColumn("doc_key", named), 10).withColumnRenamed("best_source", "source")
 
 
 def _told(t: Tables) -> DataFrame:
-    return context.with_content(_found(t), t.chunks().filter("idx = 0"))
+    return context.with_content(_found(t), t.chunks())
 
 
 @registered(
@@ -359,9 +370,22 @@ def context_string(t: Tables) -> DataFrame:
     return context.context_string(_told(t))
 
 
-@registered("structured_answer")
+@registered(
+    "structured_answer",
+    f"""WITH {_FOUND}, {_ASKED}, {SQL_CHUNKS}, n AS (SELECT query_id, score, coalesce(content, '') AS body, heading, page_number, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i FROM heads LEFT JOIN chunks ON chunk_id = chunk_key),
+    x AS (SELECT n.*, intent FROM n JOIN qs USING (query_id)), t AS (SELECT * FROM x WHERE i <= 3 AND body <> ''),
+    l AS (SELECT query_id, 0 AS part, 0 AS i, CASE intent WHEN 'formula_lookup' THEN '**Formula Response:**' WHEN 'definition' THEN '**Definition:**' ELSE '**Answer:**' END || chr(10) AS line FROM qs
+      UNION ALL SELECT query_id, 2, i, chr(10) || '**Context:**' FROM t WHERE intent = 'formula_lookup' AND i = 1
+      UNION ALL SELECT query_id, 3, i, chr(10) || CASE WHEN length(body) > 300 THEN substr(body, 1, 300) || '...' ELSE body END FROM t WHERE intent = 'formula_lookup' AND i <= 2
+      UNION ALL SELECT query_id, 3, i, body || coalesce(chr(10) || chr(10) || '*Source: Page ' || page_number || '*' || chr(10), '') FROM t WHERE intent = 'definition' AND i <= 2
+      UNION ALL SELECT query_id, 3, i, body || chr(10) FROM t WHERE intent NOT IN ('formula_lookup', 'definition')
+      UNION ALL SELECT query_id, 6, 0, chr(10) || '**Sources:**' FROM qs
+      UNION ALL SELECT query_id, 7, i, '  ' || i || '. ' || coalesce('Page ' || page_number, '') || coalesce(', ' || heading, '') || ' (relevance: ' || printf('%.2f', score) || ')' FROM n WHERE i <= 5)
+    SELECT query_id, string_agg(line, chr(10) ORDER BY part, i) AS answer FROM l GROUP BY 1""",
+)
 def structured_answer(t: Tables) -> DataFrame:
-    return context.structured_answer(_told(t), _asked(t))
+    # the found texts are used nine times
+    return context.structured_answer(written(_told(t), "found"), _asked(t))
 
 
 @registered(
