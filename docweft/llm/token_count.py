@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 SLICE_CHARS = 250_000
 #: Slots of the pre-token cache and token ids that it may hold before it starts anew: both bound a worker's memory.
 CACHE_SLOTS = 1 << 20
-CACHE_IDS = 1 << 22
+CACHE_IDS = 1 << 20
 #: Longer pre-tokens are merged each time they occur.
 CACHE_CHARS = 64
 
@@ -95,10 +95,10 @@ class ByteBPE:
 
     def _forget(self) -> None:
         self.slot_key = np.zeros(CACHE_SLOTS, np.uint64)
-        self.slot_at = np.zeros(CACHE_SLOTS, np.int64)
-        self.slot_len = np.zeros(CACHE_SLOTS, np.int64)
-        self.slot_text = np.zeros(CACHE_SLOTS, np.int64)
-        self.slot_chars = np.zeros(CACHE_SLOTS, np.int64)
+        self.slot_at = np.zeros(CACHE_SLOTS, np.int32)
+        self.slot_len = np.zeros(CACHE_SLOTS, np.int32)
+        self.slot_text = np.zeros(CACHE_SLOTS, np.int32)
+        self.slot_chars = np.zeros(CACHE_SLOTS, np.int32)
         self.texts = np.zeros(1 << 16, np.uint32)
         self.texts_size = 0
         self.pool = np.zeros(1 << 16, np.int32)
@@ -240,8 +240,8 @@ class ByteBPE:
         hit = (self.slot_key[slot] == key) & (chars <= CACHE_CHARS) & (self.slot_chars[slot] == chars)
         # a key only says where to look: the text itself decides
         sure = np.flatnonzero(hit)
-        hit[sure] = _equal(self.texts, self.slot_text[slot[sure]], points, begin[sure], chars[sure])
-        at, size = self.slot_at[slot], self.slot_len[slot]
+        hit[sure] = _equal(self.texts, self.slot_text[slot[sure]].astype(np.int64), points, begin[sure], chars[sure])
+        at, size = self.slot_at[slot].astype(np.int64), self.slot_len[slot].astype(np.int64)
         if not hit.all():
             single = chars > CACHE_CHARS
             miss = np.flatnonzero(~hit & ~single)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweft.llm.shared import crc_part
+from docweft.llm.shared import crc_part, written
 from docweft.llm.words import Words, mix, sliced, words
 
 #: Labelled rows fitted at most, as many of each label as there are up to half of it; chosen by a hash of the id.
@@ -154,8 +154,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
     chosen = [usable.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows // 2) for label in (0, 1)]
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most max_rows short rows
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
-    # of several texts with one id one, so that rows are bounded, too
-    return texts.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")), totals
+    # of several texts with one id one, so that rows are bounded, too; mostly there are none such
+    several = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(chosen, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    several = F.broadcast(written(several, "repeated-ids"))  # at most max_rows ids
+    if several.isEmpty():
+        return texts, totals
+    one = texts.join(several, "doc_id", "left_semi").groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return texts.join(several, "doc_id", "left_anti").unionByName(one), totals
 
 
 def _featurise(terms: Terms) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -199,21 +204,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, penalty: f
     table = texts.select("text", "label").mapInArrow(_featurise(terms), "form int, ids array<int>").toArrow()
     if not table.num_rows:
         return nothing
-    form = table.column("form").to_numpy()
-    lists = table.column("ids").combine_chunks()
-    sizes = np.diff(np.concatenate([[0], lists.offsets.to_numpy()[1:] - lists.offsets.to_numpy()[0]]))
-    ids, row = lists.values.to_numpy(), np.repeat(np.arange(len(form), dtype=np.int32), sizes)
-    kind, label = form // 2, form % 2
-    texts = np.flatnonzero(kind == 0)
-    label = label[texts]
-    count = np.bincount(label, minlength=2)
+    held = [_entries(batch) for batch in table.to_batches() if batch.num_rows]
+    # one pass over the entries counts them, another keeps those of the features that are used
+    seen, count = [np.zeros(FEATURES, np.int64) for _ in (0, 1)], np.zeros(2, np.int64)
+    for kind, label, sizes, ids in held:
+        of = np.repeat(np.where(kind == 0, label, 2).astype(np.int8), sizes)
+        for c in (0, 1):
+            seen[c] += np.bincount(ids[of == c], minlength=FEATURES)
+            count[c] += int(((kind == 0) & (label == c)).sum())
     if not count.all():
         return nothing
-    place = (np.cumsum(kind == 0) - 1).astype(np.int32)
-    of = np.where(kind == 0, label[place], 2).astype(np.int8)[row]  # the label of each entry of a text, 2 in swapped forms
-    real = of < 2
-    seen = [np.bincount(ids[of == c], minlength=FEATURES) for c in (0, 1)]
-    del of
     strong = _strength(seen, count) >= MIN_Z
     if not strong.any():
         return nothing
@@ -222,18 +222,36 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, penalty: f
     used = np.flatnonzero(strong)
     number = np.full(FEATURES, -1, np.int32)
     number[used] = np.arange(len(used))
-    column = number[np.where(ids < 0, -1 - ids, ids)]
-    kept = real & (column >= 0)
-    swap = ~real & (column >= 0)
-    swaps = Swaps(np.unique(row[swap], return_inverse=True)[1], column[swap], np.where(ids[swap] < 0, -1.0, 1.0), max(int((kind > 0).sum()), 1))
+    labels_of, rows, columns, forms, changed, signs, n_texts, n_forms = [], [], [], [], [], [], 0, 0
+    for kind, label, sizes, ids in held:
+        column = number[np.where(ids < 0, -1 - ids, ids)]
+        kept = np.flatnonzero(column >= 0)
+        entry = np.repeat(np.arange(len(kind)), sizes)[kept]
+        real = kind[entry] == 0
+        text, form = np.cumsum(kind == 0) - 1 + n_texts, np.cumsum(kind > 0) - 1 + n_forms
+        labels_of.append(label[kind == 0])
+        rows.append(text[entry[real]])
+        columns.append(column[kept[real]])
+        forms.append(form[entry[~real]])
+        changed.append(column[kept[~real]])
+        signs.append(np.where(ids[kept[~real]] < 0, -1.0, 1.0))
+        n_texts, n_forms = n_texts + int((kind == 0).sum()), n_forms + int((kind > 0).sum())
+    label = np.concatenate(labels_of)
+    swaps = Swaps(np.concatenate(forms), np.concatenate(changed), np.concatenate(signs), n_forms)
     weight = np.where(label == 1, totals[1] / count[1], totals[0] / count[0]) / total
-    bias, weights = _descend(place[row[kept]], column[kept], len(used), label, weight, swaps, base, penalty)
+    bias, weights = _descend(np.concatenate(rows), np.concatenate(columns), len(used), label, weight, swaps, base, penalty)
     return Model(used, weights, bias)
 
 
+def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of ``_featurise``: each form's kind, label and number of features, and all features."""
+    form, lists = batch.column("form").to_numpy(), batch.column("ids")
+    return form // 2, form % 2, np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+
+
 @dataclass
 class Swaps:
-    """What swapped forms change: entries of form, feature and sign; ``total`` counts the forms that change nothing, too."""
+    """What swapped forms change: entries of form, feature and sign; ``total`` counts all forms, those that change nothing, too."""
 
     row: np.ndarray
     column: np.ndarray
@@ -255,7 +273,7 @@ def _descend(row: np.ndarray, column: np.ndarray, size: int, label: np.ndarray,
     w[-1] = base
     first, second = np.zeros_like(w), np.zeros_like(w)
     ridge = np.append(np.full(size, 1e-5), 0)
-    forms = int(swaps.row.max()) + 1 if len(swaps.row) else 0
+    forms = swaps.total
     for step in range(1, 401):
         z = np.bincount(row, weights=w[column], minlength=len(label)) + w[-1]
         pull = weight * (1 / (1 + np.exp(-z)) - label)
