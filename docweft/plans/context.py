@@ -114,3 +114,8 @@ def explanation(found: DataFrame, queries: DataFrame) -> DataFrame:
     lines = [F.concat(F.lit("Query: "), "raw_text"), F.concat(F.lit("Type: "), "query_type"), F.concat(F.lit("Intent: "), "intent"), F.concat(F.lit("Keywords: "), F.array_join("keywords", ", "))]
     lines.append(F.concat(F.lit("Results: "), F.coalesce("total", F.lit(0)).cast("string")))
     return rows.select("query_id", F.concat_ws("\n", *lines, "by_source").alias("explanation"))
+
+
+def pages(found: DataFrame) -> DataFrame:
+    """The distinct pages of each query's hits, in order; hits without a page have none."""
+    return found.filter(F.col("page") > 0).groupBy("query_id").agg(F.array_sort(F.collect_set("page")).alias("pages"))

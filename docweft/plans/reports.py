@@ -22,6 +22,20 @@ def statistics(chunks: DataFrame, formulas: DataFrame) -> DataFrame:
     return out
 
 
+def metadata_report(statistics: DataFrame) -> DataFrame:
+    """``statistics`` as lines of text, totals first."""
+    name = F.replace("metric", F.lit("_"), F.lit(" "))
+    line = F.concat(F.lit("- **"), name, F.when(F.col("key") != "", F.concat(F.lit(" ("), "key", F.lit(")"))).otherwise(""), F.lit("**: "), F.format_string("%.2f", "value"))
+    return statistics.select("metric", "key", (F.col("key") == "").alias("is_total"), line.alias("line"))
+
+
+def extraction_counts(blocks: DataFrame, images: DataFrame) -> DataFrame:
+    """Pages, text blocks and images of each document."""
+    texts = blocks.groupBy("document_id").agg(F.max("page_number").alias("n_pages"), F.count("*").alias("n_blocks"))
+    drawn = images.groupBy("document_id").agg(F.count("*").alias("n_images"))
+    return texts.join(drawn, "document_id", "left").withColumn("n_images", F.coalesce("n_images", F.lit(0)))
+
+
 def table_of_contents(chunks: DataFrame) -> DataFrame:
     """A line for each heading of a document, indented by its level."""
     level = F.when(F.col("chunk_type") == "chapter", 1).when(F.col("chunk_type") == "section", 2).otherwise(3)

@@ -97,6 +97,13 @@ def formula_hits(formulas: DataFrame, queries: DataFrame, k: int = 10) -> DataFr
     return hits(cut(best, [F.col("score").desc(), "formula_id"], k), "formula", "query_id", "formula_id")
 
 
+def stored(found: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Found ids with what is stored of them, unknown ones with nulls; of several stored rows with one id the first in order."""
+    columns = [c for c in known.columns if c != key]
+    single = known.groupBy(key).agg(F.min(F.struct(*columns)).alias("row"))
+    return found.join(single, key, "left").select(*found.columns, *[F.col(f"row.{c}").alias(c) for c in columns])
+
+
 def diagrams_of_type(diagrams: DataFrame, kind: str, k: int = 20) -> DataFrame:
     """The first ``k`` diagrams of a type in order of id; score 1."""
     return diagrams.filter(F.col("diagram_type") == kind).select("diagram_id", "caption").orderBy("diagram_id").limit(k).withColumn("score", F.lit(1.0))

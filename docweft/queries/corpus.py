@@ -86,6 +86,13 @@ def large_images(t: Tables) -> DataFrame:
     return documents.large_images(t.styled(), 900).select("doc_id", "block_idx", ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area"))
 
 
+@registered("extraction_counts", f"""WITH {SQL_STYLED} SELECT doc_id::VARCHAR AS document_id, max(page_number) AS n_pages, count(*) AS n_blocks, count(*) FILTER ((x1 - x0) * (y1 - y0) >= 900) AS n_images FROM styled GROUP BY doc_id""")
+def extraction_counts(t: Tables) -> DataFrame:
+    from docweft.plans.reports import extraction_counts as counts
+
+    return counts(t.blocks(), documents.large_images(t.styled(), 900))
+
+
 @registered("safe_filename", "SELECT page_id, trim(substr(regexp_replace(regexp_replace(url, '[^\\p{L}\\p{N}_\\s.-]', '_', 'g'), '\\s+', '_', 'g'), 1, 200), '_') AS name FROM pages")
 def safe_filename(t: Tables) -> DataFrame:
     return t.read("pages").select("page_id", documents.safe_filename(F.col("url")).alias("name"))

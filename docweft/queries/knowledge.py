@@ -252,6 +252,25 @@ def kb_statistics(t: Tables) -> DataFrame:
     return reports.statistics(t.known(), t.stored_formulas())
 
 
+@registered(
+    "metadata_report",
+    f"""WITH {SQL_FORMULAS}, t AS (WITH {SQL_TYPED} SELECT * FROM typed), s AS (
+    SELECT 'chunk_types' AS metric, chunk_type AS key, count(*)::DOUBLE AS value FROM t GROUP BY 2 UNION ALL SELECT 'domains', domain, count(*)::DOUBLE FROM t GROUP BY 2
+    UNION ALL SELECT 'formula_domains', domain, count(*)::DOUBLE FROM formulas GROUP BY 2 UNION ALL SELECT 'total_chunks', '', count(*)::DOUBLE FROM t
+    UNION ALL SELECT 'avg_chunk_length', '', round(avg(length(content)), 6) FROM t UNION ALL SELECT 'total_formulas', '', count(DISTINCT formula_id)::DOUBLE FROM formulas)
+    SELECT metric, key, key = '' AS is_total, '- **' || replace(metric, '_', ' ') || CASE WHEN key <> '' THEN ' (' || key || ')' ELSE '' END || '**: ' || printf('%.2f', value) AS line FROM s""",
+)
+def metadata_report(t: Tables) -> DataFrame:
+    return reports.metadata_report(reports.statistics(t.known(), t.stored_formulas()))
+
+
+@registered("formula_retrieve", f"""WITH {SQL_FORMULAS}, found AS (SELECT DISTINCT formula_id FROM formulas WHERE list_contains(variables, 'T') OR len(list_filter(variables, lambda v: starts_with(lower(v), 't') AND length(v) > 1)) > 0 ORDER BY formula_id LIMIT 20)
+  SELECT formula_id, x.latex AS latex, x.plain_text AS plain_text, x.domain AS domain FROM found JOIN (SELECT formula_id, min({{'latex': latex, 'plain_text': plain_text, 'domain': domain}}) AS x FROM formulas GROUP BY 1) USING (formula_id)""")
+def formula_retrieve(t: Tables) -> DataFrame:
+    found = ops.by_variable(t.stored_formulas(), "T").select("formula_id").distinct().orderBy("formula_id").limit(20)
+    return search.stored(found, t.stored_formulas().select("formula_id", "latex", "plain_text", "domain"), "formula_id")
+
+
 @registered("table_of_contents", f"""WITH {SQL_TYPED} SELECT doc_id::VARCHAR AS document_id, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS line_no,
   repeat('  ', CASE chunk_type WHEN 'chapter' THEN 0 WHEN 'section' THEN 1 ELSE 2 END) || '- **' || heading || '** (Page ' || page_number || ')' AS line FROM typed WHERE chunk_type IN ('chapter', 'section', 'subsection') AND heading <> ''""")
 def table_of_contents(t: Tables) -> DataFrame:

@@ -413,3 +413,8 @@ def prompts(t: Tables) -> DataFrame:
 )
 def retrieval_explanation(t: Tables) -> DataFrame:
     return context.explanation(_found(t), _asked(t))
+
+
+@registered("retrieval_pages", f"WITH {_FOUND}, {SQL_CHUNKS} SELECT query_id, array_to_string(list_sort(list(DISTINCT page_number)), ',') AS pages FROM heads JOIN chunks ON chunk_id = chunk_key GROUP BY 1")
+def retrieval_pages(t: Tables) -> DataFrame:
+    return context.pages(_told(t)).select("query_id", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"))
