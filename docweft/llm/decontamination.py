@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docweft.llm.shared import bounded_batches
 from docweft.llm.words import mix, sliced, word_hashes, words
 
 #: Which positions of a window count. The first mask alone has a hit in every passage of 13 to 22 words with one word in five
@@ -218,6 +219,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WOR
 
 def _sent(asked: DataFrame, masks: tuple[str, ...], min_words: int, share: float) -> Callable[[], tuple[Index, np.ndarray, np.ndarray]]:
     """Items of one block (a bounded number of words) for the executors: their index, ids and which ids are known."""
+    bounded_batches(asked.sparkSession)
     rows = asked.toArrow().to_pylist()
     items = [word_hashes(r["text"]) for r in rows]
     names = np.array([-1 if r["item_id"] is None else r["item_id"] for r in rows], np.int64)

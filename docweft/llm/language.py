@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweft.llm.shared import crc_part, hint, written
+from docweft.llm.shared import bounded_batches, crc_part, hint, written
 from docweft.llm.words import lowered, mix, sliced, word_mask
 
 #: Labelled texts fitted at most, the same number of each language, chosen by a hash of id and text.
@@ -208,6 +208,7 @@ def _machine(x: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, float]:
 
 def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> Model | None:
     """The two levels of machines; None where no text has a language."""
+    bounded_batches(docs.sparkSession)
     rows = training_rows(docs, max_rows).mapInArrow(_frequencies, "lang string, ids array<int>, counts array<float>").toArrow()
     if not rows.num_rows:
         return None

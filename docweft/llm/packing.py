@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweft.llm.shared import written
+from docweft.llm.shared import bounded_batches, written
 from docweft.llm.token_count import vocabulary
 from docweft.llm.words import sliced
 
@@ -24,7 +24,7 @@ WINDOW = 1024
 #: Ends each document.
 END_ID = 0
 #: Bytes of text tokenised for one output batch.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 500_000
 
 _STREAM = "part int, doc_id long, at long, doc_tokens long, ids binary"
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -46,6 +46,7 @@ def token_streams(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame
                     names=["part", "doc_id", "at", "doc_tokens", "ids"],
                 )
 
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return written(texts.mapInArrow(tokenise, _STREAM), "token-streams")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,6 +13,18 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
+#: Bytes of rows handed to a Python worker at once, at most: texts and word lists vary too much in size to be counted in rows.
+BATCH_BYTES = 1 << 21
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, which worker and executor hold several times over, unless they are smaller yet."""
+    held = re.fullmatch(r"(\d+)b?", spark.conf.get(_BATCH, "") or "")
+    if not held or not 0 < int(held[1]) <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docweft.llm.shared import bounded_batches
+
 #: Code points handled at once; a longer text is a batch of its own.
 SLICE_CHARS = 250_000
 #: Slots of the pre-token cache and token ids that it may hold before it starts anew: both bound a worker's memory.
@@ -333,6 +335,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     texts of any length are counted whole (in memory of about forty bytes a character of the longest one); an empty
     table gives an empty result. Special strings inside a text count as one token each.
     """
+    bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     counted = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), token_count(F.col("text"), path).alias("n_tokens"))
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

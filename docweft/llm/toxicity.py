@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweft.llm.shared import crc_part, written
+from docweft.llm.shared import bounded_batches, crc_part, written
 from docweft.llm.words import Words, mix, sliced, words
 
 #: Labelled rows fitted at most, as many of each label as there are up to half of it; chosen by a hash of the id.
@@ -193,6 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, penalty: f
 
     The features of the identity terms are used whatever their strength, so that the penalty can settle them.
     """
+    bounded_batches(docs.sparkSession)
     terms = Terms.of(groups)
     texts, totals = training_rows(docs, labels, max_rows)
     total = sum(totals.values())
