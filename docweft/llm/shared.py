@@ -20,7 +20,7 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 def bounded_batches(spark: SparkSession) -> None:
     """Bounds the session's Arrow batches, which worker and executor hold several times over, unless they are smaller yet."""
-    held = re.fullmatch(r"(\d+)b?", spark.conf.get(_BATCH, "") or "")
+    held = re.fullmatch(r"(\d+)b?", spark.conf.get(_BATCH))
     if not held or not 0 < int(held[1]) <= BATCH_BYTES:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
