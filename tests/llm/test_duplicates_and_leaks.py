@@ -87,17 +87,19 @@ def test_classes_match_brute_force(spark):
 
 def test_recall_at_and_around_the_threshold(spark):
     rng = random.Random(21)
-    for share, least in ((0.19, 0.9), (0.15, 0.95), (0.1, 0.99)):
-        texts = {}
+    texts, shares = {}, {0.19: 0.9, 0.15: 0.95, 0.1: 0.99}
+    for share in shares:
         for i in range(150):
             base = text(rng, rng.randint(60, 250)).split()
             other = base[:]
             for place in rng.sample(range(len(base)), int(share * len(base))):
                 other[place] = f"new{i}x{place}"
-            texts[2 * i], texts[2 * i + 1] = " ".join(base), " ".join(other)
-        got = found_classes(spark, texts)
-        assert np.mean([got[2 * i] == got[2 * i + 1] for i in range(150)]) >= least
-        assert all(got[2 * i] == 2 * i for i in range(150))
+            n = len(texts)
+            texts[n], texts[n + 1] = " ".join(base), " ".join(other)
+    got = found_classes(spark, texts)
+    for k, least in enumerate(shares.values()):
+        assert np.mean([got[2 * i + 1] == 2 * i for i in range(150 * k, 150 * k + 150)]) >= least
+    assert all(got[n] == n for n in texts if n % 2 == 0)
 
 
 def test_near_pairs_behind_a_crowd(spark):
