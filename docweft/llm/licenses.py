@@ -96,21 +96,21 @@ WHOLE = (
     ("Unlicense", _UNLICENSE.replace("https", "http")),
 )
 
-#: Further whole texts as published, by the digest of their canonical form alone: licence, first word, digest. Fixed values.
+#: Further whole texts as published, by the digest of their canonical form alone: licence, first two words, digest. Fixed values.
 DIGESTS = (
-    ("Apache-2.0", "apache", "1303e019ad72b71159c9c6876101f3f9dae6b740ed0796a6cc28e7c1a7993947"),
-    ("Artistic-1.0-Perl", "the", "fa46c0de183505429339202d8a072062d5bc31c34d11eec35c16b58ac689729a"),
-    ("CC0-1.0", "creative", "97098b9d4d582064b16255ff38f4b45a41ecce484eb98a46cdb15423d6de9f85"),
-    ("GFDL-1.2", "gnu", "4f3ee1c1be015aff856b93ce653c3c303a70089b8fa4a5df4bb6de845b5b4a1e"),
-    ("GFDL-1.3", "gnu", "6114e20795948f0a37c6787b82086a421c231ab9030dd8f85af59433046cc9e6"),
-    ("GPL-1.0", "gnu", "dc4ab9dc141a33fdf0133134066fa6cddef1e5a0fb4b6d41c3c0d9fa2e388cd7"),
-    ("GPL-2.0", "gnu", "f8faccf9eef7b0b5c62695c676bc1b7556d8a6fe97832b3f28aad83367b8cf30"),
-    ("GPL-3.0", "gnu", "dbf741b057c23d9e057e116072d105f842362147650cf72186b48c8fa04e5227"),
-    ("LGPL-2.0", "gnu", "70dc5bd34d9c0f85aed03c8240a5a7e0d5d5a6df13a83b74ad79bf95835aa1a5"),
-    ("LGPL-2.1", "gnu", "42f2dfc2632e35f63a4ee4720f9ab729d4e3c537b1ad4398d58287c9bdef3fc3"),
-    ("LGPL-3.0", "gnu", "9111884d93a72b30a3d024876dab3d755949ac2cfab230268a4169a93b86560c"),
-    ("MPL-1.1", "mozilla", "e1b38bb0e1fd3841543468e03339cb990d99a5ffc785509c2a7d7e16c306894b"),
-    ("MPL-2.0", "mozilla", "cbb074dc9fcbd9c7502f3e0de87d8e6ef114d4764ef7b78d6693c9348c993f1b"),
+    ("Apache-2.0", "apache license", "1303e019ad72b71159c9c6876101f3f9dae6b740ed0796a6cc28e7c1a7993947"),
+    ("Artistic-1.0-Perl", "the artistic", "fa46c0de183505429339202d8a072062d5bc31c34d11eec35c16b58ac689729a"),
+    ("CC0-1.0", "creative commons", "97098b9d4d582064b16255ff38f4b45a41ecce484eb98a46cdb15423d6de9f85"),
+    ("GFDL-1.2", "gnu free", "4f3ee1c1be015aff856b93ce653c3c303a70089b8fa4a5df4bb6de845b5b4a1e"),
+    ("GFDL-1.3", "gnu free", "6114e20795948f0a37c6787b82086a421c231ab9030dd8f85af59433046cc9e6"),
+    ("GPL-1.0", "gnu general", "dc4ab9dc141a33fdf0133134066fa6cddef1e5a0fb4b6d41c3c0d9fa2e388cd7"),
+    ("GPL-2.0", "gnu general", "f8faccf9eef7b0b5c62695c676bc1b7556d8a6fe97832b3f28aad83367b8cf30"),
+    ("GPL-3.0", "gnu general", "dbf741b057c23d9e057e116072d105f842362147650cf72186b48c8fa04e5227"),
+    ("LGPL-2.0", "gnu library", "70dc5bd34d9c0f85aed03c8240a5a7e0d5d5a6df13a83b74ad79bf95835aa1a5"),
+    ("LGPL-2.1", "gnu lesser", "42f2dfc2632e35f63a4ee4720f9ab729d4e3c537b1ad4398d58287c9bdef3fc3"),
+    ("LGPL-3.0", "gnu lesser", "9111884d93a72b30a3d024876dab3d755949ac2cfab230268a4169a93b86560c"),
+    ("MPL-1.1", "mozilla public", "e1b38bb0e1fd3841543468e03339cb990d99a5ffc785509c2a7d7e16c306894b"),
+    ("MPL-2.0", "mozilla public", "cbb074dc9fcbd9c7502f3e0de87d8e6ef114d4764ef7b78d6693c9348c993f1b"),
 )
 
 #: Equivalent spellings, each of which is brought to the second form. The pairs of the public matching guidelines.
@@ -175,9 +175,14 @@ def digest(text: Column) -> Column:
 
 
 def first_words(text: Column) -> Column:
-    """The first word of each line of a text, as it is in the canonical form unless a spelling of two words begins there."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"(?m)^[^\p{L}\p{N}\n]*([\p{L}\p{N}]+)"), F.lit(1))
-    return F.transform(F.array_distinct(found), lambda w: spelled(F.concat(F.lit(" "), w, F.lit(" "))))
+    """The first two words of each line of a text (or its only one), as they are in the canonical form unless a spelling
+    of two words begins there.
+
+    Lines are cut first, so that the pattern ends at each line's second word and never runs over the whole text.
+    """
+    two = r"[\p{L}\p{N}]+(?:[^\p{L}\p{N}]+[\p{L}\p{N}]+)?"
+    begin = lambda line: F.regexp_replace(F.lower(F.regexp_extract(line, two, 0)), r"[^\p{L}\p{N}]+", " ")
+    return F.transform(F.array_distinct(F.transform(F.split(text, "\n", -1), begin)), lambda w: spelled(F.concat(F.lit(" "), w, F.lit(" "))))
 
 
 def parts(text: str) -> list[str]:
@@ -186,13 +191,13 @@ def parts(text: str) -> list[str]:
 
 
 def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN + WHOLE, digests: tuple[tuple[str, str, str], ...] = DIGESTS) -> DataFrame:
-    """``digest``, first ``word``, ``license`` and whether it is a ``whole`` text, of known texts and their paragraphs.
+    """``digest``, first two words (``word``), ``license`` and whether it is a ``whole`` text, of known texts and their paragraphs.
 
     Of several licences with one text the first counts.
     """
     texts = [(license, text, True) for license, text in known] + [(license, p, False) for license, text in known for p in parts(text) if p != text]
     rows = spark.createDataFrame(texts, "license string, known string, whole boolean")
-    word = F.regexp_extract(canonical(F.col("known")), "^[^ ]*", 0)
+    word = F.regexp_extract(canonical(F.col("known")), "^[^ ]*(?: [^ ]*)?", 0)
     rows = rows.select(digest(F.col("known")).alias("digest"), word.alias("word"), "license", "whole")
     if digests:
         rows = rows.unionByName(spark.createDataFrame([(d, w, x, True) for x, w, d in digests], "digest string, word string, license string, whole boolean"))
@@ -209,7 +214,8 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """
     known = known_digests(docs.sparkSession) if known is None else known
     known = written(known.filter(F.col("digest") != F.sha2(F.lit(""), 256)), "known-licenses")
-    words = known.select("word").distinct()
+    # a line may end after its first word
+    words = known.select(F.explode(F.array("word", F.substring_index("word", " ", 1))).alias("word")).distinct()
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     if small(words, KNOWN_WORDS):
         listed = F.array(*[F.lit(r["word"]) for r in words.collect()]).cast("array<string>")
