@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docweft.llm import chat_format, decontamination, fingerprints, language, licenses, near_duplicates, packing, token_count, toxicity, url_filter
+from docweft.llm import chat_format, decontamination, exact_dedup, fill_in_middle, fingerprints, language, licenses, manifest, near_duplicates, packing, token_count, toxicity, url_filter
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -57,6 +57,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.transform(table(spark, sf_dir, "documents"), outputs=False)
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verified(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_token_counts": op2_token_counts,
@@ -68,6 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_manifest": op13_manifest,
 }
 
 #: The other operators learn, align or tokenise, which SQL cannot express; their tests use brute force.
@@ -76,4 +91,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_fingerprints": fingerprints.ORACLE_SQL,
     "op5_chat_formatting": chat_format.ORACLE_SQL,
     "op6_license_scan": licenses.ORACLE_SQL,
+    "op11_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op12_fill_in_middle": fill_in_middle.ORACLE_SQL,
+    "op13_manifest": manifest.ORACLE_SQL,
 }
