@@ -1,14 +1,13 @@
-"""Vector search: exact inner products in blocks of queries, and an inverted-file index with measured recall."""
+"""Exact vector search: inner products in blocks of queries. Approximate indices are in ``vector_lists`` and ``vector_graph``."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweft.functions import text
@@ -16,11 +15,11 @@ from docweft.functions import text
 #: Queries that are sent to the executors at once, and products of queries and vectors held at once.
 BLOCK = 20_000
 CELLS = 4_000_000
-#: Vectors that the coarse centroids are fitted on at most.
+#: Vectors that centroids and code books are fitted on at most.
 SAMPLE = 20_000
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def matrix(column: pa.Array) -> np.ndarray:
     lists = column.cast(pa.list_(pa.float64()))
     flat = lists.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
@@ -46,26 +45,20 @@ def top_k(vectors: DataFrame, key: str, queries: DataFrame, query: str, k: int =
     return ranked.select(F.col("query").alias(names["query"]), F.col("key").alias(names["key"]), F.round("score", 6).alias("score"), "rank")
 
 
-def _local_top(rows: DataFrame, asked: DataFrame, k: int, c: np.ndarray | None = None, probes: int = 0) -> DataFrame:
-    """The best ``k`` rows of each task for each query of one block; with centroids only rows of the lists nearest to it."""
+def _local_top(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` rows of each task for each query of one block."""
     table = asked.toArrow()  # one bounded block
-    sent = rows.sparkSession.sparkContext.broadcast((table.column("query").to_numpy(), _matrix(table.column("embedding").combine_chunks()), c))
+    sent = rows.sparkSession.sparkContext.broadcast((table.column("query").to_numpy(), matrix(table.column("embedding").combine_chunks())))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, asked, c = sent.value
-        looks = None
-        if c is not None and len(c) and len(names):
-            looks = np.zeros((len(names), len(c)), bool)
-            np.put_along_axis(looks, np.argsort(-(asked @ c.T - (c * c).sum(1) / 2), axis=1)[:, :probes], True, 1)
+        names, asked = sent.value
         score = np.full((len(names), 0), -np.inf)
         found = np.zeros((len(names), 0), np.int64)
         rows = max(k, CELLS // max(len(names), 1))
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                product = asked @ _matrix(part.column("embedding")).T
-                if looks is not None:
-                    product[~looks[:, part.column("list_id").to_numpy()]] = -np.inf
+                product = asked @ matrix(part.column("embedding")).T
                 score = np.hstack([score, product])
                 found = np.hstack([found, np.broadcast_to(part.column("key").to_numpy(), (len(names), part.num_rows))])
                 if score.shape[1] > k:
@@ -73,67 +66,11 @@ def _local_top(rows: DataFrame, asked: DataFrame, k: int, c: np.ndarray | None =
                     score, found = np.take_along_axis(score, order, 1), np.take_along_axis(found, order, 1)
         if found.shape[1] and len(names):
             n = found.shape[1]
-            met = score.ravel() > -np.inf
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)[met]), pa.array(found.ravel()[met]), pa.array(score.ravel()[met])], names=["query", "key", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(found.ravel()), pa.array(score.ravel())], names=["query", "key", "score"])
 
     return rows.mapInArrow(search, "query long, key long, score double")
 
 
-def centroids(vectors: DataFrame, key: str, lists: int, rounds: int = 10, sample: int = SAMPLE) -> np.ndarray:
-    """Coarse centroids by k-means over at most ``sample`` vectors, chosen by a hash of their key."""
-    chosen = vectors.filter(F.col("embedding").isNotNull()).orderBy(F.xxhash64(key), key).limit(sample).select("embedding").toArrow()
-    x = _matrix(chosen.column("embedding").combine_chunks())
-    if not len(x):
-        return x
-    c = x[np.linspace(0, len(x) - 1, min(lists, len(x))).astype(int)].copy()
-    for _ in range(rounds):
-        near = (x @ c.T - (c * c).sum(1) / 2).argmax(1)
-        for j in range(len(c)):
-            if (near == j).any():
-                c[j] = x[near == j].mean(0)
-    return c
-
-
-def nearest_lists(embedding: Column, c: np.ndarray, n: int = 1) -> Column:
-    """The ``n`` centroids nearest to a vector."""
-
-    @F.arrow_udf("array<int>")
-    def near(column: pa.Array) -> pa.Array:
-        x = _matrix(column)
-        order = np.argsort(-(x @ c.T - (c * c).sum(1) / 2), axis=1)[:, :n] if len(x) else np.zeros((0, n), int)
-        return pa.array(order.astype(np.int32).tolist(), pa.list_(pa.int32()))
-
-    return near(embedding)
-
-
-def inverted_file(vectors: DataFrame, key: str, lists: int | None = None) -> tuple[DataFrame, np.ndarray]:
-    """Every vector with the list that it is in, and the lists' centroids; by default as many lists as the square root of the rows."""
-    rows = vectors.filter(F.col("embedding").isNotNull())
-    c = centroids(rows, key, lists or max(16, math.isqrt(rows.count())))
-    return rows.select(key, "embedding", nearest_lists(F.col("embedding"), c)[0].alias("list_id") if len(c) else F.lit(0).alias("list_id")), c
-
-
-def approximate_top_k(index: DataFrame, c: np.ndarray, key: str, queries: DataFrame, query: str, k: int = 10, share: float = 0.65) -> DataFrame:
-    """``top_k`` among the vectors of the lists nearest to each query, a ``share`` of all lists.
-
-    The default suits vectors without clusters, as the given ones: recall is 0.92 to 0.94 there, at 0.35 it is 0.8.
-
-    Queries and the lists that each looks into go to the executors in blocks of bounded size; every task keeps its own
-    best ``k`` of each query, so no list is a join key and only the best are shuffled.
-    """
-    probes = max(1, math.ceil(share * len(c)))
-    asked = queries.filter(F.col("embedding").isNotNull()).select(F.col(query).cast("long").alias("query"), "embedding")
-    rows = index.select(F.col(key).cast("long").alias("key"), "embedding", "list_id")
-    blocks = max(1, -(-asked.count() // BLOCK))
-    best = None
-    for b in range(blocks):
-        found = _local_top(rows, asked.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b), k, c, probes)
-        best = found if best is None else best.unionByName(found)
-    order = Window.partitionBy("query").orderBy(F.col("score").desc(), "key")
-    ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
-    return ranked.select(F.col("query").alias(f"query_{query}"), F.col("key").alias(key), F.round("score", 6).alias("score"), "rank")
-
-
 def embed(rows: DataFrame, column: str, model: Callable[[list[str]], list[list[float]]]) -> DataFrame:
     """Rows with unit-length embeddings of a text column by a model of the caller's choice, in batches."""
 

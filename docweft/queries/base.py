@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from docweft.functions import latex as L
 from docweft.functions import rules, text
-from docweft.operators import keyword_index
-from docweft.operators.storage import written
+from docweft.operators import keyword_index, vector_graph, vector_lists
+from docweft.operators.storage import listed, written
 from docweft.plans import query as Q
 from docweft.sources import documents
 
@@ -161,8 +161,9 @@ SQL_TERMS = f"terms AS (SELECT doc_id, {sql_terms('coalesce(text, chr(32))')} AS
 SQL_POSTINGS = SQL_TERMS + ", postings AS (SELECT doc_id, len(terms) AS dl, unnest(terms) AS term FROM terms)"
 
 
-#: What has been written for the tables of one folder in one session: an index is built once and serves all queries.
-_WRITTEN: dict[tuple[str, str, str], Any] = {}
+#: What has been written for the tables of one folder in one session: an index is built once and serves all queries, as
+#: long as the names, sizes and times of the files that it was built from are the same.
+_WRITTEN: dict[tuple[str, str, str], tuple[str, Any]] = {}
 
 
 class Tables:
@@ -171,11 +172,12 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
-    def once(self, name: str, make: Callable[[], Any]) -> Any:
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
-        if key not in _WRITTEN:
-            _WRITTEN[key] = make()
-        return _WRITTEN[key]
+    def once(self, name: str, make: Callable[[], Any], source: str = "documents") -> Any:
+        key, files = (self.spark.sparkContext.applicationId, self.sf_dir, name), listed(self.spark, f"{self.sf_dir}/{source}.parquet")
+        held = _WRITTEN.get(key)
+        if held is None or held[0] != files:
+            _WRITTEN[key] = held = (files, make())
+        return held[1]
 
     def index(self) -> keyword_index.Index:
         """The keyword index of the documents."""
@@ -185,6 +187,12 @@ class Tables:
         """The keyword index of the chunks."""
         return self.once("chunk-index", lambda: keyword_index.build(keyword_index.terms(self.chunks(), "chunk_id", "content"), "chunk_id"))
 
+    def vector_lists(self) -> vector_lists.Lists:
+        return self.once("vector-lists", lambda: vector_lists.build(self.vectors(), "vec_id"), "embeddings")
+
+    def vector_graph(self) -> vector_graph.Graph:
+        return self.once("vector-graph", lambda: vector_graph.build(self.vectors(), "vec_id"), "embeddings")
+
     def known(self) -> DataFrame:
         """``typed`` chunks, written."""
         return self.once("typed-chunks", lambda: written(self.typed(), "typed-chunks"))

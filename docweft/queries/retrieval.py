@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweft.functions import rules, text
-from docweft.operators import chunking, keyword_index, vectors
+from docweft.operators import chunking, keyword_index, vector_graph, vector_lists, vectors
 from docweft.operators.storage import written
 from docweft.plans import context, fusion, reports, search
 from docweft.plans import query as Q
@@ -97,8 +97,14 @@ def vector_topk_filtered(t: Tables) -> DataFrame:
 
 @registered("vector_ivf_topk")
 def vector_ivf_topk(t: Tables) -> DataFrame:
-    index, c = vectors.inverted_file(t.vectors(), "vec_id")
-    return vectors.approximate_top_k(index, c, "vec_id", t.vectors().filter("vec_id % 20 = 0"), "vec_id", 10)
+    """The given vectors have no clusters, so that many lists have to be looked into; their codes are a twelfth of the vectors."""
+    return vector_lists.search(t.vector_lists(), "vec_id", t.vector_queries(), "query_id", 10, share=0.7, rescored=60).withColumn("rank", F.col("rank").cast("long"))
+
+
+@registered("vector_graph_topk")
+def vector_graph_topk(t: Tables) -> DataFrame:
+    found, _ = vector_graph.search(t.vector_graph(), "vec_id", t.vector_queries(), "query_id", 10, beam=32, rescored=60)
+    return found.withColumn("rank", F.col("rank").cast("long"))
 
 
 _COSINE = "list_inner_product(a::DOUBLE[], b::DOUBLE[]) / (sqrt(list_inner_product(a::DOUBLE[], a::DOUBLE[])) * sqrt(list_inner_product(b::DOUBLE[], b::DOUBLE[])))"

@@ -46,10 +46,11 @@ def test_scans_read_only_what_is_needed(spark):
 
 
 @needs_data
-def test_approximate_search_reaches_its_recall(spark):
+@pytest.mark.parametrize("name", ["vector_ivf_topk", "vector_graph_topk"])
+def test_approximate_search_reaches_its_recall(spark, name):
     exact = {(r.query_id, r.vec_id) for r in entry.queries()["vector_topk"](spark, SF).collect()}
-    near = {(r.query_vec_id, r.vec_id) for r in entry.queries()["vector_ivf_topk"](spark, SF).collect()}
-    assert len(exact & near) >= 0.9 * len(exact)
+    near = {(r.query_id, r.vec_id) for r in entry.queries()[name](spark, SF).collect()}
+    assert len(near) == len(exact) and len(exact & near) >= 0.9 * len(exact)
 
 
 def test_nothing_else_imports_the_training_data_package():
