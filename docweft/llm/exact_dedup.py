@@ -30,8 +30,12 @@ BATCH_BYTES = 64 << 30
 OFTEN = 1_000
 PARTS = 256
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The state is kept by RocksDB, whose stores reserve no disk ahead and are closed once a batch is committed.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 #: ``run`` names the call that brought a row and ``number`` the row within it; both together name the row.
 _ARRIVALS = "doc_id long, digest binary, n_chars long, run string, number long, file string, row long"
 _BEST = "struct<n_chars: long, named: boolean, low_id: long, doc_id: long, run: string, number: long>"
@@ -85,13 +89,15 @@ def remember(spark: SparkSession, folder: str) -> None:
     def changed(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{folder}/entries/batch={batch}")
 
-    held = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    held = {name: spark.conf.get(name, None) for name in _STATE}
     try:
+        for name, value in _STATE.items():
+            spark.conf.set(name, value)
         writer = state.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint")
         writer.trigger(availableNow=True).foreachBatch(changed).start().awaitTermination()
     finally:
-        spark.conf.set(_PROVIDER, held)
+        for name, value in held.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def entries(spark: SparkSession, folder: str) -> DataFrame:
@@ -122,7 +128,8 @@ def unequal(texts: DataFrame, hits: DataFrame) -> DataFrame:
     part = F.when(many, F.pmod(F.spark_partition_id(), F.lit(PARTS))).otherwise(F.lit(0))
     pairs = texts.join(hint(hits), "digest").select("digest", "normal", many.alias("many"), part.alias("part"))
     pairs = pairs.groupBy("digest", "many", "part").agg(F.min("normal").alias("low"), F.max("normal").alias("high"))
-    pairs = written(pairs.withColumns({"low": F.when(F.col("many") | (F.col("low") < F.col("high")), F.col("low")), "high": F.when(F.col("many") | (F.col("low") < F.col("high")), F.col("high"))}), "compared")
+    # of parts that are all one text, nothing has to be kept but for digests that have several parts
+    pairs = written(pairs.filter(F.col("many") | (F.col("low") < F.col("high"))), "compared")
     whole = pairs.filter("many").groupBy("digest").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     return pairs.select("digest", "low", "high").unionByName(whole).filter("low < high").select("digest").distinct()
 
