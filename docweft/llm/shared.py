@@ -49,6 +49,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of ``df`` has, whatever the case of letters."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while (name := f"_{name}").lower() in taken:
+            pass
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no more than that many and one."""
     return df.limit(rows + 1).count() <= rows

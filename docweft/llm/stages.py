@@ -2,8 +2,8 @@
 
 All but the last return the columns of the documents they are given. Every stage judges rows by their text alone, so
 null ids, shared ids and repeated rows need no rule of their own, except that near-duplicates (and so repeated rows)
-become one row. Null and empty texts are not toxic, have no language and go with that stage. Empty tables give empty
-results.
+become one row. Null and empty texts are not toxic, have no language and go with that stage. Texts of any length are
+judged whole. Further columns are kept, whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweft.llm import decontamination, language, near_duplicates, packing, toxicity
+from docweft.llm.shared import free_names
 
 TOKENIZER = "byte_bpe_50k.json"
 #: The lead among languages alone scores 0.25 and more; texts unlike the language picked for them fall below.
@@ -30,9 +31,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language.fit(docs)
     if model is None:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    found = docs.withColumn("_found", language.language_of(F.col("text"), model))
-    kept = (F.col("_found.lang_pred") != language.UNDETERMINED) & (F.col("_found.score") >= LEAST_LANGUAGE_SCORE)
-    return found.filter(kept).drop("_found")
+    (name,) = free_names(docs, "found")
+    found = docs.withColumn(name, language.language_of(F.col("text"), model))
+    kept = (F.col(name)["lang_pred"] != language.UNDETERMINED) & (F.col(name)["score"] >= LEAST_LANGUAGE_SCORE)
+    return found.filter(kept).drop(name)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
