@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from docweft.llm import decontamination as dc
 from docweft.llm import near_duplicates as nd
@@ -123,6 +124,55 @@ def test_near_pairs_behind_a_crowd(spark):
     assert all(got[i] == i - 1 for i in last)
 
 
+@pytest.mark.parametrize("shared", [60, 100])
+def test_recall_behind_boilerplate(spark, shared):
+    """Pairs at the threshold among texts that all share a passage, all edits outside of it, against brute force."""
+    rng = random.Random(31)
+    passage, texts = text(rng, shared), {}
+    for _ in range(150):
+        base = text(rng, 200 - shared, 10**6).split()
+        other = base[:]
+        for place in rng.sample(range(len(base)), 38):
+            other[place] = f"new{place}x{len(texts)}"
+        cut = rng.randint(0, len(base))
+        for words in (base, other):
+            texts[len(texts)] = " ".join([*words[:cut], passage, *words[cut:]])
+    want = brute_classes({i: t for i, t in texts.items() if i < 20}, brute_links({i: t for i, t in texts.items() if i < 20}, similarity, nd.SIMILARITY))
+    assert all(want[i] == i - i % 2 for i in want)
+    got = found_classes(spark, texts)
+    assert all(got[n] == n for n in texts if n % 2 == 0)
+    assert np.mean([got[n] == n - 1 for n in texts if n % 2]) >= 0.9
+
+
+def test_long_texts_of_few_words(spark):
+    rng = random.Random(32)
+    texts = {}
+    for size, vocabulary in ((5_000, 2), (6_000, 60), (9_000, 300), (50_000, 1_000)):
+        base = [f"w{rng.randrange(vocabulary)}" for _ in range(size)]
+        other, unlike = base[:], base[:]
+        for words, share in ((other, 0.02), (unlike, 0.6)):
+            for place in rng.sample(range(size), int(share * size)):
+                words[place] = f"w{rng.randrange(vocabulary)}"
+        for words in (base, other, unlike):
+            texts[len(texts)] = " ".join(words)
+    got = found_classes(spark, texts)
+    assert all(got[i + 1] == i == got[i] for i in range(0, 12, 3))
+    assert all(got[i + 2] == i + 2 for i in range(3, 12, 3))  # of two words, the third is like the first by chance
+
+
+def test_columns_of_any_name_are_kept(spark):
+    docs = spark.createDataFrame([(1, "one text of six words here", "mongo-1", "d", "f"), (1, "one text of six words here", "mongo-1", "d", "f"), (2, "another text", "mongo-2", "e", "g")], "doc_id long, text string, _id string, _digest string, _FOUND string")
+    assert sorted(tuple(r) for r in nd.deduplicated(docs).select("_id", "_digest", "_FOUND").collect()) == [("mongo-1", "d", "f"), ("mongo-2", "e", "g")]
+
+
+def test_edits_by_diagonals_against_plain_edit_distance():
+    rng = random.Random(33)
+    for _ in range(300):
+        a, b = ([rng.randrange(3) for _ in range(rng.randint(0, 80))] for _ in range(2))
+        most = rng.randint(0, 90)
+        assert nd.edits_within(np.array(a, np.uint64), np.array(b, np.uint64), most) == min(round((1 - similarity(" ".join(map(str, a)), " ".join(map(str, b)))) * max(len(a), len(b))) if a and b else max(len(a), len(b)), most + 1)
+
+
 def test_common_shingles_are_never_missed(spark):
     """Pairs with 80 % of their word 5-grams in common, from 9 words up, exactly at the threshold too."""
     rng = random.Random(14)

@@ -3,6 +3,8 @@
 import random
 import zlib
 
+from pyspark.sql import functions as F
+
 from docweft.llm import language, stages, toxicity
 
 CLEAN = "the quick report says that many people like to walk in a green park near rivers every week".split()
@@ -132,6 +134,8 @@ def test_texts_of_no_learned_language_go(spark):
     unlike += [" ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randint(3, 9))) for _ in range(30)) for _ in range(20)]
     docs = spark.createDataFrame(rows + [(1000 + i, t, None) for i, t in enumerate(unlike)], "doc_id long, text string, lang string")
     assert sorted(r.doc_id for r in stages.identify_language(spark, docs, "").collect()) == list(range(600))
+    clash = stages.identify_language(spark, docs.withColumns({"_found": F.lit("own"), "__FOUND": F.lit("too")}), "")
+    assert {tuple(r) for r in clash.select("_found", "__FOUND").collect()} == {("own", "too")}
 
 
 def test_letters_stay_where_no_language_can_be_learned(spark):
