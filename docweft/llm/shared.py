@@ -49,6 +49,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Removes the files of a ``written`` table that nothing will read again."""
+    spark = table.sparkSession
+    for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
     """Names like the wanted ones that no column of ``df`` has, whatever the case of letters."""
     taken, found = {c.lower() for c in df.columns}, []
