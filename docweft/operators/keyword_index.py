@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweft.functions import text
+from docweft.operators import term_index
 from docweft.operators.storage import written
 
 K1, B = 1.5, 0.75
@@ -83,34 +84,37 @@ def exact(indexed: DataFrame, key: str, phrase: str) -> DataFrame:
     return found.select(key, F.lit(1.0).alias("score"))
 
 
-def similar_terms(vocabulary: DataFrame, asked: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """Pairs of asked terms and vocabulary terms (``term`` columns) whose similarity reaches the threshold.
+def similar_terms(index: term_index.Terms, asked: DataFrame) -> DataFrame:
+    """Pairs of asked terms (``term``) and vocabulary terms whose similarity reaches the threshold of the term index.
 
-    Terms meet only where they can be alike: lengths within the threshold, or one inside the other, which shows in
-    a shared three-letter sequence or in one being a part of the other. Each is an equi-join with the asked terms.
+    Terms meet only where they can be alike: in a shortened form or a segment (see ``term_index``), or one inside the
+    other, which shows in a shared three-letter sequence or in one being a part of the other. Each is an equi-join.
     """
+    threshold, vocabulary = index.threshold, index.terms
     asked = asked.select(F.col("term").alias("asked")).distinct()
-    vocabulary = vocabulary.select("term").distinct()
-    low, high = F.ceil(F.length("asked") * threshold).cast("int"), F.floor(F.length("asked") / threshold).cast("int")
-    near = asked.select("asked", F.explode(F.sequence(low, high)).alias("size")).join(vocabulary.withColumn("size", F.length("term")), "size").select("asked", "term")
     grams = lambda n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("term") - n + 1, F.lit(1))), lambda i: F.substring(F.col("term"), i, F.lit(n))))
     # terms of one or two letters are asked for rarely, and only then is the vocabulary cut so finely
     short = sorted(r[0] for r in asked.filter("asked <> ''").select(F.least(F.length("asked"), F.lit(3))).distinct().collect())
     pieces = [vocabulary.select("term", F.explode(grams(n)).alias("gram")).join(asked.filter(F.least(F.length("asked"), F.lit(3)) == n).select("asked", F.substring("asked", 1, n).alias("gram")), "gram") for n in short]
+    near = term_index.near(index, asked)
     inside = near.limit(0)
     for piece in pieces:
         inside = inside.unionByName(piece.filter(F.contains("term", "asked")).select("asked", "term"))
     size = F.length("asked")
     parts = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substring(F.col("asked"), i, n))))
     around = asked.select("asked", F.explode(F.array_distinct(parts)).alias("term")).join(vocabulary, "term").select("asked", "term")
-    pairs = near.filter(F.levenshtein("asked", "term") <= (1 - threshold) * F.greatest(F.length("asked"), F.length("term")) + 1e-9).union(inside).union(around).distinct()
+    pairs = near.union(inside).union(around).distinct()
     return pairs.withColumn("similarity", text.string_similarity(F.col("asked"), F.col("term"))).filter(F.col("similarity") >= threshold)
 
 
-def fuzzy(index: Index, queries: DataFrame, query: str, k: int = 20, threshold: float = 0.7) -> DataFrame:
-    """The ``k`` best rows for each query by the summed similarity of its terms to the row's terms."""
+def fuzzy(index: Index, queries: DataFrame, query: str, k: int = 20, threshold: float = 0.7, known: term_index.Terms | None = None) -> DataFrame:
+    """The ``k`` best rows for each query by the summed similarity of its terms to the row's terms.
+
+    ``known`` is the index of the vocabulary, if it has been built before.
+    """
     asked = queries.select(query, F.explode("terms").alias("asked"))
-    alike = similar_terms(index.postings.select("term"), asked.select(F.col("asked").alias("term")), threshold)
+    known = known or term_index.build(index.postings.select("term"), threshold)
+    alike = similar_terms(known, asked.select(F.col("asked").alias("term")))
     wanted = asked.join(alike, "asked").groupBy(query, "term").agg(F.sum("similarity").alias("weight"))
     scored = index.postings.join(wanted, "term").groupBy(query, index.key).agg(F.round(F.sum("weight"), 6).alias("score"))
     return top(scored, query, index.key, k)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from docweft.functions import latex as L
 from docweft.functions import rules, text
-from docweft.operators import keyword_index, vector_graph, vector_lists
+from docweft.operators import block_index, keyword_index, term_index, vector_graph, vector_lists
 from docweft.operators.storage import listed, written
 from docweft.plans import query as Q
 from docweft.sources import documents
@@ -183,6 +183,14 @@ class Tables:
         """The keyword index of the documents."""
         return self.once("keyword-index", lambda: keyword_index.build(self.terms(), "doc_id"))
 
+    def block_index(self) -> block_index.Blocks:
+        """That index in blocks."""
+        return self.once("block-index", lambda: block_index.build(self.index()))
+
+    def term_index(self) -> term_index.Terms:
+        """The vocabulary of the documents by forms and segments."""
+        return self.once("term-index", lambda: term_index.build(self.index().postings.select("term")))
+
     def chunk_index(self) -> keyword_index.Index:
         """The keyword index of the chunks."""
         return self.once("chunk-index", lambda: keyword_index.build(keyword_index.terms(self.chunks(), "chunk_id", "content"), "chunk_id"))

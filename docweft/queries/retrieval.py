@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweft.functions import rules, text
-from docweft.operators import chunking, keyword_index, vector_graph, vector_lists, vectors
+from docweft.operators import block_index, chunking, keyword_index, vector_graph, vector_lists, vectors
 from docweft.operators.storage import written
 from docweft.plans import context, fusion, reports, search
 from docweft.plans import query as Q
@@ -33,6 +33,13 @@ def bm25_topk(t: Tables) -> DataFrame:
     return _bm25(t, 10).select(F.col("query_id").alias("item_id"), "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@registered("bm25_block_topk", _BM25.replace("{k}", "10"))
+def bm25_block_topk(t: Tables) -> DataFrame:
+    """The rows of ``bm25_topk`` from the index in blocks, most of which are skipped."""
+    found, _ = block_index.bm25(t.block_index(), _items(t), "query_id", 10)
+    return found.select(F.col("query_id").alias("item_id"), "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 @registered("keyword_df", f"WITH {SQL_POSTINGS} SELECT term, count(*) AS df FROM postings GROUP BY 1")
 def keyword_df(t: Tables) -> DataFrame:
     return keyword_index.document_frequency(t.terms(), "doc_id")
@@ -71,7 +78,7 @@ _SIMILAR = """CASE WHEN a = b THEN 1.0 WHEN contains(a, b) OR contains(b, a) THE
 def keyword_fuzzy(t: Tables) -> DataFrame:
     """The words of benchmark items whose id is divisible by 20, against the whole vocabulary."""
     asked = keyword_index.terms(t.read("benchmark").filter("item_id % 20 = 0"), "item_id").withColumn("terms", F.filter("terms", lambda x: ~F.contains(x, F.lit("_"))))
-    return keyword_index.fuzzy(t.index(), asked, "item_id").withColumn("rank", F.col("rank").cast("long"))
+    return keyword_index.fuzzy(t.index(), asked, "item_id", known=t.term_index()).withColumn("rank", F.col("rank").cast("long"))
 
 
 # Vectors

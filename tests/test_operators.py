@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docweft.engine import Engine, Settings
 from docweft.functions import latex as L
-from docweft.operators import chunking, formulas, keyword_index, relations, tabular, vectors
+from docweft.operators import chunking, formulas, keyword_index, relations, tabular, term_index, vectors
 from docweft.plans import context, fusion, reports
 from docweft.sources import documents, tables
 
@@ -105,7 +105,7 @@ def test_fuzzy_terms_against_all_pairs(spark):
                 prev, d[j] = d[j], min(prev + (x != y), d[j] + 1, d[j - 1] + 1)
         return 1 - d[-1] / max(len(a), len(b))
 
-    got = keyword_index.similar_terms(spark.createDataFrame([(w,) for w in words], "term string"), spark.createDataFrame([(w,) for w in asked], "term string")).collect()
+    got = keyword_index.similar_terms(term_index.build(spark.createDataFrame([(w,) for w in words], "term string")), spark.createDataFrame([(w,) for w in asked], "term string")).collect()
     assert {(r.asked, r.term) for r in got} == {(a, b) for a in asked for b in words if alike(a, b) >= 0.7}
 
 
