@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from docweft.operators import block_index, keyword_index, term_index
+from docweft.operators import block_index, form_index, keyword_index, term_index
 
 
 def _edits(a, b):
@@ -79,3 +79,20 @@ def test_few_pairs_are_compared(spark):
     frame = lambda rows, name: spark.createDataFrame([(w,) for w in rows], f"{name} string")
     index = term_index.build(frame(words, "term"))
     assert term_index.candidates(index, frame(words[::20], "asked")).count() < 0.05 * len(words) * len(words[::20])
+
+
+def test_likest_texts_of_few_compared_pairs(spark):
+    import difflib
+
+    rng = random.Random(7)
+    parts = [r"\frac{a}{b}", "x^2", r"\sin(t)", "= y", r"\sum_{i} k_i", "+ 3", r"\alpha", "m c", r"\int_0^1 f(u) du", "- z"]
+    forms = sorted({" ".join(rng.choice(parts) for _ in range(rng.randint(1, 6))) for _ in range(500)})
+    asked = [*rng.sample(forms, 20), "x^2 + y^2", "q"]
+    frame = lambda rows, name: spark.createDataFrame([(w,) for w in rows], f"{name} string")
+    compared = form_index.likest(frame(forms, "form"), frame(asked, "asked"), 5, 0.1)
+    found = compared.collect()
+    assert len({(r.asked, r.form) for r in found}) == len(found) < 0.35 * len(forms) * len(asked)
+    for text in asked:
+        score = {f: round(difflib.SequenceMatcher(None, text, f).ratio(), 6) for f in forms}
+        last = sorted(score.values(), reverse=True)[4]
+        assert {r.form for r in found if r.asked == text and r.among} == {f for f in forms if score[f] >= last and score[f] > 0.1}
