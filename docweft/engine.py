@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from docweft.functions import latex, text
 from docweft.operators import chunking, formulas, keyword_index, relations, vectors
+from docweft.operators.storage import written
 from docweft.plans import context, fusion, query, reports, search
 from docweft.sources import documents, tables
 
 Model = Callable[[list[str]], list[list[float]]]
+Reranker = Callable[[list[str], list[str]], list[float]]
 
 
 @dataclass(frozen=True)
@@ -42,6 +44,9 @@ class Engine:
     chunks: DataFrame | None = None
     formulas: DataFrame | None = None
     embedded: DataFrame | None = None
+    #: Diagrams (``diagram_id, diagram_type, caption, page``) with their vectors, as ``take_diagrams`` wrote them.
+    diagrams: DataFrame | None = None
+    reranker: Reranker | None = None
     #: The keyword index, built when it is first searched.
     index: keyword_index.Index | None = None
 
@@ -54,12 +59,28 @@ class Engine:
         cut = chunking.chunk(blocks, self.settings.chunking, most=self.settings.max_chunk_chars, least=self.settings.min_chunk_chars)
         if "heading" not in cut.columns:
             cut = cut.withColumns({"heading": F.lit(None).cast("string"), "parent_id": F.lit(None).cast("string"), "section_hierarchy": F.array().cast("array<string>")})
-        self.chunks = chunking.classify(cut).withColumn("page_numbers", F.array("page_number"))
-        self.formulas, self.index = formulas.extract(blocks), None
+        # written once, as every question reads them
+        self.chunks = written(chunking.classify(cut).withColumn("page_numbers", F.array("page_number")), "chunks")
+        self.formulas, self.index = written(formulas.extract(blocks), "formulas"), None
         if self.model:
-            self.embedded = vectors.embed(self.chunks.select("chunk_id", "content"), "content", self.model)
+            self.embedded = self._numbered(vectors.embed(self.chunks.select("chunk_id", "content"), "content", self.model))
         return self
 
+    def take_diagrams(self, diagrams: DataFrame) -> Engine:
+        """Takes diagrams into the knowledge base; without an ``embedding`` column the model embeds their captions.
+
+        Without vectors and model diagrams are found by type alone.
+        """
+        if "embedding" not in diagrams.columns:
+            diagrams = vectors.embed(diagrams, "caption", self.model) if self.model else diagrams.withColumn("embedding", F.lit(None).cast("array<double>"))
+        self.diagrams = self._numbered(diagrams)
+        return self
+
+    @staticmethod
+    def _numbered(rows: DataFrame) -> DataFrame:
+        """Rows with a number each, given once where they are written."""
+        return written(rows.withColumn("number", F.monotonically_increasing_id()), "numbered")
+
     def save(self, path: str) -> None:
         kept = {"chunks": self.chunks, "formulas": self.formulas}
         tables.save_index(kept | ({"embedded": self.embedded} if self.embedded is not None else {}), path)
@@ -73,8 +94,11 @@ class Engine:
     def queries(self, texts: list[str]) -> DataFrame:
         return query.process(self.spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "query_id string, text string"))
 
-    def search(self, asked: DataFrame, k: int | None = None, indices: tuple[str, ...] = ("keyword", "formula", "text", "domain")) -> DataFrame:
-        """Fused hits (``query_id, doc_key, score, rank, source``) for processed queries, from the named indices."""
+    def search(self, asked: DataFrame, k: int | None = None, indices: tuple[str, ...] = ("keyword", "formula", "text", "domain", "diagram")) -> DataFrame:
+        """Fused hits (``query_id, doc_key, score, rank, source``) for processed queries, from the named indices.
+
+        Texts and diagrams are searched by vectors, and so only with a model.
+        """
         k = k or self.settings.top_k
         keywords = self._keyword_hits(asked, 2 * k)
         texts = self._text_hits(asked, 2 * k) if self.embedded is not None and self.model else keywords.limit(0)
@@ -85,6 +109,8 @@ class Engine:
             symbols = {"variables": latex.variables(F.col("raw_text")), "operators": latex.operators(F.col("raw_text"))}
             wanted = asked.filter(F.col("query_type").isin("formula", "mixed") | (F.size("formulas") > 0)).withColumns(symbols).withColumn("domain", F.lit(None).cast("string"))
             hits = hits.unionByName(search.formula_hits(self.formulas, wanted, 2 * k))
+        if "diagram" in indices and self.diagrams is not None and self.model:
+            hits = hits.unionByName(self._nearest(self.diagrams, "diagram", "diagram_id", asked, 2 * k))
         if "domain" in indices:
             hits = hits.unionByName(search.by_domain(asked, self.formulas, keywords, texts, k))
         fuse = {"rrf": lambda: fusion.reciprocal_rank(hits, k), "weighted": lambda: fusion.weighted(hits, asked, k), "convex": lambda: fusion.convex(hits, asked, k)}
@@ -97,10 +123,19 @@ class Engine:
         return search.keyword_hits(self.index, wanted, k)
 
     def _text_hits(self, asked: DataFrame, k: int) -> DataFrame:
-        seen = vectors.embed(asked.select(F.col("query_id").cast("long").alias("query_id"), "processed_text"), "processed_text", self.model)
-        numbered = self.embedded.withColumn("key", F.xxhash64("chunk_id"))
-        found = vectors.top_k(numbered, "key", seen, "query_id", k).join(numbered.select("key", "chunk_id"), "key")
-        return search.hits(found, "text", "query_id", "chunk_id")
+        return self._nearest(self.embedded, "text", "chunk_id", asked, k)
+
+    def _nearest(self, rows: DataFrame, source: str, key: str, asked: DataFrame, k: int) -> DataFrame:
+        """Hits among numbered rows with vectors, for the vectors of processed queries."""
+        seen = vectors.embed(self._numbered(asked.select("query_id", "processed_text")), "processed_text", self.model)
+        seen = written(seen.withColumnRenamed("number", "asked"), "asked-vectors")
+        found = vectors.top_k(rows, "number", seen, "asked", k).join(rows.select("number", key), "number").join(seen.select("asked", "query_id"), "asked")
+        return search.hits(found, source, "query_id", key)
+
+    def expanded(self, found: DataFrame) -> DataFrame:
+        """The chunks that hits name, each with its neighbours up to ``Settings.context_width``: ``query_id, position, chunk_id, content``."""
+        placed = context.expand(found.filter(F.col("source").isin("text", "keyword", "domain")), self.chunks, self.settings.context_width)
+        return placed.join(self.chunks.select("chunk_id", "content"), "chunk_id").select("query_id", "position", "chunk_id", "content")
 
     def explain(self, texts: list[str], k: int | None = None) -> DataFrame:
         """How each question is understood, and what is found for it."""
@@ -114,12 +149,21 @@ class Engine:
         return self.chunks.filter(F.col("chunk_id") == chunk_id)
 
     def query(self, texts: list[str], k: int | None = None) -> DataFrame:
-        """An answer for each question, with its confidence and context."""
-        asked = self.queries(texts)
-        found = self.search(asked, k)
-        told = context.with_content(found, self.chunks, self.formulas.dropDuplicates(["formula_id"]))
+        """An answer for each question, with its confidence, context and the ids of the chunks of the expanded context.
+
+        With a reranker the texts found are ranked anew by it before the answer is made.
+        """
+        asked = written(self.queries(texts), "asked")
+        found = written(self.search(asked, k), "found")
+        told = context.with_content(found, self.chunks, self.formulas.dropDuplicates(["formula_id"]), self.diagrams)
+        if self.reranker:
+            told = fusion.rerank(told.join(asked.select("query_id", F.col("raw_text").alias("query_text")), "query_id"), self.reranker)
+        told = written(told, "told")
         answers = context.structured_answer(told, asked)
-        return asked.select("query_id", "raw_text", "query_type", "intent", "domain").join(answers, "query_id", "left").join(fusion.confidence(found), "query_id", "left").join(context.context_string(told), "query_id", "left").fillna(0.0, ["confidence"])
+        around = self.expanded(told).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("position", "chunk_id"))).alias("around"))
+        around = around.select("query_id", F.col("around.chunk_id").alias("context_chunks"))
+        out = asked.select("query_id", "raw_text", "query_type", "intent", "domain").join(answers, "query_id", "left").join(fusion.confidence(told), "query_id", "left")
+        return out.join(context.context_string(told), "query_id", "left").join(around, "query_id", "left").fillna(0.0, ["confidence"])
 
     def search_formulas(self, asked: str, k: int = 10) -> DataFrame:
         """Formulas like a formula (a text with ``=`` or a backslash), else those with the variable."""

@@ -79,4 +79,5 @@ def embed(rows: DataFrame, column: str, model: Callable[[list[str]], list[list[f
         for batch in batches:
             yield pd.Series(model(batch.fillna("").tolist()))
 
-    return rows.withColumn("embedding", text.normalised(run(F.col(column))))
+    # a step of its own: functions of Python cannot stand inside those that go through an array
+    return rows.withColumn("embedding", run(F.col(column))).withColumn("embedding", text.normalised(F.col("embedding")))

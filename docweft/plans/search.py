@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docweft.operators import formulas as formula_ops
 from docweft.operators import keyword_index, vectors
+from docweft.operators.storage import written
 
 OTHER_KIND_FACTOR = 0.9
 
@@ -111,7 +112,7 @@ def diagrams_of_type(diagrams: DataFrame, kind: str, k: int = 20) -> DataFrame:
 
 def diagram_hits(diagrams: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Hits among diagrams (``diagram_id`` and ``embedding``) for queries with an embedding, as a model of the caller's made them."""
-    keyed = diagrams.withColumn("key", F.xxhash64("diagram_id"))
+    keyed = written(diagrams.select("diagram_id", "embedding").withColumn("key", F.monotonically_increasing_id()), "diagram-vectors")
     found = vectors.top_k(keyed, "key", queries, "query_id", k).join(keyed.select("key", "diagram_id"), "key")
     return hits(found, "diagram", "query_id", "diagram_id")
 

@@ -1,6 +1,7 @@
 """Chunking, indices, formulas, relations, fusion and context over small tables, against plain Python."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -257,6 +258,26 @@ def test_engine_end_to_end(spark, tmp_path):
     assert "- **Chapter 1 Forces** (Page 1)" in {r.line for r in reports.table_of_contents(engine.chunks).collect()}
 
 
+def test_engine_with_models_diagrams_and_a_reranker(spark):
+    words = ["force", "acid", "wave", "graph"]
+    model = lambda texts: [[float(w in t.lower()) + 0.01 for w in words] for t in texts]
+    lines = [f"A {words[i % 4]} stands in line {i}. " * 12 for i in range(12)]
+    docs = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    backwards = lambda asked, texts: [-float(re.search(r"line (\d+)", t).group(1)) if t and "line" in t else -99.0 for t in texts]
+    engine = Engine(spark, Settings(chunking="fixed", max_chunk_chars=200, min_chunk_chars=10, context_width=1), model, reranker=backwards).process(docs)
+    engine.take_diagrams(spark.createDataFrame([("D1", "plot", "graph of a wave", 1), ("D2", "flow", "an acid tower", 2)], "diagram_id string, diagram_type string, caption string, page int"))
+    asked = engine.queries(["show the acid tower", "what is a force?"])
+    found = engine.search(asked, 20).collect()
+    assert "D2" in {r.doc_key for r in found if r.query_id == "0"} and {"text", "keyword", "diagram"} >= {r.source for r in found}
+    assert {r.source for r in engine.search(asked, 5, ("keyword",)).collect()} == {"keyword"}
+    answers = {r.query_id: r for r in engine.query(["show the acid tower", "what is a force?"], 6).collect()}
+    order = {r.chunk_id: r.seq for r in engine.chunks.collect()}
+    held = [order[c] for c in answers["1"].context_chunks]
+    assert len(held) == len(set(held)) and {order[c] for c in answers["1"].context_chunks} >= {x for c in held[:1] for x in (c, c + 1)}
+    first = spark.createDataFrame([("1", "text", 0, next(c for c, n in order.items() if n == 5))], "query_id string, source string, rank int, doc_key string")
+    assert [order[r.chunk_id] for r in engine.expanded(first).orderBy("position").collect()] == [5, 4, 6]
+
+
 def test_streaming_ingest_equals_a_full_run(spark, tmp_path):
     from docweft.streaming import ingest
 
