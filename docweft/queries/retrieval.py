@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweft.functions import rules, text
 from docweft.operators import block_index, chunking, keyword_index, vector_graph, vector_lists, vectors
-from docweft.operators.storage import written
+from docweft.operators.storage import shared_place, written
 from docweft.plans import context, fusion, reports, search
 from docweft.plans import query as Q
+from docweft.streaming import versions
 from docweft.queries.base import SQL_CHUNKS, SQL_FORMULAS, SQL_POSTINGS, SQL_QUERIES, SQL_TERMS, Tables, quoted, registered, sql_any, sql_arg_max, sql_capitals, sql_first, sql_terms
 
 # Keyword index
@@ -45,6 +48,19 @@ def keyword_df(t: Tables) -> DataFrame:
     return keyword_index.document_frequency(t.terms(), "doc_id")
 
 
+@registered("keyword_df_incremental", f"WITH {SQL_POSTINGS} SELECT term, count(*) AS df FROM postings GROUP BY 1")
+def keyword_df_incremental(t: Tables) -> DataFrame:
+    """The same from an index that follows changing documents: every second one first came with another text."""
+    place, docs = f"{shared_place(t.spark)}/versions-{uuid.uuid4().hex}", t.read("documents")
+    earlier = docs.filter("doc_id % 2 = 0").select("doc_id", F.lit(1).cast("long").alias("version"), F.concat_ws(" ", "lang", "source").alias("text"))
+    now = docs.select("doc_id", F.lit(2).cast("long").alias("version"), F.coalesce("text", F.lit(" ")).alias("text"))
+    for arrived in (earlier, now.unionByName(earlier)):
+        arrived.write.mode("append").parquet(f"{place}/arrived")
+        versions.follow(t.spark.readStream.schema(arrived.schema).parquet(f"{place}/arrived"), f"{place}/index")
+    versions.compact(t.spark, f"{place}/index")
+    return versions.document_frequency(t.spark, f"{place}/index")
+
+
 @registered("keyword_postings_stats", f"WITH {SQL_TERMS} SELECT count(*) AS n_docs, round(avg(len(terms)), 6) AS avg_dl, max(len(terms))::INTEGER AS max_dl, (SELECT count(DISTINCT term) FROM (SELECT unnest(terms) AS term FROM terms)) AS vocabulary FROM terms")
 def keyword_postings_stats(t: Tables) -> DataFrame:
     terms = t.terms()
