@@ -147,7 +147,8 @@ SPELLINGS = (
 
 #: Copyright lines; not lines of a wrapped text that go on after "copyright" with a notice, holders, laws and the like.
 NOTICE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright(?!\s+(?:notices?|holders?|owners?|laws?|interests?|licen[cs]es?|statements?)\b)|\(c\)|©)[^\n]*$"
-#: The same as the SQL has it: every line that begins with the word.
+#: The same for the SQL, whose patterns cannot look ahead: lines that go on are marked, then every line that begins so is taken.
+GOES_ON = r"(?m)^([^\p{L}\p{N}\n]*)copyright(\s+(?:notices?|holders?|owners?|laws?|interests?|licen[cs]es?|statements?)\b)"
 COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright|\(c\)|©)[^\n]*$"
 
 
@@ -239,7 +240,8 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 
 def _sql_digest(text: str) -> str:
-    plain = f"regexp_replace(lower({text}), '{COPYRIGHT}', '', 'g')"
+    marked = f"regexp_replace(lower({text}), '{GOES_ON}', '\\1markedcopyright\\2', 'g')"
+    plain = f"replace(regexp_replace({marked}, '{COPYRIGHT}', '', 'g'), 'markedcopyright', 'copyright')"
     spelled = f"replace(' ' || regexp_replace({plain}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' ', 'licenc', 'licens')"
     for variant, form in SPELLINGS:
         spelled = f"replace({spelled}, ' {variant} ', ' {form} ')"
@@ -254,7 +256,8 @@ def _quoted(text: str) -> str:
 
 ORACLE_SQL = f"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-given AS (SELECT license, {_sql_digest("known")} AS digest FROM (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in KNOWN)}) AS v(license, known)),
+given AS (SELECT license, {_sql_digest("known")} AS digest FROM (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in KNOWN + WHOLE)}) AS v(license, known)
+    UNION ALL SELECT * FROM (VALUES {", ".join(f"({_quoted(a)}, {_quoted(d)})" for a, _, d in DIGESTS)})),
 known AS (SELECT digest, min(license) AS license FROM given GROUP BY 1),
 paragraphs AS (SELECT license, {_sql_digest("known")} AS digest FROM (VALUES {", ".join(f"({_quoted(a)}, {_quoted(p)})" for a, b in KNOWN + WHOLE for p in parts(b))}) AS v(license, known)),
 units AS (SELECT digest, min(license) AS license FROM (SELECT * FROM given UNION ALL SELECT * FROM paragraphs) GROUP BY 1),

@@ -184,3 +184,16 @@ def test_wrapped_licenses(spark):
     got = {r.doc_id: r.license for r in licenses.scan(docs).collect()}
     assert got == {i: name for i, _, name in rows}
     assert {name for _, _, name in rows} == {"MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "BSL-1.0", "Unlicense"}
+
+
+def test_license_sql_knows_what_the_operator_knows(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(i, f"Copyright (c) 2020 A. Name\n\n{textwrap.fill(text, 60) if i % 2 else text}") for i, (_, text) in enumerate(licenses.KNOWN + licenses.WHOLE)]
+    rows += [(900, "copyright notice and this permission\nCopyright\nholders say\n(c) 1999 X\nno licence"), (901, None)]
+    connection = duckdb.connect()
+    connection.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    connection.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    wanted = connection.execute(licenses.ORACLE_SQL).fetchall()
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "digest", "license", "notices").collect()
+    assert sorted(map(tuple, found)) == sorted(wanted)
+    assert sum(r.license is not None for r in found) >= len(licenses.WHOLE)
