@@ -10,7 +10,7 @@ from docweft.functions import rules
 from docweft.operators import formulas as ops
 from docweft.operators import relations
 from docweft.plans import reports, search
-from docweft.queries.base import SQL_CHUNKS, SQL_CONCEPTS, SQL_FORMULAS, SQL_TYPED, Tables, quoted, registered
+from docweft.queries.base import SQL_CHUNKS, SQL_CONCEPTS, SQL_FORMULAS, SQL_RAW_FORMULAS, SQL_TYPED, Tables, quoted, registered
 
 # Formulas
 
@@ -30,7 +30,12 @@ def latex_plain_text(t: Tables) -> DataFrame:
     return t.formulas().select("chunk_id", "plain_text")
 
 
-@registered("latex_variables")
+#: Commands, letters with a subscript and runs of letters, of which the first counts: what the pattern that looks behind finds.
+_SQL_VARIABLES = r"""list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(latex, '\\[a-zA-Z]+|[a-zA-Z]_\{?[a-zA-Z0-9]+\}?|[a-zA-Z]+'), lambda x: x[1] <> '\'),
+  lambda x: CASE WHEN contains(x, '_') THEN x ELSE x[1] END)))"""
+
+
+@registered("latex_variables", f"WITH {SQL_RAW_FORMULAS} SELECT chunk_id, array_to_string({_SQL_VARIABLES}, ',') AS variables FROM raw")
 def latex_variables(t: Tables) -> DataFrame:
     return t.raw_formulas().select("chunk_id", F.array_join(L.variables(F.col("latex")), ",").alias("variables"))
 
