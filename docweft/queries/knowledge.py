@@ -9,8 +9,8 @@ from docweft.functions import latex as L
 from docweft.functions import rules
 from docweft.operators import formulas as ops
 from docweft.operators import relations
-from docweft.plans import reports, search
-from docweft.queries.base import SQL_CHUNKS, SQL_CONCEPTS, SQL_FORMULAS, SQL_RAW_FORMULAS, SQL_TYPED, Tables, quoted, registered
+from docweft.plans import reports, search, summaries
+from docweft.queries.base import SQL_CHUNKS, SQL_CONCEPTS, SQL_FORMULAS, SQL_RAW_FORMULAS, SQL_TYPED, Tables, quoted, registered, sql_terms
 
 # Formulas
 
@@ -311,6 +311,16 @@ def chapter_summaries(t: Tables) -> DataFrame:
     return reports.chapter_summaries(t.known())
 
 
+_SENTENCES = """SELECT doc_id, i AS pos, s AS sentence FROM (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) - 1 AS i FROM (
+  SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \t\n\r\f\v]+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents))"""
+
+
+@registered("key_sentences", summaries.oracle_sql(_SENTENCES, sql_terms("sentence"), "doc_id"))
+def key_sentences(t: Tables) -> DataFrame:
+    """A summary of every whole document."""
+    return summaries.key_sentences(t.read("documents"), "doc_id")
+
+
 @registered("flashcards", f"""WITH {SQL_FORMULAS}, k AS (WITH {SQL_TYPED} SELECT * FROM typed),
   f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY formula_id) AS n FROM (SELECT DISTINCT doc_id, formula_id, latex, plain_text, domain FROM formulas)),
   s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS n FROM k WHERE chunk_type IN ('definition', 'theorem', 'concept')),
