@@ -82,12 +82,12 @@ class Engine:
         return written(rows.withColumn("number", F.monotonically_increasing_id()), "numbered")
 
     def save(self, path: str) -> None:
-        kept = {"chunks": self.chunks, "formulas": self.formulas}
-        tables.save_index(kept | ({"embedded": self.embedded} if self.embedded is not None else {}), path)
+        kept = {"chunks": self.chunks, "formulas": self.formulas, "embedded": self.embedded, "diagrams": self.diagrams}
+        tables.save_index({name: table for name, table in kept.items() if table is not None}, path)
 
-    def load(self, path: str, embedded: bool = False) -> Engine:
-        found = tables.load_index(self.spark, path, ["chunks", "formulas", *(["embedded"] if embedded else [])])
-        self.chunks, self.formulas, self.embedded = found["chunks"], found["formulas"], found.get("embedded")
+    def load(self, path: str, embedded: bool = False, diagrams: bool = False) -> Engine:
+        found = tables.load_index(self.spark, path, ["chunks", "formulas", *["embedded"] * embedded, *["diagrams"] * diagrams])
+        self.chunks, self.formulas, self.embedded, self.diagrams = found["chunks"], found["formulas"], found.get("embedded"), found.get("diagrams")
         self.index = None
         return self
 

@@ -60,6 +60,11 @@ def build(indexed: DataFrame, key: str) -> Index:
     return Index(key, written(placed, "keyword-index"), written(statistics(indexed), "keyword-totals"))
 
 
+def frequencies(index: Index) -> DataFrame:
+    """How many rows have each term of a written index."""
+    return index.postings.groupBy("term").agg(F.first("df").alias("df"))
+
+
 def bm25(index: Index, queries: DataFrame, query: str, k: int = 10) -> DataFrame:
     """The ``k`` best rows for each query (``query`` and ``terms`` columns) by BM25 over term sets.
 

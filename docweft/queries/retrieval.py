@@ -45,7 +45,7 @@ def bm25_block_topk(t: Tables) -> DataFrame:
 
 @registered("keyword_df", f"WITH {SQL_POSTINGS} SELECT term, count(*) AS df FROM postings GROUP BY 1")
 def keyword_df(t: Tables) -> DataFrame:
-    return keyword_index.document_frequency(t.terms(), "doc_id")
+    return keyword_index.frequencies(t.index())
 
 
 @registered("keyword_df_incremental", f"WITH {SQL_POSTINGS} SELECT term, count(*) AS df FROM postings GROUP BY 1")
@@ -63,9 +63,11 @@ def keyword_df_incremental(t: Tables) -> DataFrame:
 
 @registered("keyword_postings_stats", f"WITH {SQL_TERMS} SELECT count(*) AS n_docs, round(avg(len(terms)), 6) AS avg_dl, max(len(terms))::INTEGER AS max_dl, (SELECT count(DISTINCT term) FROM (SELECT unnest(terms) AS term FROM terms)) AS vocabulary FROM terms")
 def keyword_postings_stats(t: Tables) -> DataFrame:
-    terms = t.terms()
-    sizes = terms.agg(F.count("*").alias("n_docs"), F.round(F.avg(F.size("terms")), 6).alias("avg_dl"), F.max(F.size("terms")).alias("max_dl"))
-    return sizes.join(F.broadcast(terms.select(F.explode("terms").alias("term")).distinct().agg(F.count("*").alias("vocabulary"))))
+    index = t.index()
+    # one row each
+    longest = index.postings.agg(F.coalesce(F.max("dl"), F.lit(0)).alias("max_dl"))
+    vocabulary = keyword_index.frequencies(index).agg(F.count("*").alias("vocabulary"))
+    return index.totals.select("n_docs", F.round("avg_dl", 6).alias("avg_dl")).join(F.broadcast(longest)).join(F.broadcast(vocabulary))
 
 
 @registered("keyword_exact", f"WITH {SQL_TERMS} SELECT doc_id, 1.0::DOUBLE AS score FROM terms WHERE len(list_filter(terms, lambda x: contains(x, 'ention'))) > 0 AND len(list_filter(terms, lambda x: contains(x, 'tionth'))) > 0")

@@ -6,15 +6,28 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Folders that the tables of an index are split into, by document.
+BUCKETS = 64
+
+
 def save_index(tables: dict[str, DataFrame], path: str) -> None:
-    """Writes the tables of an index below a path, split by document where they have one."""
+    """Writes the tables of an index below a path, those with documents in buckets of these (``_bucket``)."""
     for name, table in tables.items():
-        writer = table.write.mode("overwrite")
-        (writer.partitionBy("document_id") if "document_id" in table.columns else writer).parquet(f"{path}/{name}")
+        if "document_id" in table.columns:
+            bucket = F.pmod(F.xxhash64("document_id"), F.lit(BUCKETS)).cast("int")
+            table.withColumn("_bucket", bucket).repartitionByRange("_bucket", "document_id").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/{name}")
+        else:
+            table.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def load_index(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{path}/{name}") for name in names}
+    return {name: spark.read.parquet(f"{path}/{name}").drop("_bucket") for name in names}
+
+
+def of_document(spark: SparkSession, path: str, name: str, document_id: str) -> DataFrame:
+    """The rows of one document of a saved table; only its bucket is read."""
+    bucket = F.pmod(F.xxhash64(F.lit(document_id)), F.lit(BUCKETS)).cast("int")
+    return spark.read.parquet(f"{path}/{name}").filter((F.col("_bucket") == bucket) & (F.col("document_id") == document_id)).drop("_bucket")
 
 
 def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -27,8 +40,8 @@ def write_json(table: DataFrame, path: str) -> None:
 
 
 def write_lines(lines: DataFrame, path: str, order: str = "line_no", column: str = "line") -> None:
-    """Writes the lines of one report, in order, as one text file."""
-    lines.coalesce(1).sortWithinPartitions(order).select(F.col(column).alias("value")).write.mode("overwrite").text(path)
+    """Writes the lines of a report, in order, as text files whose names follow that order."""
+    lines.repartitionByRange(order).sortWithinPartitions(order).select(F.col(column).alias("value")).write.mode("overwrite").text(path)
 
 
 def latest(rows: DataFrame, key: list[str], order: str) -> DataFrame:

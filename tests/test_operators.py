@@ -258,6 +258,19 @@ def test_engine_end_to_end(spark, tmp_path):
     assert "- **Chapter 1 Forces** (Page 1)" in {r.line for r in reports.table_of_contents(engine.chunks).collect()}
 
 
+def test_saved_tables_come_back_and_reports_stay_in_order(spark, tmp_path):
+    rows = spark.createDataFrame([(f"d{i % 150}", i, ["x"]) for i in range(600)], "document_id string, n long, marks array<string>")
+    tables.save_index({"rows": rows, "plain": rows.drop("document_id")}, str(tmp_path))
+    found = tables.load_index(spark, str(tmp_path), ["rows", "plain"])
+    assert sorted(map(tuple, found["rows"].select(rows.columns).collect())) == sorted(map(tuple, rows.collect())) and found["plain"].count() == 600
+    assert len(list((tmp_path / "rows").glob("_bucket=*"))) <= tables.BUCKETS
+    one = tables.of_document(spark, str(tmp_path), "rows", "d7")
+    assert sorted(r.n for r in one.collect()) == [7, 157, 307, 457] and "PartitionFilters: [isnotnull(_bucket" in one._jdf.queryExecution().executedPlan().toString()
+    tables.write_lines(spark.range(500).selectExpr("id AS line_no", "concat('line ', id) AS line").repartition(5), str(tmp_path / "report"))
+    lines = [x for part in sorted((tmp_path / "report").glob("part-*")) for x in part.read_text().splitlines()]
+    assert lines == [f"line {i}" for i in range(500)]
+
+
 def test_engine_with_models_diagrams_and_a_reranker(spark):
     words = ["force", "acid", "wave", "graph"]
     model = lambda texts: [[float(w in t.lower()) + 0.01 for w in words] for t in texts]
