@@ -5,10 +5,11 @@ which it has them; that ordered pair is a key. Unlike plain MinHash keys these a
 too. Two texts are near-duplicates if a banded alignment of their words needs edits for at most a fifth of the
 longer one (edit similarity 0.8 or more).
 
-Exact copies are one text throughout, named by a digest, so a group of them costs one. Candidates are pairs of
-texts that share a key which few texts have, or a crowded one and four fifths of their 5-grams, and any text and the head
-(least member) of each of its keys. Texts meet the heads first, which makes most copies one class; only pairs whose
-classes still differ are compared after that. No number of partners is fixed anywhere.
+Exact copies are one text throughout, named by a digest, so a group of them costs one. Candidates are all pairs of
+texts that share a key. Texts meet the heads (least members) of their keys first, which makes most copies one class; only
+pairs whose classes still differ are compared after that. Of a key that few texts have these are compared pair by pair; among
+the texts of crowded keys an exact join on their rarest words finds all that can be alike. No number of partners is
+fixed anywhere.
 """
 
 from __future__ import annotations
@@ -31,27 +32,23 @@ SIMILARITY = 0.8
 #: J squared: with one word in ten changed J is 0.42 and they share 11 of 64 keys, with one in twenty 25.
 KEYS = 64
 KEEP = 2
-#: Candidates share a key that at most ``FEW`` texts have, or any key and this share of their k-mers. Texts with 80 %
-#: common k-mers share no key once in 10^25, texts with every tenth word replaced once in 10^5, with every fifth once in 12.
+#: Of a key that at most ``FEW`` texts have, all pairs are compared; those of the other keys are found by their rarest words.
 FEW = 16
-SHARED_KMERS = 0.8
-#: K-mers that a text of a crowded key retains besides, of those that are not in very many texts: two such texts are
-#: candidates, too, if they retain one in common that at most ``FEW`` of them do.
-SEEN = 16
-#: Counters of the table that orders k-mers by how many texts have them.
-COUNTERS = 1 << 23
+#: Rare words that two texts of crowded keys have in common at least. A larger number reads more words and compares fewer pairs.
+RARE = 4
+#: Counters of the table that orders words by how many texts have them.
+COUNTERS = 1 << 22
 #: Longer texts are aligned piece by piece between words that both have once; pieces without such words that have over
 #: four times as many words are aligned diagonal by diagonal.
 PIECE = 1_000
 #: Words compared at once along a diagonal.
 STRIDE = 32
-#: Cells of alignments held at once, and pairs compared at once.
-CELLS = 500_000
+#: Texts or pairs read at once.
 PAIRS = 512
 #: Bits of the bitmap that tells which texts have to be compared.
 MARKS = 1 << 26
-#: Parts among which the pairs of one head are dealt.
-SALTS = 1024
+#: Pairs of one head that a part gets, about.
+DEALT = 64
 
 _SEEDS = mix(np.arange(1, KEYS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _TIMES = np.uint64(0x9E3779B97F4A7C15)
@@ -118,33 +115,33 @@ def order_min_hash(hashes: np.ndarray, bounds: np.ndarray, keys: int = KEYS, kee
     return found
 
 
-def least_edits(a: list[np.ndarray], b: list[np.ndarray], band: int) -> np.ndarray:
-    """The fewest words to insert, delete or replace between sequences, of alignments within ``band`` of the diagonal.
-
-    All pairs are aligned at once, each step one word of the first sequences further.
-    """
-    pairs, far = len(a), 1 << 28
-    la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    left = np.zeros((pairs, la.max()), np.uint64)
-    right = np.zeros((pairs, max(la.max(), lb.max()) + 2 * band + 2), np.uint64)
-    for i in range(pairs):
-        left[i, : la[i]] = a[i]
-        right[i, band + 1 : band + 1 + lb[i]] = b[i]
-    width = 2 * band + 1
-    shift = np.arange(-band, band + 1, dtype=np.int32)
-    # before any word of a: only words of b are left out
-    cell = np.where((shift >= 0) & (shift <= lb[:, None]), shift, far).astype(np.int32)
-    result = np.where(la == 0, cell[np.arange(pairs), np.clip(lb + band, 0, width - 1)], far)
-    edge = np.full((pairs, 1), far, np.int32)
-    for i in range(1, int(la.max()) + 1):
-        j = i + shift
-        across = np.where(j >= 1, cell + (left[:, i - 1 : i] != right[:, i : i + width]), far)
-        base = np.minimum(across, np.concatenate([cell[:, 1:] + 1, edge], axis=1))
-        cell = np.where((j >= 0) & (j <= lb[:, None]), np.minimum.accumulate(base - shift, axis=1) + shift, far).astype(np.int32)
-        done = np.flatnonzero(la == i)
-        if len(done):
-            result[done] = cell[done, np.clip(lb[done] - i + band, 0, width - 1)]
-    return np.where(np.abs(la - lb) <= band, result, far)
+def least_edits(a: list[np.ndarray], b: list[np.ndarray], most: int | list[int]) -> list[int]:
+    """For each pair of sequences, the fewest words to insert, delete or replace, or ``most`` + 1 if they are more."""
+    bounds = [most] * len(a) if isinstance(most, int) else most
+    return [_edits(x, y, n) for x, y, n in zip(a, b, bounds, strict=True)]
+
+
+def _edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    """``least_edits`` of one pair, by columns of the table of edits as integers: a bit tells for each word of ``a`` whether the number rises or falls there."""
+    n, full = len(a), (1 << len(a)) - 1
+    if not n or abs(n - len(b)) > most:
+        return min(max(n, len(b)), most + 1)
+    places: dict[int, int] = {}
+    for i, word in enumerate(a.tolist()):
+        places[word] = places.get(word, 0) | 1 << i
+    up, down, edits, left = full, 0, n, len(b)
+    for word in b.tolist():
+        same = places.get(word, 0)
+        across = (((same & up) + up) ^ up) | same
+        rises, falls = down | (full & ~(across | up)), up & across
+        edits += (rises >> (n - 1) & 1) - (falls >> (n - 1) & 1)
+        left -= 1
+        if edits - left > most:  # each word to come takes back one at most
+            return most + 1
+        rises, falls = rises << 1 | 1, falls << 1
+        same |= down
+        up, down = full & (falls | ~(same | rises)), full & rises & same
+    return edits
 
 
 def edits_within(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -232,14 +229,18 @@ def _pieces(a: np.ndarray, b: np.ndarray) -> tuple[list[tuple[np.ndarray, np.nda
     return pieces, large
 
 
+def _edits_allowed(sizes: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """How many edits two texts may need, the longer of which has so many words."""
+    return ((1 - similarity) * sizes + 1e-9).astype(np.int64)
+
+
 def alike(a: list[np.ndarray], b: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
     """For each pair of word sequences, whether an alignment edits at most 1 - ``similarity`` of the longer one.
 
-    The band starts narrow and widens until the pair is decided. Sequences over ``PIECE`` words are aligned piece by
-    piece, so the work grows with their length; pieces are cut at words that both have once, in the same order. Where
-    there are none, the work grows with the length times the edits.
+    Sequences over ``PIECE`` words are aligned piece by piece, so the work grows with their length; pieces are cut at
+    words that both have once, in the same order. Where there are none, the work grows with the length times the edits.
     """
-    most = [int((1 - similarity) * max(len(x), len(y)) + 1e-9) for x, y in zip(a, b, strict=True)]
+    most = _edits_allowed(np.array([max(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64), similarity)
     found = np.zeros(len(a), bool)
     spent = np.zeros(len(a), np.int64)
     tasks: list[tuple[int, np.ndarray, np.ndarray]] = []
@@ -255,23 +256,8 @@ def alike(a: list[np.ndarray], b: list[np.ndarray], similarity: float = SIMILARI
             pieces, large = _pieces(x, y)
             tasks += [(i, p, q) for p, q in pieces]
             larger += [(i, p, q) for p, q in large]
-    band = 8
-    while tasks:
-        tasks = [t for t in tasks if spent[t[0]] <= most[t[0]]]
-        tasks.sort(key=lambda t: max(len(t[1]), len(t[2])))
-        waiting, at = [], 0
-        while at < len(tasks):
-            size, wide = 1, CELLS // (2 * band + 1)
-            while at + size < len(tasks) and size < wide and (size + 1) * (max(len(tasks[at + size][1]), len(tasks[at + size][2])) + 2 * band) <= CELLS:
-                size += 1
-            chosen = tasks[at : at + size]
-            at += size
-            for task, e in zip(chosen, least_edits([t[1] for t in chosen], [t[2] for t in chosen], band).tolist(), strict=True):
-                if e > band and band < min(most[task[0]], max(len(task[1]), len(task[2]))):  # a wider alignment may be better
-                    waiting.append(task)
-                else:
-                    spent[task[0]] += e
-        tasks, band = waiting, band * 4
+    of = [i for i, _, _ in tasks]
+    np.add.at(spent, np.array(of, np.int64), least_edits([x for _, x, _ in tasks], [y for _, _, y in tasks], most[of].tolist()))
     for i, x, y in larger:  # what the short pieces left of the edits is what these may take
         if spent[i] <= most[i]:
             spent[i] += edits_within(x, y, int(most[i] - spent[i]))
@@ -369,10 +355,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
     """``a``, ``b`` and whether they are alike, for distinct pairs of texts.
 
-    The pairs of one ``b`` are dealt among many parts, each of which gets its words once and before the others: a
-    text that a large class meets is neither one task nor copied into every pair.
+    The pairs of one ``b`` are dealt among as many parts as they need, each of which gets its words once and before the
+    others: a text that a large class meets is neither one task nor copied into every pair.
     """
-    salted = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int").alias("salt"))
+    counted = counted_join(pairs, pairs.groupBy("b").agg(F.count("*").alias("n")), "b")
+    salted = counted.select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / DEALT)).cast("int").alias("salt"))
     heads = salted.select("b", "salt").distinct().select("b", "salt", F.lit(None).cast("long").alias("a"))
     # one join brings the words of both sides
     asked = salted.select("b", "salt", "a").unionByName(heads).withColumn("node", F.coalesce("a", "b"))
@@ -386,36 +373,34 @@ def _counter(labelled: np.ndarray) -> np.ndarray:
 
 
 def _words_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """The labelled k-mers of texts given as word hashes, and where each text's begin."""
+    """The words of texts given as word hashes, labelled by occurrence, and where each text's begin."""
     lists = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column("words")]
-    return labelled_kmers(np.concatenate([np.zeros(0, np.uint64), *lists]), np.cumsum([0, *map(len, lists)]))
+    return labelled_kmers(np.concatenate([np.zeros(0, np.uint64), *lists]), np.cumsum([0, *map(len, lists)]), 1)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often each counter is met by the k-mers of a partition."""
+    """How often each counter is met by the words of a partition."""
     counts = np.zeros(COUNTERS, np.int32)
     for batch in batches:
         for at in range(0, batch.num_rows, PAIRS):
             counter, n = np.unique(_counter(_words_of(batch.slice(at, PAIRS))[0]), return_counts=True)
             counts[counter] += n.astype(np.int32)
     met = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(counts[met].astype(np.int64))], names=["counter", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(counts[met].astype(np.int64))], names=["counter", "n"])
 
 
-def _rare_kmers(texts: DataFrame) -> DataFrame:
-    """The rarest k-mers of each text, of which two texts with ``SHARED_KMERS`` of all in common share one.
+def _rare_words(texts: DataFrame) -> DataFrame:
+    """The rarest words of each text, of which two texts that are alike have ``RARE`` in common (or all that they need).
 
-    ``place`` counts from the rarest of the text, ``size`` is the number of its k-mers; k-mers of one text only are
-    left out. The order is the same for all texts: by a table of fixed size that counts k-mers, then by hash. Rows with
-    a null ``place`` are the ``SEEN`` k-mers with the least hashes, without those of many texts (boilerplate); they have
-    nothing but ``node`` and ``kmer``.
+    A text of ``size`` words and one that is alike have at least ``need`` in common, the larger of their two numbers: an
+    edit changes one word. ``place`` counts from the rarest word of the text; words of one text only are left out. The
+    order is the same for all texts: by a table of fixed size that counts words, then by hash.
     """
-    met = texts.select("words").mapInArrow(_counted, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
+    met = texts.select("words").mapInArrow(_counted, "counter int, n long").groupBy("counter").agg(F.least(F.sum("n"), F.lit(np.iinfo(np.int32).max)).cast("int").alias("n"))
     found = met.filter("n > 1").toArrow()  # at most COUNTERS rows in all
     counts = np.ones(COUNTERS, np.int32)
-    counts[found.column("counter").to_numpy()] = np.minimum(found.column("n").to_numpy(), np.iinfo(np.int32).max)
-    load = (texts.agg(F.sum("n_words")).first()[0] or 0) / COUNTERS  # k-mers that meet in a counter by chance
-    many = 4 * FEW + load + 6 * load**0.5
+    counts[found.column("counter").to_numpy()] = found.column("n").to_numpy()
+    del found
     sent = texts.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -424,57 +409,66 @@ def _rare_kmers(texts: DataFrame) -> DataFrame:
                 part = batch.slice(at, PAIRS)
                 labelled, begins = _words_of(part)
                 sizes = np.diff(begins)
+                need = sizes - _edits_allowed(sizes)
                 owner = np.repeat(np.arange(len(sizes)), sizes)
                 often = sent.value[_counter(labelled)]
                 order = np.lexsort((labelled, often, owner))
                 place = np.arange(len(order)) - begins[owner]
-                first = np.flatnonzero((place < (sizes - np.ceil(SHARED_KMERS * sizes - 1e-9) + 1)[owner]) & (often[order] > 1))
-                seen = np.flatnonzero((often > 1) & (often <= many))
-                seen = seen[np.lexsort((labelled[seen], owner[seen]))]
-                held = np.concatenate([[0], np.cumsum(np.bincount(owner[seen], minlength=len(sizes)))])
-                seen = seen[np.arange(len(seen)) - held[owner[seen]] < SEEN]
-                none, of = pa.nulls(len(seen), pa.int64()), pa.array(owner[first])
-                columns = [pa.concat_arrays([part.column("node").take(pa.array(owner[x])) for x in (first, seen)])]
-                columns += [pa.concat_arrays([part.column(c).take(of), none]) for c in ("label", "n_words")]
-                columns += [pa.array(labelled[np.concatenate([order[first], seen])].view(np.int64))]
-                columns += [pa.concat_arrays([pa.array(x), none]) for x in (place[first], sizes[owner[first]])]
-                yield pa.RecordBatch.from_arrays(columns, names=["node", "label", "n_words", "kmer", "place", "size"])
+                first = np.flatnonzero((place < (sizes - need + RARE)[owner]) & (often[order] > 1))
+                of = owner[first]
+                columns = [part.column(c).take(pa.array(of)) for c in ("node", "label")]
+                columns += [pa.array(labelled[order[first]].view(np.int64)), *[pa.array(x.astype(np.int32)) for x in (place[first], sizes[of], need[of])]]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "label", "word", "place", "size", "need"])
+
+    return texts.mapInArrow(run, "node long, label long, word long, place int, size int, need int")
 
-    return texts.mapInArrow(run, "node long, label long, n_words long, kmer long, place long, size long")
+
+def _sides(rows: DataFrame, *shared: str) -> list[DataFrame]:
+    """The rows as either side of pairs: all columns but the shared ones are named for their side."""
+    return [rows.select(*[F.col(c).alias(c if c in shared else f"{c}_{x}") for c in rows.columns]) for x in "ab"]
+
+
+def _crowded_pairs(crowd: DataFrame) -> DataFrame:
+    """All pairs of texts of different classes that may be alike: none is left out that has the edit similarity.
+
+    Such texts have their rarest words in common, and the place of the first of these bounds how many words they share. Where
+    most pairs of a word's texts are of one class, classes meet before their texts do, so that work grows with the pairs of
+    different classes, not with the size of a class.
+    """
+    rare = written(_rare_words(crowd), "rare")
+    classes_of = rare.groupBy("word", "label").agg(F.count("*").alias("n")).groupBy("word").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"))
+    mixed = written(classes_of.filter("labels > 1").select("word", F.expr("2 * within > n * n").alias("by_class")), "words-met")
+    rare = rare.join(mixed, "word")
+    a, b = _sides(rare.filter("NOT by_class").drop("by_class"), "word")
+    pairs = a.join(b, "word").filter("label_a < label_b").drop("word")
+    dense = rare.filter("by_class").drop("by_class")
+    a, b = _sides(dense.select("word", "label").distinct(), "word")
+    meeting = a.join(b, "word").filter("label_a < label_b")
+    a, b = _sides(dense, "word")
+    pairs = pairs.unionByName(meeting.join(a, ["word", "label_a"]).join(b, ["word", "label_b"]).select(pairs.columns))
+    need = F.expr("greatest(need_a, need_b)")
+    pairs = pairs.filter(F.expr("least(size_a, size_b)") >= need)
+    # of a pair's common words, the rarest decides whether enough others can follow
+    enough = F.max(F.expr("least(size_a - place_a, size_b - place_b)") >= need).alias("enough")
+    met = pairs.groupBy("node_a", "node_b").agg(enough, F.count("*").alias("n"), F.first(need).alias("need"))
+    return met.filter(F.col("enough") & (F.col("n") >= F.least(F.lit(RARE), "need"))).select("node_a", "node_b")
 
 
 def _open_pairs(members: DataFrame, labels: DataFrame, sequences: DataFrame) -> DataFrame:
-    """Candidates whose classes differ and whose lengths allow them to be alike.
+    """Pairs that share a key, whose classes differ and that may be alike.
 
-    Of a key that few texts have, all pairs; of the other keys, pairs with ``SHARED_KMERS`` of their k-mers in common,
-    none left out (they share one of their rarest, and its place bounds how many they can share), and pairs that retain
-    a k-mer in common which few texts do.
+    Of a key that few texts have, all pairs whose lengths allow it; of the other keys, all pairs whose words allow it.
     """
     named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("key", "node", "n", "n_words", "label")
     apart = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
     left = written(named.join(apart, "key", "left_semi"), "open-keys")
-    crowd = written(left.filter(F.col("n") > FEW).select("node", "label", "n_words").distinct(), "crowded")
-    held = written(sequences.join(hint(crowd), "node"), "crowd")
-    rare = written(_rare_kmers(held), "rare")
-    discard(held)
-
-    def sides(rows: DataFrame) -> list[DataFrame]:
-        return [rows.select(rows.columns[0], *[F.col(c).alias(f"{c}_{x}") for c in rows.columns[1:]]) for x in "ab"]
-
-    open_ = (F.expr("node_a > node_b AND label_a <> label_b")) & (F.least("n_words_a", "n_words_b") + 1e-9 >= SIMILARITY * F.greatest("n_words_a", "n_words_b"))
-    a, b = sides(left.filter(F.col("n") <= FEW).select("key", "node", "label", "n_words"))
-    few = a.join(b, "key").filter(open_)
-    # Jaccard similarity s takes s / (1 + s) of both sizes
-    enough = F.least(F.expr("size_a - place_a"), F.expr("size_b - place_b")) * (1 + SHARED_KMERS) >= SHARED_KMERS * F.expr("size_a + size_b") - 1e-6
-    a, b = sides(rare.filter("place IS NOT NULL").select("kmer", "node", "label", "n_words", "place", "size"))
-    many = a.join(b, "kmer").filter(open_ & enough)
-    seen = rare.filter("place IS NULL").select("node", "kmer")
-    seldom = seen.groupBy("kmer").agg(F.count("*").alias("n")).filter((F.col("n") > 1) & (F.col("n") <= FEW)).select("kmer")
-    seen = written(seen.join(hint(written(seldom, "seldom"), 10 * BROADCAST_ROWS), "kmer"), "seen")
-    met = seen.withColumnRenamed("node", "node_a").join(seen.withColumnRenamed("node", "node_b"), "kmer").filter("node_a > node_b").select("node_a", "node_b").distinct()
-    a, b = sides(crowd.select("node", "label", "n_words"))
-    besides = met.join(a.withColumnRenamed("node", "node_a"), "node_a").join(b.withColumnRenamed("node", "node_b"), "node_b").filter(open_)
-    return few.select("node_a", "node_b").union(many.select("node_a", "node_b")).union(besides.select("node_a", "node_b")).distinct().toDF("a", "b")
+    a, b = _sides(left.filter(F.col("n") <= FEW).select("key", "node", "label", "n_words"), "key")
+    fits = F.least("n_words_a", "n_words_b") + 1e-9 >= SIMILARITY * F.greatest("n_words_a", "n_words_b")
+    few = a.join(b, "key").filter(F.expr("node_a > node_b AND label_a <> label_b") & fits).select("node_a", "node_b")
+    crowd = left.filter(F.col("n") > FEW).select("node", "label").distinct()
+    crowd = written(sequences.join(hint(crowd), "node"), "crowd")
+    many = _crowded_pairs(crowd).select(F.greatest("node_a", "node_b").alias("node_a"), F.least("node_a", "node_b").alias("node_b"))
+    return few.union(many).distinct().toDF("a", "b")
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -494,7 +488,9 @@ def links(unique: DataFrame, texts: DataFrame) -> DataFrame:
 
     met = members.filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     # the least head of a text first: a class of copies mostly has it in common, and is one class after that
-    results = _verified(met.groupBy("a").agg(F.min("b").alias("b")), sequences)
+    first = written(met.groupBy("a").agg(F.min("b").alias("b")), "pairs")
+    results = _verified(first, sequences)
+    discard(first)
     sized = members.join(unique.select("node", "n_words"), "node")
     for rest in (lambda labels: _apart(met.distinct(), labels), lambda labels: _open_pairs(sized, labels, sequences)):
         labels = components(results.filter("alike"))

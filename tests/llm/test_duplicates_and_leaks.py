@@ -144,6 +144,42 @@ def test_recall_behind_boilerplate(spark, shared):
     assert np.mean([got[n] == n - 1 for n in texts if n % 2]) >= 0.9
 
 
+def test_crowded_keys_lose_no_pair(spark):
+    """Among texts that all share a passage: pairs whose other words have no 5-gram in common, up to the threshold."""
+    rng = random.Random(34)
+    passage, texts = text(rng, 100), {}
+    for n in range(40):
+        base = text(rng, 100, 10**6).split()
+        # every run of five words has an edit, those that go into the passage as well
+        other = [f"new{n}x{place}" if place % 5 == (4 if place < 50 else 0) or n % 2 and place % 5 == 2 else w for place, w in enumerate(base)]
+        for words in (base, other):
+            texts[len(texts)] = " ".join([*words[:50], passage, *words[50:]])
+    got = found_classes(spark, texts)
+    assert got == brute_classes(texts, brute_links(texts, similarity, nd.SIMILARITY))
+    assert all(got[n] == n - n % 2 for n in texts)
+
+
+def test_pairs_of_crowded_texts_against_brute_force(spark):
+    """Texts of few words and one large class: every pair of different classes that is alike is a candidate."""
+    rng = random.Random(35)
+    hashes = lambda t: np.array([int(w[1:]) for w in t.split()], np.uint64)
+    bases = [text(rng, size, vocabulary) for size, vocabulary in ((3, 4), (9, 5), (30, 8), (60, 300)) for _ in range(4)]
+    texts = [base for base in bases for _ in range(12)]
+    for n, source in enumerate(texts):
+        words = source.split()
+        for place in sorted(rng.sample(range(len(words)), rng.randint(0, len(words) // 4)), reverse=True):
+            words[place : place + 1] = rng.choice([[], [f"w{rng.randrange(9)}"], [words[place], "w1"]])
+        texts[n] = " ".join(words)
+    texts += [" ".join([*bases[-1].split()[:-1], f"w{1000 + i}"]) for i in range(60)]
+    label = [i if i < 192 else 500 for i in range(len(texts))]
+    rows = [(i, label[i], hashes(t).tobytes()) for i, t in enumerate(texts)]
+    met = nd._crowded_pairs(spark.createDataFrame(rows, "node long, label long, words binary"))
+    found = {tuple(sorted(r)) for r in met.collect()}
+    want = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if label[i] != label[j] and nd.alike([hashes(texts[i])], [hashes(texts[j])])[0]}
+    assert len(want) > 100 and want <= found
+    assert all(label[i] != label[j] for i, j in found)
+
+
 def test_long_texts_of_few_words(spark):
     rng = random.Random(32)
     texts = {}
