@@ -221,6 +221,7 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> Model | None:
     x = np.zeros((len(language), FEATURES), np.float32)
     x[row, ids.flatten().to_numpy()] = counts / total[row]
     del rows, ids, counts, row
+    pa.default_memory_pool().release_unused()
     profile = _profile(x, total, language)
     mean = x.mean(axis=0)
     spread = np.sqrt(np.maximum(np.einsum("ij,ij->j", x, x) / len(x) - mean * mean, 0))

@@ -295,7 +295,7 @@ def _bitmap(rows: DataFrame, number: Column) -> np.ndarray:
 
 
 def _shared_keys(unique: DataFrame, groups: DataFrame) -> DataFrame:
-    """The keys of each text (``node``, ``key``) that may be among ``groups``; a bitmap keeps most others out of the shuffle."""
+    """The keys of each text that are among ``groups``, written; a bitmap keeps most others out of the shuffle."""
     sent = unique.sparkSession.sparkContext.broadcast(_bitmap(groups, F.pmod("key", F.lit(MARKS)) + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,11 +306,14 @@ def _shared_keys(unique: DataFrame, groups: DataFrame) -> DataFrame:
             kept = np.flatnonzero(sent.value[place >> 3] >> (place & 7).astype(np.uint8) & 1)
             yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(np.repeat(np.arange(len(sizes)), sizes)[kept])), pa.array(keys[kept])], names=["node", "key"])
 
-    return unique.select("node", F.array_distinct("keys").alias("keys")).mapInArrow(run, "node long, key long")
+    keys = unique.select("node", F.array_distinct("keys").alias("keys")).mapInArrow(run, "node long, key long")
+    found = written(counted_join(keys, groups, "key"), "members")
+    sent.destroy()  # the driver holds it, too
+    return found
 
 
 def _word_lists(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The word hashes of the wanted texts (``node``, and ``digest`` and ``doc_id`` of their first rows).
+    """The word hashes of the wanted texts (``node``, and ``digest`` and ``doc_id`` of their first rows), written.
 
     A bitmap of fixed size tells every task which rows may be wanted, so that only their words, and no texts or
     further copies, go on to the join that decides.
@@ -330,7 +333,9 @@ def _word_lists(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("digest").cast(pa.binary()), pa.array(lists, pa.binary())], names=["digest", "words"])
 
     found = texts.select("digest", "text", place.alias("place")).mapInArrow(run, "digest binary, words binary")
-    return found.dropDuplicates(["digest"]).join(wanted.select("digest", "node"), "digest").select("node", "words")
+    found = written(found.dropDuplicates(["digest"]).join(wanted.select("digest", "node"), "digest").select("node", "words"), "words")
+    sent.destroy()
+    return found
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,7 +395,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rare_words(texts: DataFrame) -> DataFrame:
-    """The rarest words of each text, of which two texts that are alike have ``RARE`` in common (or all that they need).
+    """The rarest words of each text, written, of which two texts that are alike have ``RARE`` in common (or all that they need).
 
     A text of ``size`` words and one that is alike have at least ``need`` in common, the larger of their two numbers: an
     edit changes one word. ``place`` counts from the rarest word of the text; words of one text only are left out. The
@@ -420,7 +425,9 @@ def _rare_words(texts: DataFrame) -> DataFrame:
                 columns += [pa.array(labelled[order[first]].view(np.int64)), *[pa.array(x.astype(np.int32)) for x in (place[first], sizes[of], need[of])]]
                 yield pa.RecordBatch.from_arrays(columns, names=["node", "label", "word", "place", "size", "need"])
 
-    return texts.mapInArrow(run, "node long, label long, word long, place int, size int, need int")
+    found = written(texts.mapInArrow(run, "node long, label long, word long, place int, size int, need int"), "rare")
+    sent.destroy()
+    return found
 
 
 def _sides(rows: DataFrame, *shared: str) -> list[DataFrame]:
@@ -435,7 +442,7 @@ def _crowded_pairs(crowd: DataFrame) -> DataFrame:
     most pairs of a word's texts are of one class, classes meet before their texts do, so that work grows with the pairs of
     different classes, not with the size of a class.
     """
-    rare = written(_rare_words(crowd), "rare")
+    rare = _rare_words(crowd)
     classes_of = rare.groupBy("word", "label").agg(F.count("*").alias("n")).groupBy("word").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"))
     mixed = written(classes_of.filter("labels > 1").select("word", F.expr("2 * within > n * n").alias("by_class")), "words-met")
     rare = rare.join(mixed, "word")
@@ -482,9 +489,9 @@ def links(unique: DataFrame, texts: DataFrame) -> DataFrame:
     """Verified pairs ``a``, ``b`` of texts (nodes) that are near-duplicates, enough to connect all classes."""
     keyed = unique.select("node", F.explode(F.array_distinct("keys")).alias("key"))
     groups = written(keyed.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1"), "groups")
-    members = written(counted_join(_shared_keys(unique, groups), groups, "key"), "members")
+    members = _shared_keys(unique, groups)
     discard(groups)
-    sequences = written(_word_lists(texts, unique.select("node", "digest", "doc_id").join(members.select("node").distinct(), "node")), "words")
+    sequences = _word_lists(texts, unique.select("node", "digest", "doc_id").join(members.select("node").distinct(), "node"))
 
     met = members.filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     # the least head of a text first: a class of copies mostly has it in common, and is one class after that

@@ -237,13 +237,23 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, penalty: f
         changed.append(column[kept[~real]])
         signs.append(np.where(ids[kept[~real]] < 0, -1.0, 1.0))
         n_texts, n_forms = n_texts + int((kind == 0).sum()), n_forms + int((kind > 0).sum())
-    label = np.concatenate(labels_of)
-    swaps = Swaps(np.concatenate(forms), np.concatenate(changed), np.concatenate(signs), n_forms)
+    # the driver holds the entries of the used features once, and none of the others, while it fits
+    del table, held, kind, sizes, ids, column, kept, entry, real, text, form, seen
+    pa.default_memory_pool().release_unused()
+    label = _joined(labels_of)
+    swaps = Swaps(_joined(forms), _joined(changed), _joined(signs), n_forms)
     weight = np.where(label == 1, totals[1] / count[1], totals[0] / count[0]) / total
-    bias, weights = _descend(np.concatenate(rows), np.concatenate(columns), len(used), label, weight, swaps, base, penalty)
+    bias, weights = _descend(_joined(rows), _joined(columns), len(used), label, weight, swaps, base, penalty)
     return Model(used, weights, bias)
 
 
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    """The parts as one array; the list is emptied, as both need not be held."""
+    found = np.concatenate(parts)
+    parts.clear()
+    return found
+
+
 def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a batch of ``_featurise``: each form's kind, label and number of features, and all features."""
     form, lists = batch.column("form").to_numpy(), batch.column("ids")

@@ -1,6 +1,7 @@
 """Near-duplicates and benchmark decontamination against brute force."""
 
 import itertools
+import os
 import random
 import re
 
@@ -180,6 +181,15 @@ def test_pairs_of_crowded_texts_against_brute_force(spark):
     assert all(label[i] != label[j] for i, j in found)
 
 
+def test_broadcast_tables_are_given_back(spark, monkeypatch):
+    """Bitmaps and counters that were sent to tasks leave the driver when the tables made with them are written."""
+    sent, send = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: sent.append(send(value)) or sent[-1])
+    passage = " ".join(f"p{i}" for i in range(60))
+    found_classes(spark, {n: f"{passage} own{n} text{n}" + " of its own" * n for n in range(30)})
+    assert len(sent) >= 3 and not any(os.path.exists(x._path) for x in sent)
+
+
 def test_long_texts_of_few_words(spark):
     rng = random.Random(32)
     texts = {}
