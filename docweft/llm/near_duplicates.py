@@ -36,6 +36,8 @@ KEEP = 2
 FEW = 16
 #: Rare words that two texts of crowded keys have in common at least. A larger number reads more words and compares fewer pairs.
 RARE = 4
+#: Ranges of sizes from a text's own to the longest that it may be alike with: more of them make more keys and fewer pairs.
+RANGES = 12
 #: Counters of the table that orders words by how many texts have them.
 COUNTERS = 1 << 22
 #: Longer texts are aligned piece by piece between words that both have once; pieces without such words that have over
@@ -373,6 +375,11 @@ def _verified(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
     return written(rows.select("a", "b", "words").mapInArrow(_compare, "a long, b long, alike boolean"), "compared")
 
 
+def _size_range(sizes: np.ndarray) -> np.ndarray:
+    """The number of the range that a text's size is in: ``RANGES`` of them make up the sizes that it may be alike with."""
+    return np.floor(np.log(np.maximum(sizes, 1)) * (RANGES / np.log(1 / SIMILARITY)) + 1e-9).astype(np.int64)
+
+
 def _counter(labelled: np.ndarray) -> np.ndarray:
     return (labelled % np.uint64(COUNTERS)).astype(np.int64)
 
@@ -383,30 +390,51 @@ def _words_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return labelled_kmers(np.concatenate([np.zeros(0, np.uint64), *lists]), np.cumsum([0, *map(len, lists)]), 1)
 
 
+def _range_bit(ranges: np.ndarray) -> np.ndarray:
+    return np.int32(1) << (ranges % 31).astype(np.int32)
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often each counter is met by the words of a partition."""
-    counts = np.zeros(COUNTERS, np.int32)
+    """How often each counter is met by the words of a partition, and the ranges of sizes of their texts as bits."""
+    counts, ranges = np.zeros(COUNTERS, np.int32), np.zeros(COUNTERS, np.int32)
     for batch in batches:
         for at in range(0, batch.num_rows, PAIRS):
-            counter, n = np.unique(_counter(_words_of(batch.slice(at, PAIRS))[0]), return_counts=True)
+            labelled, begins = _words_of(batch.slice(at, PAIRS))
+            sizes = np.diff(begins)
+            met = _counter(labelled)
+            np.bitwise_or.at(ranges, met, np.repeat(_range_bit(_size_range(sizes)), sizes))
+            counter, n = np.unique(met, return_counts=True)
             counts[counter] += n.astype(np.int32)
     met = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(counts[met].astype(np.int64))], names=["counter", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(counts[met].astype(np.int64)), pa.array(ranges[met])], names=["counter", "n", "ranges"])
+
 
+def _longest(common: np.ndarray) -> np.ndarray:
+    """The most words that a text may have of which another one, alike, has so many in common."""
+    size = common + common // 4 + 2
+    for _ in range(4):
+        size -= size - _edits_allowed(size) > common
+    return size
 
-def _rare_words(texts: DataFrame) -> DataFrame:
-    """The rarest words of each text, written, of which two texts that are alike have ``RARE`` in common (or all that they need).
 
-    A text of ``size`` words and one that is alike have at least ``need`` in common, the larger of their two numbers: an
-    edit changes one word. ``place`` counts from the rarest word of the text; words of one text only are left out. The
-    order is the same for all texts: by a table of fixed size that counts words, then by hash.
+def _rare_words(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What two texts that are alike have in common, written: a ``key``, and ``RARE`` of their rarest words (or all that they need).
+
+    A text of ``size`` words and a shorter one (or of equal size) that is alike have at least ``need`` in common: an edit
+    changes one word. Words stand in an order that is the same for all texts: by a table of fixed size that counts words,
+    then by hash; those of one text only are left out. After the first common word ``need`` - 1 others must follow in
+    either text, so it stands among the first of the longer one, and its place in the shorter one bounds how long the other
+    may be. A key is a word and a narrow range of sizes: each text has it under its ``own`` size, and under those of longer
+    texts that it may meet by that word. The second table has each text's ``rarest`` words and their ``places``.
     """
-    met = texts.select("words").mapInArrow(_counted, "counter int, n long").groupBy("counter").agg(F.least(F.sum("n"), F.lit(np.iinfo(np.int32).max)).cast("int").alias("n"))
+    met = texts.select("words").mapInArrow(_counted, "counter int, n long, ranges int").groupBy("counter")
+    met = met.agg(F.least(F.sum("n"), F.lit(np.iinfo(np.int32).max)).cast("int").alias("n"), F.bit_or("ranges").alias("ranges"))
     found = met.filter("n > 1").toArrow()  # at most COUNTERS rows in all
-    counts = np.ones(COUNTERS, np.int32)
-    counts[found.column("counter").to_numpy()] = found.column("n").to_numpy()
+    table = np.ones((2, COUNTERS), np.int32)
+    for held, name in zip(table, ("n", "ranges"), strict=True):
+        held[found.column("counter").to_numpy()] = found.column(name).to_numpy()
     del found
-    sent = texts.sparkSession.sparkContext.broadcast(counts)
+    sent = texts.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -416,49 +444,75 @@ def _rare_words(texts: DataFrame) -> DataFrame:
                 sizes = np.diff(begins)
                 need = sizes - _edits_allowed(sizes)
                 owner = np.repeat(np.arange(len(sizes)), sizes)
-                often = sent.value[_counter(labelled)]
+                often = sent.value[0][_counter(labelled)]
                 order = np.lexsort((labelled, often, owner))
                 place = np.arange(len(order)) - begins[owner]
                 first = np.flatnonzero((place < (sizes - need + RARE)[owner]) & (often[order] > 1))
                 of = owner[first]
-                columns = [part.column(c).take(pa.array(of)) for c in ("node", "label")]
-                columns += [pa.array(labelled[order[first]].view(np.int64)), *[pa.array(x.astype(np.int32)) for x in (place[first], sizes[of], need[of])]]
-                yield pa.RecordBatch.from_arrays(columns, names=["node", "label", "word", "place", "size", "need"])
-
-    found = written(texts.mapInArrow(run, "node long, label long, word long, place int, size int, need int"), "rare")
+                ends = np.searchsorted(of, np.arange(len(sizes) + 1)).astype(np.int32)
+                rarest, places = (pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (labelled[order[first]].view(np.int64), place[first].astype(np.int32)))
+                key = place[first] <= (sizes - need)[of]
+                first, of = first[key], of[key]
+                low, high = _size_range(sizes)[of], _size_range(_longest(sizes[of] - place[first]))
+                times = high - low
+                # a row under its own size, and then one for each range of longer texts
+                again = np.repeat(np.arange(len(of)), times)
+                sized = low[again] + 1 + np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
+                word = labelled[order[first]]
+                there = np.flatnonzero(sent.value[1][_counter(word)][again] & _range_bit(sized))  # in which the word is met
+                again, sized = again[there], sized[there]
+                keys = mix(np.concatenate([word, word[again]]) ^ mix(np.concatenate([low, sized]).astype(np.uint64) + np.uint64(1)))
+                ends = np.concatenate([of, of[again]])
+                turn = np.argsort(ends, kind="stable")
+                begins = np.searchsorted(ends[turn], np.arange(len(sizes) + 1)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(begins), pa.array(x)) for x in (keys[turn].view(np.int64), turn < len(of))]
+                columns = [part.column("node"), part.column("label"), pa.array(sizes.astype(np.int32)), rarest, places, *lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "label", "size", "rarest", "places", "keys", "owns"])
+
+    found = written(texts.mapInArrow(run, "node long, label long, size int, rarest array<long>, places array<int>, keys array<long>, owns array<boolean>"), "rare")
     sent.destroy()
-    return found
-
-
-def _sides(rows: DataFrame, *shared: str) -> list[DataFrame]:
-    """The rows as either side of pairs: all columns but the shared ones are named for their side."""
-    return [rows.select(*[F.col(c).alias(c if c in shared else f"{c}_{x}") for c in rows.columns]) for x in "ab"]
+    met = F.explode(F.arrays_zip(F.col("keys").alias("key"), F.col("owns").alias("own"))).alias("met")
+    return found.select("node", "label", met).select("node", "label", "met.key", "met.own"), found.select("node", "label", "size", "rarest", "places")
 
 
 def _crowded_pairs(crowd: DataFrame) -> DataFrame:
     """All pairs of texts of different classes that may be alike: none is left out that has the edit similarity.
 
-    Such texts have their rarest words in common, and the place of the first of these bounds how many words they share. Where
-    most pairs of a word's texts are of one class, classes meet before their texts do, so that work grows with the pairs of
-    different classes, not with the size of a class.
+    Classes meet by the keys of their texts before texts do. Of two that meet, all texts are paired, or those with equal
+    keys where that gives fewer rows: a class whose texts share many words with another's is not paired once a word.
     """
-    rare = _rare_words(crowd)
-    classes_of = rare.groupBy("word", "label").agg(F.count("*").alias("n")).groupBy("word").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"))
-    mixed = written(classes_of.filter("labels > 1").select("word", F.expr("2 * within > n * n").alias("by_class")), "words-met")
-    rare = rare.join(mixed, "word")
-    a, b = _sides(rare.filter("NOT by_class").drop("by_class"), "word")
-    pairs = a.join(b, "word").filter("label_a < label_b").drop("word")
-    dense = rare.filter("by_class").drop("by_class")
-    a, b = _sides(dense.select("word", "label").distinct(), "word")
-    meeting = a.join(b, "word").filter("label_a < label_b")
-    a, b = _sides(dense, "word")
-    pairs = pairs.unionByName(meeting.join(a, ["word", "label_a"]).join(b, ["word", "label_b"]).select(pairs.columns))
-    need = F.expr("greatest(need_a, need_b)")
-    pairs = pairs.filter(F.expr("least(size_a, size_b)") >= need)
+    keyed, texts = _rare_words(crowd)
+    counted = keyed.groupBy("key", "label", "own").agg(F.count("*").alias("n"))
+    # texts of one range meet once, others from the shorter one's side
+    a, b = counted.toDF("key", "label_a", "own_a", "n_a"), counted.filter("own").select("key", F.col("label").alias("label_b"), F.col("n").alias("n_b"))
+    meeting = written(a.join(b, "key").filter("label_a < label_b OR NOT own_a AND label_a > label_b"), "keys-met")
+    sized = texts.groupBy("label").agg(F.count("*").alias("members"))
+    # a pair of classes may meet either way round
+    ways = meeting.groupBy(F.least("label_a", "label_b").alias("low"), F.greatest("label_a", "label_b").alias("high")).agg(F.sum(F.col("n_a") * F.col("n_b")).alias("rows"))
+    ways = ways.join(sized.toDF("low", "n_low"), "low").join(sized.toDF("high", "n_high"), "high")
+    ways = written(ways.select("low", "high", F.expr("n_low * n_high <= rows").alias("whole")), "classes-met")
+    members = texts.select("node", "label", "size")
+    a, b = (members.toDF(f"node_{x}", y, f"size_{x}") for x, y in (("a", "low"), ("b", "high")))
+    pairs = ways.filter("whole").join(a, "low").join(b, "high")
+    pairs = pairs.filter(F.expr("least(size_a, size_b)") + 1e-9 >= SIMILARITY * F.expr("greatest(size_a, size_b)")).select("node_a", "node_b")
+    some = ways.filter("NOT whole")
+    some = some.select(F.col("low").alias("label_a"), F.col("high").alias("label_b")).union(some.select("high", "low"))
+    some = meeting.join(some, ["label_a", "label_b"]).select("key", "label_a", "own_a", "label_b")
+    a, b = keyed.select("key", F.col("label").alias("label_a"), F.col("own").alias("own_a"), F.col("node").alias("node_a")), keyed.filter("own")
+    some = some.join(a, ["key", "label_a", "own_a"]).join(b.select("key", F.col("label").alias("label_b"), F.col("node").alias("node_b")), ["key", "label_b"])
+    pairs = pairs.union(some.select(F.least("node_a", "node_b"), F.greatest("node_a", "node_b"))).distinct()
+    a, b = (texts.select(F.col("node").alias(f"node_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("size", "rarest", "places")]) for x in "ab")
+    need = F.ceil(SIMILARITY * F.expr("greatest(size_a, size_b)") - 1e-9)
+    common = pairs.join(a, "node_a").join(b, "node_b").withColumn("common", F.array_intersect("rarest_a", "rarest_b")).withColumn("need", need)
+    common = common.filter(F.size("common") >= F.least(F.lit(RARE), "need"))
     # of a pair's common words, the rarest decides whether enough others can follow
-    enough = F.max(F.expr("least(size_a - place_a, size_b - place_b)") >= need).alias("enough")
-    met = pairs.groupBy("node_a", "node_b").agg(enough, F.count("*").alias("n"), F.first(need).alias("need"))
-    return met.filter(F.col("enough") & (F.col("n") >= F.least(F.lit(RARE), "need"))).select("node_a", "node_b")
+    follow = [F.expr(f"size_{x} - try_element_at(places_{x}, cast(array_position(rarest_{x}, common[0]) as int)) >= need") for x in "ab"]
+    return common.filter(follow[0] & follow[1]).select("node_a", "node_b")
+
+
+def _sides(rows: DataFrame, *shared: str) -> list[DataFrame]:
+    """The rows as either side of pairs: all columns but the shared ones are named for their side."""
+    return [rows.select(*[F.col(c).alias(c if c in shared else f"{c}_{x}") for c in rows.columns]) for x in "ab"]
 
 
 def _open_pairs(members: DataFrame, labels: DataFrame, sequences: DataFrame) -> DataFrame:

@@ -181,6 +181,47 @@ def test_pairs_of_crowded_texts_against_brute_force(spark):
     assert all(label[i] != label[j] for i, j in found)
 
 
+def joined_rows(spark, run):
+    """The most rows that a join made while ``run`` ran."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before, most = {store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())}, 0
+    run()
+    each = lambda found: (found.apply(i) for i in range(found.size()))
+    for execution in [e.executionId() for e in each(store.executionsList()) if e.executionId() not in before]:
+        values = store.executionMetrics(execution)
+        for node in (n for n in each(store.planGraph(execution).allNodes()) if "Join" in n.name()):
+            for metric in (m for m in each(node.metrics()) if m.name() == "number of output rows" and values.contains(m.accumulatorId())):
+                most = max(most, int(values.apply(metric.accumulatorId()).replace(",", "")))
+    return most
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_crowded_texts_meet_in_few_rows(spark, large):
+    """Words that many texts have, at places or in sizes where too few others can follow; classes that share many words."""
+    rng = random.Random(36)
+    texts, label = [], []
+    for n in range(240):
+        size = 100 if large else rng.randint(80, 100)
+        # of one large class with ten words each in common with 40 other texts; or of few common words, the rest frequent
+        first = range(12) if large else [10_000 + 100 * n + i for i in range(12)] + [100 + i for i in rng.sample(range(60), 8)]
+        texts.append(np.array([*first, *range(1_000, 1_000 + size - len(first))], np.uint64))
+        if large:
+            texts[-1][rng.sample(range(12, 100), 15)] = [10_000 + 100 * n + i for i in range(15)]
+        label.append(0 if large and n < 200 else n)
+    rows = [(i, label[i], t.tobytes()) for i, t in enumerate(texts)]
+    found = []
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        most = joined_rows(spark, lambda: found.extend(nd._crowded_pairs(spark.createDataFrame(rows, "node long, label long, words binary")).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    pairs = {tuple(sorted(r)) for r in found}
+    apart = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if label[i] != label[j]]
+    assert {p for p in apart if nd.alike([texts[p[0]]], [texts[p[1]]])[0]} <= pairs
+    assert most <= (len(apart) * 1.05 if large else len(apart) / 2), (most, len(apart))
+
+
 def test_broadcast_tables_are_given_back(spark, monkeypatch):
     """Bitmaps and counters that were sent to tasks leave the driver when the tables made with them are written."""
     sent, send = [], spark.sparkContext.broadcast
