@@ -472,7 +472,8 @@ def _rare_words(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = written(texts.mapInArrow(run, "node long, label long, size int, rarest array<long>, places array<int>, keys array<long>, owns array<boolean>"), "rare")
     sent.destroy()
     met = F.explode(F.arrays_zip(F.col("keys").alias("key"), F.col("owns").alias("own"))).alias("met")
-    return found.select("node", "label", met).select("node", "label", "met.key", "met.own"), found.select("node", "label", "size", "rarest", "places")
+    keyed = written(found.select("node", "label", met).select("node", "label", "met.key", "met.own"), "keyed")
+    return keyed, found.select("node", "label", "size", "rarest", "places")
 
 
 def _crowded_pairs(crowd: DataFrame) -> DataFrame:
