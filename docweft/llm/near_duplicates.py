@@ -8,8 +8,8 @@ longer one (edit similarity 0.8 or more).
 Exact copies are one text throughout, named by a digest, so a group of them costs one. Candidates are all pairs of
 texts that share a key. Texts meet the heads (least members) of their keys first, which makes most copies one class; only
 pairs whose classes still differ are compared after that. Of a key that few texts have these are compared pair by pair; among
-the texts of crowded keys an exact join on their rarest words finds all that can be alike. No number of partners is
-fixed anywhere.
+the texts of crowded keys an exact join on their rarest words finds all that can be alike; where it finds two larger
+classes, blocks of their texts are compared until a link is found. No number of partners is fixed anywhere.
 """
 
 from __future__ import annotations
@@ -51,6 +51,10 @@ PAIRS = 512
 MARKS = 1 << 26
 #: Pairs of one head that a part gets, about.
 DEALT = 64
+#: Pairs of classes with more pairs of texts than this are compared by blocks, of at most about so many texts and words.
+WHOLE = 4
+BLOCK = 64
+BLOCK_WORDS = 1 << 20
 
 _SEEDS = mix(np.arange(1, KEYS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _TIMES = np.uint64(0x9E3779B97F4A7C15)
@@ -476,12 +480,8 @@ def _rare_words(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keyed, found.select("node", "label", "size", "rarest", "places")
 
 
-def _crowded_pairs(crowd: DataFrame) -> DataFrame:
-    """All pairs of texts of different classes that may be alike: none is left out that has the edit similarity.
-
-    Classes meet by the keys of their texts before texts do. Of two that meet, all texts are paired, or those with equal
-    keys where that gives fewer rows: a class whose texts share many words with another's is not paired once a word.
-    """
+def _classes_met(crowd: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Keys, rarest words, the keys by which classes meet, and the pairs of classes that do, with the numbers of their texts."""
     keyed, texts = _rare_words(crowd)
     counted = keyed.groupBy("key", "label", "own").agg(F.count("*").alias("n"))
     # texts of one range meet once, others from the shorter one's side
@@ -491,7 +491,20 @@ def _crowded_pairs(crowd: DataFrame) -> DataFrame:
     # a pair of classes may meet either way round
     ways = meeting.groupBy(F.least("label_a", "label_b").alias("low"), F.greatest("label_a", "label_b").alias("high")).agg(F.sum(F.col("n_a") * F.col("n_b")).alias("rows"))
     ways = ways.join(sized.toDF("low", "n_low"), "low").join(sized.toDF("high", "n_high"), "high")
-    ways = written(ways.select("low", "high", F.expr("n_low * n_high <= rows").alias("whole")), "classes-met")
+    ways = written(ways.select("low", "high", "n_low", "n_high", F.expr("n_low * n_high <= rows").alias("whole")), "classes-met")
+    return keyed, texts, meeting, ways
+
+
+def _crowded_pairs(crowd: DataFrame, most: int | None = None, met: tuple[DataFrame, DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    """All pairs of texts of different classes that may be alike: none is left out that has the edit similarity.
+
+    Classes meet by the keys of their texts before texts do. Of two that meet, all texts are paired, or those with equal
+    keys where that gives fewer rows: a class whose texts share many words with another's is not paired once a word.
+    With ``most``, pairs of classes that would be paired as a whole in more rows are left to ``_block_links``.
+    """
+    keyed, texts, meeting, ways = met or _classes_met(crowd)
+    if most is not None:
+        ways = ways.filter(~F.col("whole") | (F.col("n_low") * F.col("n_high") <= most))
     members = texts.select("node", "label", "size")
     a, b = (members.toDF(f"node_{x}", y, f"size_{x}") for x, y in (("a", "low"), ("b", "high")))
     pairs = ways.filter("whole").join(a, "low").join(b, "high")
@@ -511,13 +524,71 @@ def _crowded_pairs(crowd: DataFrame) -> DataFrame:
     return common.filter(follow[0] & follow[1]).select("node_a", "node_b")
 
 
+def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads the words of each block and then those of the texts that meet it, and gives each text's first link with the block."""
+    at, nodes, lists, index = None, [], [], None
+    for batch in batches:
+        a, b = [], []
+        for *key, inside, node, held in zip(*(batch.column(c).to_pylist() for c in ("big", "block", "salt", "inside", "node", "words")), strict=True):
+            if key != at:
+                at, nodes, lists, index = key, [], [], None
+            words_of = np.frombuffer(held, np.uint64)
+            if inside:
+                nodes.append(node)
+                lists.append(words_of)
+                continue
+            if index is None:
+                sizes = np.array([len(x) for x in lists], np.int64)
+                labelled, begins = labelled_kmers(np.concatenate(lists), np.cumsum([0, *sizes]), 1)
+                order = np.argsort(labelled)
+                index = labelled[order], np.repeat(np.arange(len(sizes)), np.diff(begins))[order]
+            own = labelled_kmers(words_of, np.array([0, len(words_of)]), 1)[0]
+            low, high = (np.searchsorted(index[0], own, side=x) for x in ("left", "right"))
+            met = high - low
+            place = np.repeat(low - np.cumsum(met) + met, met) + np.arange(met.sum())
+            common = np.bincount(index[1][place], minlength=len(sizes))
+            longer = np.maximum(sizes, len(own))
+            # no alignment can match more than the common words; the likeliest text first, and one link makes one class
+            for i in np.argsort(-common, kind="stable"):
+                if common[i] >= longer[i] - _edits_allowed(longer[i]) and alike([words_of], [lists[i]])[0]:
+                    a.append(node)
+                    b.append(nodes[i])
+                    break
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([True] * len(a))], names=["a", "b", "alike"])
+
+
+def _block_links(crowd: DataFrame, ways: DataFrame) -> DataFrame:
+    """For pairs of classes all of whose texts may be alike: a link ``a``, ``b`` for every text and block that have one, written.
+
+    The larger class is dealt into blocks; each text of the other is sent to a block once, not once for every text in it, and
+    compared there with all of them until one is alike, which makes both classes one.
+    """
+    swap = F.col("n_low") > F.col("n_high")
+    met = ways.select(F.when(swap, F.col("low")).otherwise(F.col("high")).alias("big"), F.when(swap, F.col("high")).otherwise(F.col("low")).alias("small"), F.least("n_low", "n_high").alias("n"))
+    asks = met.groupBy("big").agg(F.sum("n").alias("asks"))
+    members = crowd.select("node", "label", (F.length("words") / 8).alias("size"))
+    dealt = members.groupBy(F.col("label").alias("big")).agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    dealt = dealt.join(asks, "big").withColumn("blocks", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("size") / BLOCK_WORDS)).cast("int"))
+    dealt = written(dealt.select("big", "n", "blocks", F.ceil(F.col("asks") / (DEALT * 4)).cast("int").alias("salts")), "blocks")
+    inside = counted_join(members.select(F.col("label").alias("big"), "node"), dealt, "big")
+    inside = inside.select("big", "node", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("inside"))
+    asked = met.select("big", "small").join(members.select(F.col("label").alias("small"), "node"), "small").join(dealt.drop("n"), "big")
+    asked = asked.select("big", "node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"), F.lit(False).alias("inside"))
+    rows = inside.unionByName(asked).join(crowd.select("node", "words"), "node")
+    rows = rows.repartition("big", "block", "salt").sortWithinPartitions("big", "block", "salt", F.desc("inside"))
+    found = written(rows.select("big", "block", "salt", "inside", "node", "words").mapInArrow(_compare_blocks, "a long, b long, alike boolean"), "linked")
+    discard(dealt)
+    return found
+
+
 def _sides(rows: DataFrame, *shared: str) -> list[DataFrame]:
     """The rows as either side of pairs: all columns but the shared ones are named for their side."""
     return [rows.select(*[F.col(c).alias(c if c in shared else f"{c}_{x}") for c in rows.columns]) for x in "ab"]
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame, sequences: DataFrame) -> DataFrame:
-    """Pairs that share a key, whose classes differ and that may be alike.
+def _open_pairs(members: DataFrame, labels: DataFrame, sequences: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs that share a key, whose classes differ and that may be alike; and links found between blocks of larger classes.
 
     Of a key that few texts have, all pairs whose lengths allow it; of the other keys, all pairs whose words allow it.
     """
@@ -529,8 +600,10 @@ def _open_pairs(members: DataFrame, labels: DataFrame, sequences: DataFrame) ->
     few = a.join(b, "key").filter(F.expr("node_a > node_b AND label_a <> label_b") & fits).select("node_a", "node_b")
     crowd = left.filter(F.col("n") > FEW).select("node", "label").distinct()
     crowd = written(sequences.join(hint(crowd), "node"), "crowd")
-    many = _crowded_pairs(crowd).select(F.greatest("node_a", "node_b").alias("node_a"), F.least("node_a", "node_b").alias("node_b"))
-    return few.union(many).distinct().toDF("a", "b")
+    met = _classes_met(crowd)
+    many = _crowded_pairs(crowd, WHOLE, met).select(F.greatest("node_a", "node_b").alias("node_a"), F.least("node_a", "node_b").alias("node_b"))
+    linked = _block_links(crowd, met[-1].filter(F.col("whole") & (F.col("n_low") * F.col("n_high") > WHOLE)))
+    return few.union(many).distinct().toDF("a", "b"), linked
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -554,11 +627,14 @@ def links(unique: DataFrame, texts: DataFrame) -> DataFrame:
     results = _verified(first, sequences)
     discard(first)
     sized = members.join(unique.select("node", "n_words"), "node")
-    for rest in (lambda labels: _apart(met.distinct(), labels), lambda labels: _open_pairs(sized, labels, sequences)):
+    for rest in (lambda labels: (_apart(met.distinct(), labels), None), lambda labels: _open_pairs(sized, labels, sequences)):
         labels = components(results.filter("alike"))
-        pairs = written(rest(labels).join(results.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        pairs, linked = rest(labels)
+        pairs = written(pairs.join(results.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         discard(labels)
         results = results.unionByName(_verified(pairs, sequences))
+        if linked is not None:
+            results = results.unionByName(linked)
         discard(pairs)
     for table in (members, sequences):
         discard(table)

@@ -222,6 +222,31 @@ def test_crowded_texts_meet_in_few_rows(spark, large):
     assert most <= (len(apart) * 1.05 if large else len(apart) / 2), (most, len(apart))
 
 
+@pytest.mark.parametrize("words", [1 << 20, 1_000])
+def test_large_classes_meet_by_blocks(spark, monkeypatch, words):
+    """One class of near copies and texts of their own classes just inside and outside of the threshold, against brute force."""
+    monkeypatch.setattr(nd, "BLOCK_WORDS", words)
+    rng = random.Random(37)
+    template, texts = np.arange(1_000, 1_120, dtype=np.uint64), []
+    for n in range(140):
+        texts.append(template.copy())
+        for place in rng.sample(range(120), 10 if n < 100 else rng.randint(12, 22)):
+            texts[-1][place] = 10_000 + (200 * n + place if n < 100 else rng.randrange(60))
+    label = [0 if n < 100 else n for n in range(140)]
+    members = spark.createDataFrame([(7, n, 140, 120) for n in range(140)], "key long, node long, n long, n_words long")
+    labels = spark.createDataFrame(list(enumerate(label)), "node long, label long")
+    sequences = spark.createDataFrame([(n, t.tobytes()) for n, t in enumerate(texts)], "node long, words binary")
+    pairs, linked = nd._open_pairs(members, labels, sequences)
+    listed, blocks = [(r["a"], r["b"]) for r in pairs.collect()], [(r["a"], r["b"]) for r in linked.collect()]
+    # the large class is not paired text by text: one link a text and block is enough
+    assert blocks and len(blocks) < 40 * 20 and not any(min(p) < 100 <= max(p) for p in listed)
+    found = [p for p in listed if nd.alike([texts[p[0]]], [texts[p[1]]])[0]] + blocks
+    assert all(nd.alike([texts[a]], [texts[b]])[0] for a, b in found)
+    brute = [p for p in itertools.combinations(range(140), 2) if label[p[0]] != label[p[1]] and nd.alike([texts[p[0]]], [texts[p[1]]])[0]]
+    classes = lambda pairs: {(r["node"], r["label"]) for r in nd.components(spark.createDataFrame([(label[a], label[b]) for a, b in pairs], "a long, b long")).collect()}
+    assert brute and classes(found) == classes(brute)
+
+
 def test_broadcast_tables_are_given_back(spark, monkeypatch):
     """Bitmaps and counters that were sent to tasks leave the driver when the tables made with them are written."""
     sent, send = [], spark.sparkContext.broadcast
