@@ -227,6 +227,15 @@ def test_tables_and_spans(spark):
     assert (r.content, r.font_size, r.font, r.is_bold, r.is_italic) == ("a b", 15.0, "f", True, False)
 
 
+def test_formulas_that_share_an_id_both_stay(spark, monkeypatch):
+    from docweft.queries import base, knowledge  # noqa: F401
+
+    rows = [(1, 2, "F_c25805d4", "\\prod d \\times H != b"), (3, 0, "F_c25805d4", "{M}  \\left( b \\right)\\, \\sqrt{d}"), (2, 0, "F_c25805d4", "\\prod d \\times H != b")]
+    monkeypatch.setattr(base.Tables, "formulas", lambda t: spark.createDataFrame(rows, "doc_id long, idx int, formula_id string, latex string"))
+    got = {(r.formula_id, r.latex, r.version) for r in base.QUERIES["formula_upsert"](spark, "").collect()}
+    assert got == {(rows[2][2], rows[2][3], 2000), (rows[1][2], rows[1][3], 3000)}
+
+
 def test_equal_diagrams_go_by_number(spark):
     # the file order is not that of the numbers, and products differ behind the sixth digit only
     near = [(f"D_{i}", [1.0 + i * 1e-9, 0.0], i) for i in reversed(range(30))]
