@@ -96,3 +96,20 @@ def test_likest_texts_of_few_compared_pairs(spark):
         score = {f: round(difflib.SequenceMatcher(None, text, f).ratio(), 6) for f in forms}
         last = sorted(score.values(), reverse=True)[4]
         assert {r.form for r in found if r.asked == text and r.among} == {f for f in forms if score[f] >= last and score[f] > 0.1}
+
+
+def test_index_is_written_once_without_a_shuffle(spark, monkeypatch):
+    tables = []
+
+    def kept(df, name, compression=None):
+        tables.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return written(df, name, compression)
+
+    written = keyword_index.written
+    monkeypatch.setattr(keyword_index, "written", kept)
+    rows = [(i, [f"w{j}" for j in range(i)]) for i in range(6)]
+    built = keyword_index.build(spark.createDataFrame(rows, "doc_id long, terms array<string>"), "doc_id")
+    large = [plan for name, plan in tables if name != "keyword-totals"]
+    assert len(large) == 1 and "Exchange" not in large[0]
+    assert tuple(built.totals.first()) == (6, 2.5)
+    assert {(r.term, r.df) for r in built.postings.collect()} == {(f"w{j}", 5 - j) for j in range(5)}
