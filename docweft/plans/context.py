@@ -6,11 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweft.functions import rules, text
+from docweft.operators.storage import written
+
+
+#: Keys of hits that are broadcast at most.
+BROADCAST_KEYS = 200_000
+
+
+def _named(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose key is among the wanted ones, chosen before anything is shuffled if these are few."""
+    few = wanted.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return rows.join(F.broadcast(wanted) if few else wanted, key, "left_semi")
 
 
 def with_content(hits: DataFrame, chunks: DataFrame, formulas: DataFrame | None = None, diagrams: DataFrame | None = None) -> DataFrame:
     """Hits with the content, page and section of what they name; unknown keys stay empty."""
-    parts = chunks.select(F.col("chunk_id").alias("doc_key"), F.struct("content", F.col("page_number").alias("page"), F.col("heading").alias("section")).alias("c"))
+    hits = written(hits, "hits")
+    parts = _named(chunks, "chunk_id", hits.select(F.col("doc_key").alias("chunk_id")).distinct()).select(F.col("chunk_id").alias("doc_key"), F.struct("content", F.col("page_number").alias("page"), F.col("heading").alias("section")).alias("c"))
     out = hits.join(parts, "doc_key", "left")
     known = [F.col("c")]
     if formulas is not None:
@@ -26,8 +38,11 @@ def with_content(hits: DataFrame, chunks: DataFrame, formulas: DataFrame | None
 def expand(hits: DataFrame, chunks: DataFrame, width: int = 2) -> DataFrame:
     """Each query's hit chunks, each followed by up to ``width`` chunks before and then after it; first come, once.
 
-    Chunks stand in order of page and id (as text) within their document.
+    Chunks stand in order of page and id (as text) within their document; only documents with a hit are put in order.
     """
+    hits = written(hits.select("query_id", "doc_key", "rank"), "hits")
+    found = written(_named(chunks, "chunk_id", hits.select(F.col("doc_key").alias("chunk_id")).distinct()).select("document_id").distinct(), "found-documents")
+    chunks = _named(chunks, "document_id", found)
     order = Window.partitionBy("document_id").orderBy("page_number", "chunk_id")
     placed = chunks.select("document_id", "chunk_id", F.row_number().over(order).alias("n"))
     at = hits.join(placed, hits["doc_key"] == placed["chunk_id"]).select("query_id", F.col("rank").alias("hit_rank"), "document_id", F.col("n").alias("hit_n"))

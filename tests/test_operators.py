@@ -227,6 +227,17 @@ def test_tables_and_spans(spark):
     assert (r.content, r.font_size, r.font, r.is_bold, r.is_italic) == ("a b", 15.0, "f", True, False)
 
 
+def test_only_named_chunks_are_shuffled(spark):
+    chunks = spark.createDataFrame([(d, f"C_{d}_{i}", f"text {i}", "h", 1) for d in ("a", "b") for i in range(5)], "document_id string, chunk_id string, content string, heading string, page_number int")
+    hits = spark.createDataFrame([("q", "C_a_2", 0.5, 0, "text"), ("q", "F_1", 0.4, 1, "formula")], "query_id string, doc_key string, score double, rank int, source string")
+    told = context.with_content(hits, chunks)
+    around = context.expand(hits, chunks, 1)
+    assert {(r.doc_key, r.content) for r in told.collect()} == {("C_a_2", "text 2"), ("F_1", None)}
+    assert [r.chunk_id for r in around.orderBy("position").collect()] == ["C_a_2", "C_a_1", "C_a_3"]
+    for found in (told, around):
+        assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_formulas_that_share_an_id_both_stay(spark, monkeypatch):
     from docweft.queries import base, knowledge  # noqa: F401
 
