@@ -55,3 +55,16 @@ def test_one_version_of_several_in_a_batch(spark, tmp_path):
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/in")
     versions.follow(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"), f"file://{tmp_path}/index")
     assert {r.term for r in versions.document_frequency(spark, f"file://{tmp_path}/index").collect()} == {"matrix"}
+
+
+def test_a_changed_document_costs_its_new_postings_and_a_mark(spark, tmp_path):
+    folder, source = f"file://{tmp_path}/index", f"{tmp_path}/in"
+    for rows in ([(1, 1, "energy matrix acid", ""), (2, 1, "tensor", "")], [(1, 2, "field", ""), (2, 2, None, "")]):
+        spark.createDataFrame(rows, SCHEMA).write.mode("append").parquet(source)
+        versions.follow(spark.readStream.schema(SCHEMA).parquet(source), folder)
+    deltas = spark.read.schema(versions.POSTING + ", batch long").parquet(f"{folder}/deltas")
+    assert {(r.doc_id, r.term, r.sign) for r in deltas.filter("batch = 1").collect()} == {(1, None, 1), (1, "field", 1), (2, None, -1)}
+    assert "terms" not in versions._STATE  # the state does not grow with the texts
+    assert {tuple(r) for r in versions.document_frequency(spark, folder).collect()} == {("field", 1)}
+    versions.compact(spark, folder)
+    assert {tuple(r) for r in versions.live(spark, folder).collect()} == {(1, None, 1), (1, "field", 1)}
