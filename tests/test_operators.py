@@ -239,6 +239,23 @@ def test_only_named_chunks_are_shuffled(spark):
         assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_similar_formulas_against_all_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(f"F_{i:03}", sorted(rng.sample("abcdef", rng.randint(0, 3))), rng.sample(["sum", "integral", "limit"], rng.randint(0, 2))) for i in range(160)]
+    known = spark.createDataFrame(rows, "formula_id string, variables array<string>, operators array<string>")
+    sizes, kept = {}, formulas.written
+    monkeypatch.setattr(formulas, "written", lambda df, name: sizes.setdefault(name, kept(df, name)))
+    got = {}
+    for r in formulas.similar(known, known.filter("formula_id < 'F_060'"), 5).orderBy("formula_id", "rank").collect():
+        got.setdefault(r.formula_id, []).append((r.score, r.similar_id))
+    share = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 0.0
+    for f, v, o in rows[:60]:
+        every = sorted((-round(0.6 * share(v, w) + 0.4 * share(o, p), 6), g) for g, w, p in rows if g != f)
+        assert [(round(s, 6), g) for s, g in got.get(f, [])] == [(-s, g) for s, g in every if -s > 0.2][:5]
+    # most are settled by formulas that share two variables, and some are not
+    assert 0 < sizes["settled"].count() < sizes["asked-symbols"].select("asked_id").distinct().count()
+
+
 def test_ratios_are_those_of_difflib():
     rng = random.Random(3)
     texts = lambda: ["".join(rng.choices("ab {é\U0001d6fc"[: rng.randint(1, 6)], k=rng.choice([0, 1, 5, 30, 210]))) for _ in range(400)]
