@@ -48,6 +48,13 @@ def test_only_asked_buckets_are_read(spark, index):
     assert blocks.table.select("bucket").distinct().count() <= block_index.BUCKETS
 
 
+def test_blocks_hold_every_posting_once_without_its_frequency(spark, index):
+    blocks = block_index.build(index)
+    assert not {"idf", "best"} & set(blocks.table.columns)
+    assert blocks.terms.agg({"n": "sum"}).first()[0] == index.stored.count()
+    assert blocks.table.groupBy("term", "range").count().filter("count > 1").isEmpty()
+
+
 def test_no_rows_and_no_queries(spark, index):
     empty = keyword_index.build(spark.createDataFrame([], "doc_id long, terms array<string>"), "doc_id")
     queries = spark.createDataFrame([(1, ["w1"])], "query_id long, terms array<string>")
